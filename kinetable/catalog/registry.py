@@ -36,9 +36,9 @@ def register(name: str, ints: str = "", doubles: str = "", texts: str = "", sql:
 
         body = None
         if sql is not None:
-            cols = [f"CAST({c} AS VARCHAR) AS {c}" for c in t]
-            cols += [f"CAST({c} AS BIGINT) AS {c}" for c in i]
-            cols += [f"round(CAST({c} AS DOUBLE), {digits}) + 0.0 AS {c}" for c in d]
+            cols = [f'CAST("{c}" AS VARCHAR) AS "{c}"' for c in t]
+            cols += [f'CAST("{c}" AS BIGINT) AS "{c}"' for c in i]
+            cols += [f'round(CAST("{c}" AS DOUBLE), {digits}) + 0.0 AS "{c}"' for c in d]
             body = f"SELECT {', '.join(cols)} FROM ({sql}) AS q"
         assert name not in QUERIES, name
         QUERIES[name] = Query(name, run, body)

@@ -240,12 +240,6 @@ def cohort_vocabulary(df: DataFrame, cohorts: Sequence[str], column: str = "coho
     return df.where(pos > 0).withColumn("cohort_id", (pos - 1).cast("int"))
 
 
-def tier_cohorts(tier: str, tiers: Mapping[str, Sequence[str]]) -> list[str]:
-    if tier not in tiers:
-        raise ValueError(f"unknown tier {tier!r}; known: {sorted(tiers)}")
-    return list(tiers[tier])
-
-
 def mirror_pose(pose: DataFrame, pairs: Sequence[tuple[int, int]], axis: str | None = "x") -> DataFrame:
     """Swap left and right joints and negate the lateral axis (``axis=None`` for masks)."""
     j = F.col("joint")

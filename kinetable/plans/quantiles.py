@@ -53,30 +53,30 @@ def exact_quantiles(
     side = F.when(F.col("_v") < F.col("w.lo"), 0).when(F.col("_v") > F.col("w.hi"), 2).otherwise(1)
     counted = (
         joined.select(*keys, "_n", "_v", F.explode("_w").alias("w"))
-        .select(*keys, "_n", F.col("w.q").alias("q"), F.col("w.prob").alias("prob"), "_v", side.alias("side"))
-        .groupBy(*keys, "_n", "q", "prob", "side", F.when(F.col("side") == 1, F.col("_v")).alias("inside"))
-        .agg(F.count("*").alias("c"), F.min("_v").alias("mn"), F.max("_v").alias("mx"))
+        .select(*keys, "_n", F.col("w.q").alias("_q"), F.col("w.prob").alias("_prob"), "_v", side.alias("_side"))
+        .groupBy(*keys, "_n", "_q", "_prob", "_side", F.when(F.col("_side") == 1, F.col("_v")).alias("_inside"))
+        .agg(F.count("*").alias("_c"), F.min("_v").alias("_mn"), F.max("_v").alias("_mx"))
     )
-    run = W.partitionBy(*keys, "q").orderBy("side", "inside").rowsBetween(W.unboundedPreceding, 0)
-    pos = (F.col("_n") - 1) * F.col("prob")
-    ranked = counted.withColumns({"cum": F.sum("c").over(run), "r0": F.floor(pos) + 1, "r1": F.ceil(pos) + 1})
+    run = W.partitionBy(*keys, "_q").orderBy("_side", "_inside").rowsBetween(W.unboundedPreceding, 0)
+    pos = (F.col("_n") - 1) * F.col("_prob")
+    ranked = counted.withColumns({"_cum": F.sum("_c").over(run), "_r0": F.floor(pos) + 1, "_r1": F.ceil(pos) + 1})
 
     def at_rank(r: str):
-        here = (F.col("cum") - F.col("c") < F.col(r)) & (F.col(r) <= F.col("cum"))
-        low = F.when(F.col(r) == F.col("cum"), F.col("mx"))
-        high = F.when(F.col(r) == F.col("cum") - F.col("c") + 1, F.col("mn"))
+        here = (F.col("_cum") - F.col("_c") < F.col(r)) & (F.col(r) <= F.col("_cum"))
+        low = F.when(F.col(r) == F.col("_cum"), F.col("_mx"))
+        high = F.when(F.col(r) == F.col("_cum") - F.col("_c") + 1, F.col("_mn"))
         outside = F.coalesce(
-            F.when(F.col("side") == 0, low).otherwise(high),
+            F.when(F.col("_side") == 0, low).otherwise(high),
             F.raise_error(F.lit("quantile bracket missed its rank")).cast("double"),
         )
-        return F.when(here, F.when(F.col("side") == 1, F.col("inside")).otherwise(outside))
+        return F.when(here, F.when(F.col("_side") == 1, F.col("_inside")).otherwise(outside))
 
-    picked = ranked.groupBy(*keys, "q", "prob", "_n").agg(
-        F.max(at_rank("r0")).alias("a"), F.max(at_rank("r1")).alias("b")
+    picked = ranked.groupBy(*keys, "_q", "_prob", "_n").agg(
+        F.max(at_rank("_r0")).alias("_a"), F.max(at_rank("_r1")).alias("_b")
     )
-    frac = (F.col("_n") - 1) * F.col("prob") - F.floor((F.col("_n") - 1) * F.col("prob"))
-    picked = picked.withColumn("val", F.col("a") + (F.col("b") - F.col("a")) * frac)
+    frac = (F.col("_n") - 1) * F.col("_prob") - F.floor((F.col("_n") - 1) * F.col("_prob"))
+    picked = picked.withColumn("_val", F.col("_a") + (F.col("_b") - F.col("_a")) * frac)
     out = picked.groupBy(*keys).agg(
-        *[F.max(F.when(F.col("q") == i, F.col("val"))).alias(n) for i, n in enumerate(names)]
+        *[F.max(F.when(F.col("_q") == i, F.col("_val"))).alias(n) for i, n in enumerate(names)]
     )
     return out.drop("_all")
