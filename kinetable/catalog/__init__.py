@@ -4,7 +4,7 @@ import importlib
 
 from kinetable.catalog.registry import QUERIES
 
-for _name in ("paths", "motion", "inference"):
+for _name in ("paths", "motion", "inference", "latent"):
     importlib.import_module(f"kinetable.catalog.{_name}")
 
 __all__ = ["QUERIES"]

@@ -112,13 +112,13 @@ def _with_fps(p):
     return lengths(p).withColumn("fps", F.lit(10.0))
 
 
-@register("resample_fps", ints="video frame joint", doubles="x y", sql=f"WITH {POSES}, {RES} SELECT * FROM res")
+@register("resample_fps", ints="video frame joint", doubles="x y", digits=9, sql=f"WITH {POSES}, {RES} SELECT * FROM res")
 def _(spark, d):
     p = pose(spark, d)
     return FR.resample_fps(p, _with_fps(p), 25.0)
 
 
-@register("preprocess_walk", ints="video frame joint", doubles="x y",
+@register("preprocess_walk", ints="video frame joint", doubles="x y", digits=9,
           sql=f"WITH {POSES}, {RES} SELECT video, frame, joint, x - max(CASE WHEN joint = 0 THEN x END) OVER w AS x, "
           "y - max(CASE WHEN joint = 0 THEN y END) OVER w AS y FROM res WINDOW w AS (PARTITION BY video, frame)")
 def _(spark, d):
@@ -127,7 +127,7 @@ def _(spark, d):
 
 
 @register(
-    "preprocess_walk_aligned", ints="video frame joint", doubles="x y",
+    "preprocess_walk_aligned", ints="video frame joint", doubles="x y", digits=5,
     sql=f"WITH {POSES}, {RES}, {ALIGN.format(src='res')} SELECT video, frame, joint, x - max(CASE WHEN joint = 0 THEN x END) OVER w AS x, "
     "y - max(CASE WHEN joint = 0 THEN y END) OVER w AS y FROM ali WINDOW w AS (PARTITION BY video, frame)",
 )

@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -261,9 +263,6 @@ def agreement(df: DataFrame, a: str, b: str, noise: int | None = -1) -> DataFram
 
 def expected_mi(rows: Column, cols: Column, n: Column) -> Column:
     """Expected MI of two random labelings with the given class sizes (hypergeometric sum)."""
-    import numpy as np
-    import pandas as pd
-
     @F.pandas_udf("double")
     def emi(ra: pd.Series, cb: pd.Series, total: pd.Series) -> pd.Series:
         def one(a, b, t):
