@@ -390,7 +390,7 @@ def _(spark, d):
 @register("dwell_stratified_excess", ints="video dwell_bin n", doubles="excess")
 def _(spark, d):
     p = state_paths(spark, d)
-    s = similarity_from_counts(p)
+    s = X.small_table(similarity_from_counts(p))
     return X.dwell_stratified(p, s, X.no_repeat_null(p, s, K, draws=100))
 
 

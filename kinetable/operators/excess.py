@@ -10,6 +10,12 @@ from pyspark.sql.window import Window as W
 
 from kinetable.operators.states import transition_lookup, visit_sequence
 from kinetable.plans.python import spread
+from kinetable.session import cut_lineage
+
+
+def small_table(similarity: DataFrame) -> DataFrame:
+    """The K x K similarity as a literal table, so its own plan is not run again in every use."""
+    return similarity.sparkSession.createDataFrame(similarity.collect(), similarity.schema)
 
 
 def _visits(path: DataFrame) -> DataFrame:
@@ -101,7 +107,7 @@ def no_repeat_null(path: DataFrame, similarity: DataFrame, k: int, draws: int =
     v = _visits(path)
     obs = observed_similarity(path, similarity, lag)
     counts = v.groupBy("video").agg(F.count("*").alias("n"), F.array(*[F.count_if(F.col("state") == s) for s in range(k)]).alias("counts"))
-    base = counts.join(obs, "video").where(F.col("n") > lag + 1)
+    base = cut_lineage(counts.join(obs, "video").where(F.col("n") > lag + 1))
     smat = np.zeros((k, k))
     for r in similarity.collect():  # K x K rows
         smat[r["state"], r["next_state"]] = r["s"]
@@ -134,10 +140,10 @@ def no_repeat_null(path: DataFrame, similarity: DataFrame, k: int, draws: int =
         c = b.select("video", "batch", *[F.sum(x).over(cum).alias(x) for x in ("w", "w2", "ws", "wt")])
         return c.withColumn("ess", F.col("w") * F.col("w") / F.col("w2"))
 
-    one = run(base, 1, 1)
+    one = cut_lineage(run(base, 1, 1))
     done = prefixes(one).where(F.col("ess") >= draws * (1 - 1e-9))
     rest = base.join(done.select("video"), "video", "left_anti")
-    more = prefixes(one.join(rest.select("video"), "video", "left_semi").unionByName(run(rest, 2, batches)))
+    more = cut_lineage(prefixes(one.join(rest.select("video"), "video", "left_semi").unionByName(run(rest, 2, batches))))
     enough = more.where(F.col("ess") >= draws * (1 - 1e-9)).groupBy("video").agg(F.min("batch").alias("batch"))
     done = done.unionByName(more.join(enough, ["video", "batch"]))
     sis = done.select("video", (F.col("ws") / F.col("w")).alias("null_mean"), (F.col("wt") / F.col("w")).alias("p"), "ess", F.lit("sis").alias("method"))
@@ -176,7 +182,8 @@ def portion(path: DataFrame, max_windows: int | None = None, part: str = "all")
 def excess_similarity(path: DataFrame, similarity: DataFrame, k: int, draws: int = 2000, lag: int = 1, seed: int = 0,
                       max_windows: int | None = None, part: str = "all") -> DataFrame:
     """video, n_visits, observed, null_mean, excess, p, ess, method, null_uniform, excess_uniform, repeat_rate."""
-    p = portion(path, max_windows, part)
+    similarity = small_table(similarity)
+    p = cut_lineage(portion(path, max_windows, part))
     n = visit_sequence(p).groupBy("video").agg(F.count("*").alias("n_visits"))
     null = no_repeat_null(p, similarity, k, draws, lag, seed=seed)
     out = n.join(observed_similarity(p, similarity, lag), "video", "left").join(null, "video", "left").join(uniform_null(p, similarity), "video", "left")
@@ -202,6 +209,7 @@ def dwell_stratified(path: DataFrame, similarity: DataFrame, null: DataFrame, mi
 
 def channel_split(path: DataFrame, channels: dict[str, DataFrame], k: int, draws: int = 2000, seed: int = 0) -> DataFrame:
     """excess_similarity under each similarity channel (combined, magnitude, shape)."""
+    path = cut_lineage(path)
     out = None
     for name, s in channels.items():
         e = excess_similarity(path, s, k, draws, seed=seed).withColumn("channel", F.lit(name))

@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import io
+import json
 from collections.abc import Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kinetable.functions.scalar import finite, number_or_null
 from kinetable.plans.quantiles import exact_quantiles
 
+_PAIRS = T.ArrayType(T.StructType([T.StructField("s", T.DoubleType()), T.StructField("e", T.DoubleType())]))
 # fixed values: logical fields of a long keypoint table and the release's file pattern
 LOGICAL = ("video", "frame", "part_idx", "x", "y", "fps")
 WORLD_GLOB = "h36m_3d_world_*"
@@ -174,6 +177,26 @@ def norm_flag(v: Column, words: tuple[str, str]) -> Column:
     return F.when(finite(v.cast("double")).isNull(), None).when(v > 0.5, words[0]).otherwise(words[1])
 
 
+@F.pandas_udf(_PAIRS)
+def _interval_pairs(src: pd.Series) -> pd.Series:
+    """The annotation's own shapes to (s, e) pairs; anything else is NULL."""
+
+    def one(text):
+        try:
+            v = json.loads(text)
+            if isinstance(v, dict):
+                v = list(zip(v.get("start", v.get("onset")), v.get("end", v.get("offset"))))
+            elif v and not isinstance(v[0], list):
+                if len(v) % 2:
+                    return None
+                v = list(zip(v[0::2], v[1::2]))
+            return [{"s": float(a), "e": float(b)} for a, b in v] or None
+        except (TypeError, ValueError):
+            return None
+
+    return src.map(one, na_action="ignore")
+
+
 def parse_event_intervals(records: DataFrame, js: str, fps: Column, n_frames: Column, units: str = "auto") -> DataFrame:
     """Add ``intervals``: sorted array of (start_s, end_s) clipped to the recording.
 
@@ -181,28 +204,17 @@ def parse_event_intervals(records: DataFrame, js: str, fps: Column, n_frames: Co
     end/offset lists, under the first known key, also inside ``other``.
     """
     c = F.col(js)
-    src = F.coalesce(*[F.get_json_object(c, f"$.{p}{k}") for k in INTERVAL_KEYS for p in ("other.", "")])
-    pairs = F.from_json(src, "array<array<double>>")
-    flat = F.from_json(src, "array<double>")
-    obj = F.from_json(src, "struct<start:array<double>,onset:array<double>,`end`:array<double>,offset:array<double>>")
-    se = lambda s, e: F.struct(s.cast("double").alias("s"), e.cast("double").alias("e"))
-    from_pairs = F.transform(pairs, lambda p: se(p[0], p[1]))
-    from_flat = F.transform(F.sequence(F.lit(0), (F.size(flat) / 2).cast("int") - 1), lambda i: se(F.get(flat, i * 2), F.get(flat, i * 2 + 1)))
-    starts, ends = F.coalesce(obj["start"], obj["onset"]), F.coalesce(obj["end"], obj["offset"])
-    from_obj = F.transform(F.arrays_zip(starts.alias("s"), ends.alias("e")), lambda z: se(z["s"], z["e"]))
-    pair_ok = F.coalesce(F.size(pairs) > 0, F.lit(False)) & F.coalesce(F.forall(pairs, lambda p: F.coalesce(F.size(p) == 2, F.lit(False))), F.lit(False))
-    flat_ok = F.coalesce((F.size(flat) > 0) & (F.size(flat) % 2 == 0), F.lit(False)) & F.coalesce(F.forall(flat, lambda v: v.isNotNull()), F.lit(False))
-    kind = F.substring(F.trim(src), 1, 1)
-    raw = F.when((kind == "[") & pair_ok, from_pairs).when((kind == "[") & flat_ok, from_flat).when((kind == "{") & starts.isNotNull() & ends.isNotNull(), from_obj)
-    d = records.withColumn("_raw", F.filter(raw, lambda p: p["s"].isNotNull() & p["e"].isNotNull())).withColumns({"_fps": fps.cast("double"), "_nf": n_frames.cast("double")})
-    dur = F.greatest(F.col("_nf") / F.col("_fps"), F.lit(1e-6))
-    hi = F.array_max(F.transform("_raw", lambda p: p["e"]))
-    frames = F.lit(units == "frames") if units != "auto" else (hi > dur * 1.5) & (hi <= F.col("_nf") * 1.5)
-    scale = F.when(frames, 1.0 / F.col("_fps")).otherwise(1.0)
-    clip = lambda v: F.greatest(F.lit(0.0), F.least(v * scale, dur))
-    cut = F.transform("_raw", lambda p: F.struct(clip(F.least(p["s"], p["e"])).alias("start_s"), clip(F.greatest(p["s"], p["e"])).alias("end_s")))
-    kept = F.array_sort(F.filter(cut, lambda p: p["end_s"] > p["start_s"]))
-    return d.withColumn("intervals", F.coalesce(kept, F.array().cast("array<struct<start_s:double,end_s:double>>"))).drop("_raw", "_fps", "_nf")
+    found = F.coalesce(*[F.get_json_object(c, f"$.{p}{k}") for k in INTERVAL_KEYS for p in ("other.", "")])
+    d = records.withColumns({"_src": found, "_fps": fps.cast("double"), "_nf": n_frames.cast("double")})
+    d = d.withColumn("_raw", _interval_pairs("_src"))
+    d = d.withColumns({"_dur": F.greatest(F.col("_nf") / F.col("_fps"), F.lit(1e-6)), "_hi": F.array_max(F.transform("_raw", lambda p: p["e"]))})
+    frames = F.lit(units == "frames") if units != "auto" else (F.col("_hi") > F.col("_dur") * 1.5) & (F.col("_hi") <= F.col("_nf") * 1.5)
+    d = d.withColumn("_scale", F.when(frames, 1.0 / F.col("_fps")).otherwise(1.0))
+    clip = lambda v: F.greatest(F.lit(0.0), F.least(v * F.col("_scale"), F.col("_dur")))
+    d = d.withColumn("_cut", F.transform("_raw", lambda p: F.struct(clip(F.least(p["s"], p["e"])).alias("start_s"), clip(F.greatest(p["s"], p["e"])).alias("end_s"))))
+    kept = F.array_sort(F.filter("_cut", lambda p: p["end_s"] > p["start_s"]))
+    none = F.array().cast("array<struct<start_s:double,end_s:double>>")
+    return d.withColumn("intervals", F.coalesce(kept, none)).select(*records.columns, "intervals")
 
 
 def labels_from_names(names: DataFrame, positive: Sequence[int | str], column: str = "video") -> DataFrame:
