@@ -211,6 +211,7 @@ def expected_counts(seqs: DataFrame, models: list[Model], score_held_out: bool =
     """One dict of summed statistics per model, with loglik and row count over its training (or held-out) recordings."""
     msgs = _messages(seqs, models)
     d = seqs if msgs is None else seqs.join(msgs, ["video", "chunk"])
+    whole = msgs is None
     b = seqs.sparkSession.sparkContext.broadcast(models)
 
     def run(batches):
@@ -224,7 +225,7 @@ def expected_counts(seqs: DataFrame, models: list[Model], score_held_out: bool =
                         continue
                     first = r.chunk == 0
                     vin = m.pi if first else np.asarray(r.ins[i])
-                    vout = np.ones(m.k) if msgs is None else np.asarray(r.outs[i])
+                    vout = np.ones(m.k) if whole else np.asarray(r.outs[i])
                     g, xi, ll = _forward_backward(m, _emission(m, x, ctx), first, vin, vout)
                     s = {"ll": np.array([ll]), "n": np.array([float(len(x))])}
                     if not score_held_out:
