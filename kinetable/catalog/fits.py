@@ -7,9 +7,11 @@ from kinetable.catalog.latent import COMP, LV, components, factors
 from kinetable.catalog.models import windows
 from kinetable.catalog.registry import register
 from kinetable.operators import cluster as CL
+from kinetable.operators import filters as FL
 from kinetable.operators import latent as L
 from kinetable.operators import linear as LN
 from kinetable.operators import segments as SG
+from kinetable.operators import windows as WN
 from kinetable.operators.splits import kfold_groups, random_row_split
 from kinetable.sources.tables import latents, table
 
@@ -183,3 +185,33 @@ def _(spark, d):
     events = w.where("code = 2").select("video", F.col("m").cast("double").alias("t"))
     roles = w.select("video").distinct().select("video", F.when(F.col("video") % 5 < 2, "tune").otherwise("test").alias("role"))
     return SG.change_point_validation(w, events, roles, [5.0, 20.0], [2.0, 5.0], 1.0)
+
+
+SEAM = (
+    "WITH e AS (SELECT user_id AS video, row_number() OVER w - 1 AS m, ln(1 + value) AS a, CAST(json_extract_string(props, '$.k') AS DOUBLE) / 50.0 AS b FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), "
+    "s AS (SELECT m, sqrt(pow(a - lag(a) OVER w, 2) + pow(b - lag(b) OVER w, 2)) AS step, sqrt(a * a + b * b) AS own FROM e WINDOW w AS (PARTITION BY video ORDER BY m)) "
+)
+
+
+@register("seam_jump_pose", doubles="border interior ratio",
+          sql=SEAM + "SELECT avg(CASE WHEN m % 8 = 0 THEN step END) AS border, avg(CASE WHEN m % 8 <> 0 THEN step END) AS interior, avg(CASE WHEN m % 8 = 0 THEN step END) / avg(CASE WHEN m % 8 <> 0 THEN step END) AS ratio FROM s WHERE step IS NOT NULL")
+def _(spark, d):
+    return WN.seam_jump(windows(spark, d), WN.Geometry(fps=25.0))
+
+
+@register("seam_jump_delta", doubles="border interior ratio",
+          sql=SEAM + "SELECT avg(CASE WHEN (m + 1) % 8 = 0 THEN own END) AS border, avg(CASE WHEN (m + 1) % 8 <> 0 THEN own END) AS interior, avg(CASE WHEN (m + 1) % 8 = 0 THEN own END) / avg(CASE WHEN (m + 1) % 8 <> 0 THEN own END) AS ratio FROM s")
+def _(spark, d):
+    return WN.seam_jump(windows(spark, d), WN.Geometry(fps=25.0), "delta")
+
+
+@register("bandpass", ints="video m", doubles="z0 z1")
+def _(spark, d):
+    b = FL.bandpass(windows(spark, d), 10.0, 0.5, 3.0)
+    return b.select("video", "m", F.col("z")[0].alias("z0"), F.col("z")[1].alias("z1"))
+
+
+@register("filter_walk", ints="video m", doubles="z0 z1")
+def _(spark, d):
+    b = FL.filter_walk(windows(spark, d), 10.0, 5.0, do_filter=False)
+    return b.select("video", "m", F.col("z")[0].alias("z0"), F.col("z")[1].alias("z1"))

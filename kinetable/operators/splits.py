@@ -6,11 +6,13 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from kinetable.functions.scalar import seeded_uniform, squared_distance
 from kinetable.plans.chunks import ordered_index
 from kinetable.plans.draws import pick_smallest, seeded_order
+from kinetable.plans.ranks import value_range
 
 
 def subject_holdout(df: DataFrame, group: str, frac: float, seed: int = 0, order: str | None = None) -> DataFrame:
@@ -41,8 +43,11 @@ def leave_one_group_out(df: DataFrame, group: str, within: str | None = None) ->
     keys = [within] if within else []
     g = df.select(*keys, group).distinct().withColumn("_g", F.lit(0))
     part = keys or ["_g"]
-    bucket = F.lit(0).cast("long")
-    g = ordered_index(g, part, bucket, [group], "fold").drop("_g")
+    # order ranges that grow with the group: sketch ranges for numbers, the first character for text
+    if isinstance(g.schema[group].dataType, T.NumericType):
+        g = ordered_index(value_range(g, part, group), part, F.col("_range"), [group], "fold").drop("_g", "_range")
+    else:
+        g = ordered_index(g, part, F.ascii(F.col(group)).cast("long"), [group], "fold").drop("_g")
     return df.join(g, [*keys, group])
 
 

@@ -8,8 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinetable.plans.chunks import CHUNK, over_halo, ordered_index, shift
-from kinetable.plans.quantiles import exact_quantiles
+from kinetable.plans.chunks import CHUNK, over_halo, shift
 
 
 @dataclass(frozen=True)
@@ -188,3 +187,26 @@ def token_change_points(tokens: DataFrame, w: int, size: int = CHUNK) -> DataFra
     total = tokens.groupBy("clip_id", "layer").agg((F.max("t") + 1).alias("_n"))
     t = t.join(total, ["clip_id", "layer"]).where((F.col("t") >= w) & (F.col("t") < F.col("_n") - w))
     return t.where(mode(F.col("_b")) != mode(F.col("_a"))).select("clip_id", "layer", "t")
+
+
+def seam_jump(rows: DataFrame, geom: Geometry, stream: str = "pose") -> DataFrame:
+    """One row: mean step across clip borders, mean step inside clips and their ratio.
+
+    Pose windows step from m - 1 to m and cross a border where m is a multiple
+    of the windows kept per clip; delta elements are steps already, so their own
+    norm is read and the border is where m + 1 is a multiple.
+    """
+    size = lambda a: F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + x * x))
+    if stream == "delta":
+        d = rows.select((F.col("m") + 1).alias("i"), size(F.col("z")).alias("step"))
+    else:
+        p = shift(rows, ["video"], "m", {"_p": ("z", -1)}).where("_p IS NOT NULL")
+        d = p.select(F.col("m").alias("i"), size(F.zip_with("z", "_p", lambda a, b: a - b)).alias("step"))
+    edge = F.col("i") % geom.step == 0
+    out = d.agg(F.avg(F.when(edge, F.col("step"))).alias("border"), F.avg(F.when(~edge, F.col("step"))).alias("interior"))
+    return out.withColumn("ratio", F.col("border") / F.col("interior"))
+
+
+def seam_frequencies(geom: Geometry) -> dict[str, float]:
+    """The two frequencies read for clip-border lines: by kept windows per clip and by windows per clip."""
+    return {"border_line": geom.f_win / geom.step, "gate_probe": geom.f_win / geom.W}
