@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .shared import Scratch
 from .tokens import encoder, slices
 
-PIECES = "doc_id {id}, part int, start long, length long, ids_crc32 long, doc_tokens long, row_key long"
+PIECES = "doc_id {id}, start long, length long, ids_crc32 long, doc_tokens long, piece long"
 
 
 class OpenWindows:
@@ -90,23 +90,26 @@ def pieces(docs: DataFrame, tokenizer: str, size: int, end_id: int, doc_id: str,
     schema = PIECES.format(id=kind) + (", ids binary" if with_ids else "")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc = encoder(tokenizer)
+        from pyspark import TaskContext
+
+        enc, key = encoder(tokenizer), TaskContext.get().partitionId() << 33
         for frame in frames:
             rows = []
-            texts, docs_, row_keys = frame["text"].tolist(), frame["doc_id"].tolist(), frame["row_key"].tolist()
+            texts, owners = frame["text"].tolist(), frame["doc_id"].tolist()
             for a, b in slices(texts):
                 ids_all, bounds = enc.encode(texts[a:b])
-                for doc, row_key, lo, hi in zip(docs_[a:b], row_keys[a:b], bounds[:-1], bounds[1:]):
+                for doc, lo, hi in zip(owners[a:b], bounds[:-1], bounds[1:]):
                     ids = np.append(ids_all[lo:hi], np.uint32(end_id)).astype("<u4")
-                    for n, (start, own) in enumerate(cut(ids, size)):
+                    for start, own in cut(ids, size):
                         raw = own.tobytes()
-                        rows.append((None if pd.isna(doc) else doc, n, start, len(own), zlib.crc32(raw), len(ids), row_key, *([raw] if with_ids else [])))
-            names = ["doc_id", "part", "start", "length", "ids_crc32", "doc_tokens", "row_key", *(["ids"] if with_ids else [])]
+                        rows.append((None if pd.isna(doc) else doc, start, len(own), zlib.crc32(raw), len(ids), key, *([raw] if with_ids else [])))
+                        key += 1
+            names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "piece", *(["ids"] if with_ids else [])]
             out = pd.DataFrame(rows, columns=names)
             out["doc_id"] = out["doc_id"].astype("Int64") if kind in ("int", "bigint") else out["doc_id"]
             yield out
 
-    source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.monotonically_increasing_id().alias("row_key"))
+    source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     return source.mapInPandas(run, schema)
 
 
@@ -123,19 +126,18 @@ def pack(
     """Piece rows with sequence_id and offset; ``with_ids`` adds the ids themselves as little-endian unsigned 32-bit."""
     scratch = Scratch(docs.sparkSession, "packing")
     cuts = scratch.keep(pieces(docs, tokenizer, size, end_id, doc_id, text, with_ids), "pieces")
-    # full windows: numbered within the packing key, so ids of sequences never meet those of packed rests
-    full = cuts.where(F.col("length") == size)
-    full = full.withColumn("sequence_id", F.shiftleft(F.col("row_key"), 16).bitwiseXOR(F.col("part").cast("long"))).withColumn("offset", F.lit(0).cast("long"))
+    # a full window is its own sequence, numbered by its piece; sequences of packed rests have negative numbers
+    full = cuts.where(F.col("length") == size).withColumn("sequence_id", F.col("piece")).withColumn("offset", F.lit(0).cast("long"))
     rest = cuts.where(F.col("length") < size)
     groups = max(1, math.ceil(rest.count() / group_rows))
-    rest = rest.withColumn("grp", F.pmod(F.xxhash64("row_key"), F.lit(groups)))
+    rest = rest.withColumn("grp", F.pmod(F.xxhash64("piece"), F.lit(groups)))
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["length", "row_key"], ascending=[False, True], kind="stable")
+        frame = frame.sort_values(["length", "piece"], ascending=[False, True], kind="stable")
         window, offset = best_fit(frame["length"].to_numpy("i8"), size)
         return frame.drop(columns="grp").assign(sequence_id=-1 - (frame["grp"].to_numpy("i8") * group_span + window), offset=offset)
 
     # a group's windows are at most its pieces; eight times the mean size is far beyond what a hash deals out
     group_span = 8 * group_rows
     packed = rest.groupBy("grp").applyInPandas(run, full.schema)
-    return full.unionByName(packed).drop("part", "row_key")
+    return full.unionByName(packed).drop("piece")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, sharding
+from . import exact_dedup, language, packing, quality, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -76,3 +76,25 @@ FROM body b JOIN now USING (doc_id) JOIN grown USING (doc_id)"""
 @query("op8_hash_tree_shards", _SHARD_SQL)
 def op8(spark, sf_dir):
     return sharding.assign_shards(table(spark, sf_dir, "documents"))
+
+
+def tokenizer_path() -> str:
+    """The public tokenizer file of the contract, wherever it is installed."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query("op1_pack_best_fit")
+def op1(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+@query("op2_language_hierarchy")
+def op2(spark, sf_dir):
+    return language.predict_language(table(spark, sf_dir, "documents"))
+
+
+@query("op9_quality_random_indexing")
+def op9(spark, sf_dir):
+    return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinetable.session import ensure_checkpoint_dir
+from kinetable.session import ensure_checkpoint_dir, ship_package
 
 
 class Scratch:
@@ -18,6 +18,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         ensure_checkpoint_dir(spark)
+        ship_package(spark)
         self.spark = spark
         self.root = f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex[:12]}"
 
