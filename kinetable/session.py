@@ -40,3 +40,23 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the reliable checkpoint folder and restart its plan there."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable on the executors, once per context, from whatever folder the driver was started."""
+    import os
+    import zipfile
+
+    sc = spark.sparkContext
+    if getattr(sc, "_kinetable_shipped", False):
+        return
+    top = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(tempfile.mkdtemp(prefix="spark-"), "kinetable.zip")
+    with zipfile.ZipFile(target, "w") as z:
+        for folder, _, files in os.walk(top):
+            for name in sorted(files):
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    z.write(path, os.path.join("kinetable", os.path.relpath(path, top)))
+    sc.addPyFile(target)
+    sc._kinetable_shipped = True
