@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, language, packing, quality, sharding
+from . import exact_dedup, jaccard, language, packing, quality, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -98,3 +98,8 @@ def op2(spark, sf_dir):
 @query("op9_quality_random_indexing")
 def op9(spark, sf_dir):
     return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op5_jaccard_rtree")
+def op5(spark, sf_dir):
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
