@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, jaccard, language, packing, quality, sharding
+from . import exact_dedup, jaccard, language, packing, phrases, quality, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -103,3 +103,8 @@ def op9(spark, sf_dir):
 @query("op5_jaccard_rtree")
 def op5(spark, sf_dir):
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op4_repeated_phrases")
+def op4(spark, sf_dir):
+    return phrases.remove_repeats(table(spark, sf_dir, "documents"))
