@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, jaccard, language, packing, phrases, quality, sharding
+from . import decontaminate, exact_dedup, jaccard, language, packing, phrases, quality, sharding, token_files, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -108,3 +108,30 @@ def op5(spark, sf_dir):
 @query("op4_repeated_phrases")
 def op4(spark, sf_dir):
     return phrases.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+@query("op7_benchmark_leaks")
+def op7(spark, sf_dir):
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op3_separator_scan")
+def op3(spark, sf_dir):
+    # 49407 ends documents; ordinary text never encodes to it
+    found = token_files.token_counts(table(spark, sf_dir, "documents"), tokenizer_path(), 49407)
+    return found.select("doc_id", "n_tokens", "start", "ordinal")
+
+
+_WARC_SQL = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+g AS (SELECT payload_digest, max(page_id) AS keep FROM p WHERE payload_bytes >= 1000 GROUP BY payload_digest)
+SELECT p.page_id, p.payload_bytes, p.payload_digest,
+  CASE WHEN g.keep IS NULL OR g.keep = p.page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN g.keep <> p.page_id THEN g.keep END AS refers_to
+FROM p LEFT JOIN g ON p.payload_digest = g.payload_digest AND p.payload_bytes >= 1000"""
+
+
+@query("op6_warc_round_trip", _WARC_SQL)
+def op6(spark, sf_dir):
+    found = warc.archive_pages(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
