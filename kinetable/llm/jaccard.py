@@ -234,3 +234,10 @@ def _verified(rows: DataFrame, sets: DataFrame, pairs: DataFrame, k: int, percen
     left, right = found.select(F.col("node").alias("a"), F.col("items").alias("a_items")), found.select(F.col("node").alias("b"), F.col("items").alias("b_items"))
     overlap = F.size(F.array_intersect("a_items", "b_items"))
     return pairs.join(left, "a").join(right, "b").where(overlap * (100 + percent) >= (F.size("a_items") + F.size("b_items")) * percent).select("a", "b")
+
+
+def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The documents with the smallest id of each component; columns as given.  Rows with a null id stay."""
+    groups = near_duplicates(docs, doc_id, text, **options)
+    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, F.col(doc_id) == F.col("_gone"), "left_anti")

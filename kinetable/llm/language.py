@@ -21,8 +21,12 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
+
+from kinetable.session import ship_package
 
 from .hashing import utf8
 from .quality import held_out
@@ -178,14 +182,11 @@ def descend(slope, w: np.ndarray, steps: int, rate: float) -> np.ndarray:
     return w
 
 
-def predict_language(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", width: int = 4096, per_language: int = 500
-) -> DataFrame:
-    """One row per document: doc_id, held_out, lang_pred, score."""
+def fit(docs: DataFrame, doc_id: str, text: str, lang: str, width: int, per_language: int) -> Models:
+    """Models from a sample of the rows that are not held out."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
-    rows = rows.withColumn("held_out", F.coalesce(held_out(F.col("doc_id")), F.lit(False)))
-    usable = rows.where(r"NOT held_out AND lang IS NOT NULL AND doc_id IS NOT NULL AND text RLIKE '\\p{L}'")
-    counts = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}
+    usable = rows.where(F.coalesce(~held_out(F.col("doc_id")), F.lit(False))).where(r"lang IS NOT NULL AND text RLIKE '\\p{L}'")
+    counts = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}  # one row a language
     rate = F.lit(0)
     for code, n in sorted(counts.items()):
         rate = F.when(F.col("lang") == code, F.lit(int(min(1.0, per_language / n) * (1 << 30)))).otherwise(rate)
@@ -198,23 +199,41 @@ def predict_language(
     got = chosen.select(F.xxhash64("doc_id", "text").alias("k"), "lang", "text").mapInPandas(features, "k long, lang string, x binary").toPandas()
     got = got.sort_values(["k", "lang"], kind="stable")
     x = np.frombuffer(b"".join(got["x"]), "f2").reshape(len(got), width).astype("f4")
-    models = docs.sparkSession.sparkContext.broadcast(Models(x, got["lang"].tolist(), width))
-    kind = docs.schema[doc_id].dataType.simpleString()
+    return Models(x, got["lang"].tolist(), width)
 
-    def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            texts = frame["text"].tolist()
+
+def add_language(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", out: tuple[str, str] = ("lang_pred", "score"), width: int = 4096, per_language: int = 500
+) -> DataFrame:
+    """The documents with two more columns, the predicted language and its score; names in ``out`` must be free."""
+    if taken := {c.lower() for c in docs.columns} & {c.lower() for c in out}:
+        raise ValueError(f"columns exist already: {sorted(taken)}")
+    ship_package(docs.sparkSession)
+    models = docs.sparkSession.sparkContext.broadcast(fit(docs, doc_id, text, lang, width, per_language))
+    columns = docs.columns
+    lettered = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("_lettered")
+    at = columns.index(text)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(at).to_pylist()
             parts = [models.value.predict(texts[a:b]) for a, b in slices(texts)]
-            out = frame[["doc_id", "held_out"]].copy()
-            known = frame["lettered"].to_numpy(bool)
-            out["lang_pred"] = np.where(known, np.concatenate([p for p, _ in parts]) if parts else np.empty(0, object), "und")
-            out["score"] = np.where(known, np.concatenate([s for _, s in parts]) if parts else np.empty(0), 0.0)
-            yield out
+            known = batch.column(len(columns)).to_numpy(zero_copy_only=False).astype(bool)
+            named = np.where(known, np.concatenate([p for p, _ in parts]) if parts else np.empty(0, object), "und")
+            sure = np.where(known, np.concatenate([s for _, s in parts]) if parts else np.empty(0), 0.0)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], pa.array(named.tolist(), "string"), pa.array(sure, "float64")], [*columns, *out])
+
+    schema = StructType([*docs.schema.fields, StructField(out[0], StringType()), StructField(out[1], DoubleType())])
+    return docs.select(*[F.col(f"`{c}`") for c in columns], lettered).mapInArrow(score, schema)
+
 
-    lettered = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("lettered")
-    return rows.select("doc_id", "held_out", "text", lettered).mapInPandas(score, f"doc_id {kind}, held_out boolean, lang_pred string, score double")
+def predict_language(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", **options) -> DataFrame:
+    """One row per document: doc_id, held_out, lang_pred, score."""
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
+    return add_language(rows, **options).select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
-def keep_known(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+def keep_known(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", **options) -> DataFrame:
     """The documents that have a language (not ``und``); columns as given."""
-    raise NotImplementedError
+    marks = next((f"_lang{i}", f"_sure{i}") for i in range(len(docs.columns) + 1) if not {f"_lang{i}", f"_sure{i}"} & set(docs.columns))
+    return add_language(docs, doc_id, text, lang, out=marks, **options).where(F.col(marks[0]) != "und").select(*docs.columns)
