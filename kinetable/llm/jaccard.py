@@ -7,7 +7,7 @@ sum over their upper corners.
 One tree over all points prunes little: in so many dimensions the boxes of unrelated documents of like size overlap
 almost fully (see the README).  So the tree is a forest with one tree per shingle, and a document lies only in the
 trees of its prefix: two sets that are similar enough share one of the (1 - t) n + 1 rarest shingles of each.  Rarity is
-read from a counter of fixed size over all documents; it decides the order only, never the result.
+read from counters of fixed size over all documents; it decides the order only, never the result.
 
 Work in a tree never grows with the square of a group of near copies:
 1. equal sets are one node;
@@ -44,20 +44,54 @@ from .tokens import slices
 GROUPS = 64
 BOX = 8
 LEAF = 256
-COUNTERS = 1 << 18
+WORD_CELLS, SHINGLE_CELLS = 1 << 19, 1 << 18
 
 
-def shingle_sets(texts: list[str | None], k: int) -> Iterator[np.ndarray]:
-    """The sorted distinct shingle hashes of each text, ASCII-lower-cased."""
-    words = Words(utf8(texts), lower=True)
+def occurrences(words: Words, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each text its sorted distinct shingle hashes, and the number of a word at which each begins."""
     grams = runs(words.hash, k)
     for a, b in zip(words.first[:-1].tolist(), words.first[1:].tolist()):
         if b - a >= k:
-            yield np.unique(grams[a : b - k + 1])
+            items, at = np.unique(grams[a : b - k + 1], return_index=True)
+            yield items, at + a
         elif b > a:
-            yield mix(runs(words.hash[a:b], b - a) + np.uint64(b - a))
+            yield mix(runs(words.hash[a:b], b - a) + np.uint64(b - a)), np.array([a])
         else:
-            yield np.empty(0, "u8")
+            yield np.empty(0, "u8"), np.empty(0, "i8")
+
+
+def shingle_sets(texts: list[str | None], k: int) -> Iterator[np.ndarray]:
+    """The sorted distinct shingle hashes of each text, ASCII-lower-cased."""
+    return (items for items, _ in occurrences(Words(utf8(texts), lower=True), k))
+
+
+class Rarity:
+    """Orders shingles, rarest first, by counters of a fixed size over all documents.
+
+    A shingle whose own counter stands far above the mean (a repeated passage) comes late, by powers of two; otherwise the
+    product of its words' frequencies decides, as a shingle is at most as frequent as its rarest word.
+    """
+
+    def __init__(self, cells: np.ndarray):
+        words, shingles = cells[:WORD_CELLS], cells[WORD_CELLS:]
+        self.word = np.log2(np.maximum(words, 1)).astype("f4")
+        self.level = np.log2(np.maximum(shingles / max(1.0, 2 * shingles.mean()), 1)).astype("i1")
+
+    @staticmethod
+    def count(texts: list[str | None], k: int, cells: np.ndarray) -> None:
+        words = Words(utf8(texts), lower=True)
+        sets = [items for items, _ in occurrences(words, k)]
+        cells[:WORD_CELLS] += np.bincount((words.hash % np.uint64(WORD_CELLS)).astype("i8"), minlength=WORD_CELLS)
+        if sets:
+            cells[WORD_CELLS:] += np.bincount((np.concatenate(sets) % np.uint64(SHINGLE_CELLS)).astype("i8"), minlength=SHINGLE_CELLS)
+
+    def ranked(self, texts: list[str | None], k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Each text's sorted shingles, and their order from rare to frequent."""
+        words = Words(utf8(texts), lower=True)
+        total = np.concatenate((np.zeros(1), np.cumsum(self.word[(words.hash % np.uint64(WORD_CELLS)).astype("i8")], dtype="f8"), np.zeros(k)))
+        for items, at in occurrences(words, k):
+            frequency = np.round(total[np.minimum(at + k, len(words.hash))] - total[at], 3)
+            yield items, np.lexsort((items, frequency, self.level[(items % np.uint64(SHINGLE_CELLS)).astype("i8")]))
 
 
 def set_key(items: np.ndarray) -> bytes:
@@ -102,11 +136,9 @@ def near_duplicates(
     def count(batches: Iterator[pa.RecordBatch], cells: np.ndarray) -> None:
         for batch in batches:
             for _, _, texts in _batches(batch, "text"):
-                sets = list(shingle_sets(texts, k))
-                if sets:
-                    cells += np.bincount((np.concatenate(sets) % np.uint64(COUNTERS)).astype("i8"), minlength=COUNTERS).astype(cells.dtype)
+                Rarity.count(texts, k, cells)
 
-    counter = spark.sparkContext.broadcast(merged(rows.select("text"), count, COUNTERS, "i8", np.add))
+    rarity = spark.sparkContext.broadcast(Rarity(merged(rows.select("text"), count, WORD_CELLS + SHINGLE_CELLS, "i8", np.add)))
 
     def points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -116,13 +148,12 @@ def near_duplicates(
             ids = batch.column(batch.schema.get_field_index("doc_id"))
             for a, b, texts in _batches(batch, "text"):
                 n, keys, vecs, prefixes = [], [], [], []
-                for s in shingle_sets(texts, k):
+                for s, order in rarity.value.ranked(texts, k):
                     n.append(len(s))
                     keys.append(set_key(s))
                     vecs.append(np.bincount((s >> np.uint64(58)).astype("i8"), minlength=GROUPS).astype("i4"))
-                    rare = counter.value[(s % np.uint64(COUNTERS)).astype("i8")]
                     first = len(s) - need(len(s), percent) + 1 if len(s) else 0
-                    prefixes.append(s[np.lexsort((s, rare))[:first]].view("i8"))
+                    prefixes.append(s[order[:first]].view("i8"))
                 yield pa.RecordBatch.from_arrays(
                     [ids[a:b], pa.array(np.arange(at, at + b - a)), pa.array(n, "int32"), pa.array(keys, "binary"), _lists(vecs, "int32"), _lists(prefixes, "int64")],
                     ["doc_id", "row", "n", "key", "vec", "prefix"],
