@@ -6,8 +6,8 @@ A window is ``length`` consecutive words.  Windows that recur anywhere in the co
    anchors, and only a few positions of a text are named.  Anchors named at one position only are settled: no window with
    such an anchor recurs.  A bit set of bounded size holds the others.
 2. Confirmation.  Windows whose anchor may recur are counted by hash over the corpus; count two or more confirms.
-3. Shards.  Documents are dealt to shards of about ``shard_bytes`` of text, and each confirmed window goes to the shards
-   it occurs in.  A shard joins one occurrence of each of its windows to passages, cuts these into pieces of half a
+3. Shards.  Documents are dealt to shards of about ``shard_bytes`` of text, and the hash of each confirmed window goes to
+   the shards it occurs in.  A shard joins one occurrence of each of its windows to passages, cuts these into pieces of half a
    window and compiles an automaton over word numbers.  All documents of the shard stream through it; every hit is
    extended word by word along its passage, and stretches of a whole window or more are removed.
 
@@ -28,7 +28,7 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .hashing import Words, mix, runs, utf8
@@ -39,10 +39,10 @@ from .tokens import slices
 
 def named_anchors(words: Words, length: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts of all windows inside a text, and the anchor (position, hash) that each names: the leftmost smallest."""
-    if len(words.hash) < length:
-        return np.empty(0, "i8"), np.empty(0, "i8"), np.empty(0, "u8")
+    start = window_starts(words, length)
+    if not len(start):
+        return start, start, np.empty(0, "u8")
     grams = runs(words.hash, anchor)
-    start = np.flatnonzero(words.doc[length - 1 :] == words.doc[: len(words.doc) - length + 1])
     span = length - anchor + 1
     at = np.empty(len(start), "i8")
     views = np.lib.stride_tricks.sliding_window_view(grams, span)
@@ -108,25 +108,30 @@ def kept_texts(words: Words, removed: np.ndarray) -> list[bytes]:
     return [out[a : max(a, b - 1)] for a, b in zip(sizes[:-1].tolist(), sizes[1:].tolist())]
 
 
-def clean_shard(texts: list[str | None], keys: np.ndarray, at_key: np.ndarray, at_pos: np.ndarray, at_hash: np.ndarray, length: int):
-    """Words, removal mask and number of words of each text of one shard, given its confirmed windows."""
+def window_starts(words: Words, length: int) -> np.ndarray:
+    """Starts of all windows that lie inside a text."""
+    if len(words.hash) < length:
+        return np.empty(0, "i8")
+    return np.flatnonzero(words.doc[length - 1 :] == words.doc[: len(words.doc) - length + 1])
+
+
+def clean_shard(texts: list[str | None], confirmed: np.ndarray, length: int) -> tuple[Words, np.ndarray]:
+    """Words of all texts of one shard, and which of them lie in a confirmed window (given by hash)."""
     words = Words(utf8(texts))
-    removed = np.zeros(len(words.hash), bool)
-    if len(at_key):
-        order = np.lexsort((at_pos, at_key))
-        at_key, at_pos, at_hash = at_key[order], at_pos[order], at_hash[order]
-        _, one = np.unique(at_hash, return_index=True)
-        by_key = np.argsort(keys, kind="stable")
-        text = by_key[np.searchsorted(keys[by_key], at_key[one])]
-        start = np.unique(words.first[text] + at_pos[one])
-        passages = _by_text(start, words, length)
-        _, ids = np.unique(words.hash, return_inverse=True)
-        removed = locate(ids, words.first, passages, length)
-    return words, removed
+    start = window_starts(words, length)
+    if not len(start) or not len(confirmed):
+        return words, np.zeros(len(words.hash), bool)
+    hashes = runs(words.hash, length)[start]
+    start = start[np.isin(hashes, confirmed)]
+    _, one = np.unique(runs(words.hash, length)[start], return_index=True)  # one occurrence of each window
+    _, ids = np.unique(words.hash, return_inverse=True)
+    return words, locate(ids, words.first, _by_text(np.sort(start[one]), words, length), length)
 
 
 def _by_text(start: np.ndarray, words: Words, length: int) -> list[tuple[int, int]]:
     """Runs of neighbouring window starts in one text, as (first word, end)."""
+    if not len(start):
+        return []
     doc = words.doc[start]
     cut = np.flatnonzero((np.diff(start) > 1) | (np.diff(doc) != 0))
     begin, last = np.concatenate(([0], cut + 1)), np.concatenate((cut, [len(start) - 1]))
@@ -149,8 +154,7 @@ def remove_repeats(
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, math.ceil(total / shard_bytes))
-    rows = rows.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("key"))
-    rows = rows.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int"))
+    rows = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)).cast("int"))
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -177,30 +181,32 @@ def remove_repeats(
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            keys, shard = batch.column(1).to_numpy(), batch.column(2).to_numpy()
+            texts, shard = batch.column(0).to_pylist(), batch.column(1).to_numpy()
+            found, owner = [np.empty(0, "u8")], [np.empty(0, "i4")]
             for a, b in slices(texts):
                 words = Words(utf8(texts[a:b]))
-                start, _, found = named_anchors(words, length, anchor)
-                at = spots(found)
+                start, _, named = named_anchors(words, length, anchor)
+                at = spots(named)
                 start = start[((maybe.value[at >> 3] >> (at & 7).astype("u1")) & 1).all(0)]
-                doc = words.doc[start]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(runs(words.hash, length)[start].view("i8")), pa.array(shard[a:b][doc]), pa.array(keys[a:b][doc]), pa.array((start - words.first[doc]).astype("i4"))],
-                    ["w", "shard", "key", "pos"],
-                )
-
-    candidates = rows.select("text", "key", "shard").mapInArrow(windows, "w long, shard int, key long, pos int")
-    candidates = scratch.keep(candidates, "windows")
-    confirmed = candidates.groupBy("w").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("w")
-    confirmed = candidates.join(confirmed, "w")
+                found.append(runs(words.hash, length)[start])
+                owner.append(shard[a:b][words.doc[start]])
+            w, of = np.concatenate(found), np.concatenate(owner)
+            order = np.lexsort((of, w))
+            w, of = w[order], of[order]
+            new = np.ones(len(w), bool)
+            new[1:] = (w[1:] != w[:-1]) | (of[1:] != of[:-1])
+            head = np.flatnonzero(new)
+            yield pa.RecordBatch.from_arrays([pa.array(w[head].view("i8")), pa.array(of[head]), pa.array(np.diff(np.append(head, len(w))))], ["w", "shard", "n"])
+
+    # a batch has combined its copies, so a window has at most a row for each shard and batch, however hot it is
+    candidates = rows.select("text", "shard").mapInArrow(windows, "w long, shard int, n long")
+    confirmed = candidates.withColumn("n", F.sum("n").over(Window.partitionBy("w"))).where("n > 1").select("shard", "w")
 
     schema = f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string" + (", kept_text string" if with_text else "")
 
     def clean(left: pa.Table, right: pa.Table) -> pa.Table:
         texts = left.column("text").to_pylist()
-        at = [right.column(c).to_numpy() for c in ("key", "pos", "w")]
-        words, removed = clean_shard(texts, left.column("key").to_numpy(), *at, length)
+        words, removed = clean_shard(texts, right.column("w").to_numpy().view("u8"), length)
         kept = kept_texts(words, removed)
         gone = np.concatenate(([0], np.cumsum(removed)))[words.first]
         columns = {
