@@ -65,7 +65,7 @@ def write_archives(pages: DataFrame, folder: str, most: int = 32 << 20, date: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, files = Parts(folder, ".warc.gz", most), {}
         for batch in batches:
-            for r in batch.to_pylist():
+            for r in (row for at in range(0, batch.num_rows, 64) for row in batch.slice(at, 64).to_pylist()):
                 data = record(r["page_id"], r["url"], r["payload"], r["record_type"], r["refers_to"], date)
                 path, _ = parts.write(data)
                 n, size = files.get(path, (0, 0))
@@ -172,7 +172,7 @@ def read_archives(files: DataFrame, keep_payload: bool = False) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, pa.schema([(c, kinds.get(c, pa.string())) for c in rows[0]]))
 
-    return files.select("path").repartition(F.col("path")).mapInArrow(run, schema)
+    return files.select("path").repartition(max(1, files.count())).mapInArrow(run, schema)
 
 
 def archive_pages(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", revisit_bytes: int = 1000) -> DataFrame:
