@@ -354,12 +354,12 @@ def _(spark, d):
 
 def _mmd(spark, d):
     lat = latents(spark, d)
-    return KE.mmd_test(lat.where("video % 2 = 0"), lat.where("video % 2 = 1"), draws=50)
+    return KE.mmd_test(lat.where("video % 2 = 0"), lat.where("video % 2 = 1"))
 
 
 @register("prior_test", ints="m n", doubles="mmd2 bandwidth p_plus_one")
 def _(spark, d):
-    return KE.prior_test(latents(spark, d), draws=50)
+    return KE.prior_test(latents(spark, d))
 
 
 @register(
@@ -375,7 +375,7 @@ def _(spark, d):
 
 @register("hsic_test_p", ints="n", doubles="hsic p_value")
 def _(spark, d):
-    return KE.hsic_test(latents(spark, d), "clip_id", "mu", "video", draws=20)
+    return KE.hsic_test(latents(spark, d), "clip_id", "mu", "video")
 
 
 Z = (
@@ -400,7 +400,13 @@ def _(spark, d):
     return KE.silhouette(latents(spark, d), "clip_id", "mu", "video")
 
 
-@register("kde_typicality", ints="clip_id", doubles="log_density")
+@register(
+    "kde_typicality", ints="clip_id", doubles="log_density",
+    sql="WITH pt AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings), rf AS (SELECT * FROM pt WHERE label < 5), "
+    "h AS (SELECT stddev_pop(v) * pow(count(DISTINCT vec_id), -1.0 / (max(d) + 4)) AS h, max(d) AS d FROM (SELECT vec_id, unnest(e) AS v, len(e) AS d FROM rf)), "
+    "dd AS (SELECT a.vec_id AS clip_id, -pow(list_distance(a.e, b.e), 2) / (2 * h * h) AS l FROM pt a, rf b, h), m AS (SELECT clip_id, max(l) AS m FROM dd GROUP BY 1) "
+    "SELECT clip_id, any_value(m) + ln(sum(exp(l - m))) - ln(count(*)) - any_value(d) * ln(any_value(h)) - 0.5 * any_value(d) * ln(2 * pi()) AS log_density FROM dd JOIN m USING (clip_id), h GROUP BY 1",
+)
 def _(spark, d):
     lat = latents(spark, d)
     return KE.kde_typicality(lat, lat.where("video < 5"))

@@ -77,9 +77,8 @@ def gmm_bic(df: DataFrame, ks: Sequence[int], vec: str = "mu", seed: int = 0) ->
     n, dim = d.count(), len(df.select(vec).first()[0])
     rows = []
     for k in ks:
-        if k == 1:  # one Gaussian in closed form
-            cov = covariance(df, vec, ddof=0)[1] + 1e-5 * np.eye(dim)
-            ll = -0.5 * n * (dim * math.log(2 * math.pi) + float(np.linalg.slogdet(cov)[1]) + dim)
+        if k == 1:  # one Gaussian in closed form, without a ridge, as the mixtures have none
+            ll = -0.5 * n * (dim * math.log(2 * math.pi) + float(np.linalg.slogdet(covariance(df, vec, ddof=0)[1])[1]) + dim)
         else:
             ll = float(GaussianMixture(k=k, seed=seed, maxIter=50).fit(d).summary.logLikelihood)
         rows.append((k, ll, -2 * ll + (k * dim + k * dim * (dim + 1) // 2 + k - 1) * math.log(n)))

@@ -19,6 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kinetable.functions.assignment import assign
 from kinetable.functions.scalar import seeded_uniform
 from kinetable.plans.chunks import CHUNK, with_halo
 from kinetable.plans.python import spread
@@ -273,37 +274,77 @@ def _update(m: Model, s: dict, d: int, floor: float) -> Model:
     return replace(m, pi=pi, a=a, mean=mean, cov=(cov + cov.transpose(0, 2, 1)) / 2 + floor * np.eye(d))
 
 
-def _start(m: Model, sample: np.ndarray, floor: float) -> Model:
-    """Seeded k-means on a bounded sample for the emissions; a sticky chain."""
+def _start(m: Model, centres: np.ndarray | None, spread_: np.ndarray | None, floor: float) -> Model:
+    """Emissions from k-means centres and the covariance of all rows; a sticky chain."""
     rng = np.random.default_rng([m.seed, m.k])
     k = m.k
     a = np.full((k, k), 0.1 / max(k - 1, 1)) if k > 1 else np.ones((1, 1))
     np.fill_diagonal(a, 0.9 if k > 1 else 1.0)
     pi = np.full(k, 1.0 / k)
     if m.kind == "categorical":
-        e = rng.dirichlet(np.ones(m.n_symbols), k)
-        return replace(m, pi=pi, a=a, emit=e)
-    c = sample[rng.choice(len(sample), k, replace=len(sample) < k)].astype(float)
-    for _ in range(25):
-        near = ((sample[:, None] - c[None]) ** 2).sum(-1).argmin(1)
-        c = np.stack([sample[near == j].mean(0) if (near == j).any() else c[j] for j in range(k)])
-    d = sample.shape[1]
-    cov = np.repeat((np.cov(sample.T, bias=True).reshape(d, d) + floor * np.eye(d))[None], k, axis=0)
+        return replace(m, pi=pi, a=a, emit=rng.dirichlet(np.ones(m.n_symbols), k))
+    d = centres.shape[1]
+    cov = np.repeat((spread_ + floor * np.eye(d))[None], k, axis=0)
     w = np.zeros((k, m.lags * d + 1, d))
-    w[:, -1, :] = c
-    return replace(m, pi=pi, a=a, mean=c, cov=cov, w=w if m.kind == "ar" else None)
+    w[:, -1, :] = centres
+    return replace(m, pi=pi, a=a, mean=centres, cov=cov, w=w if m.kind == "ar" else None)
 
 
-def fit(seqs: DataFrame, models: Sequence[Model], n_iter: int = 50, tol: float = 1e-4, floor: float = FLOOR, sample_cap: int = 2000) -> list[Model]:
+def _centres(seqs: DataFrame, wanted: set[tuple[int, int]], rounds: int = 25) -> tuple[dict[tuple[int, int], np.ndarray], np.ndarray]:
+    """k-means centres for each (k, seed) over all rows, every candidate in one pass a round, and the covariance of all rows.
+
+    Starts are k rows picked by a hash of their place (recording, chunk, row), not of their value.
+    """
+    rows = seqs.select("video", "chunk", F.posexplode("x").alias("at", "v"))
+    keys = sorted(wanted)
+    now = {}
+    for k, seed in keys:
+        got = rows.orderBy(seeded_uniform(seed, "video", "chunk", "at"), "video", "chunk", "at").limit(k).collect()
+        c = np.array([np.atleast_1d(r["v"]) for r in got], float)
+        now[k, seed] = c[np.arange(k) % len(c)]
+    d = next(iter(now.values())).shape[1]
+
+    def sums(batches, now=now):
+        n = {key: np.zeros((key[0], d + 1)) for key in keys}
+        total = np.zeros((1 + d, 1 + d))
+        for pdf in batches:
+            for x in pdf["x"]:
+                x = np.stack([np.atleast_1d(v) for v in x]).astype(float)
+                one = np.column_stack([np.ones(len(x)), x])
+                total += one.T @ one
+                for key, c in now.items():
+                    near = ((x[:, None] - c[None]) ** 2).sum(-1).argmin(1)
+                    np.add.at(n[key], near, one)
+        yield pd.DataFrame({"key": [*range(len(keys)), -1], "s": [*(n[key].ravel() for key in keys), total.ravel()]})
+
+    cov = None
+    for _ in range(rounds):
+        parts = seqs.select("x").mapInPandas(lambda b, f=sums, c=now: f(b, c), "key int, s array<double>")
+        got = parts.select("key", F.posexplode("s").alias("i", "v")).groupBy("key", "i").agg(F.sum("v").alias("v")).toPandas()
+        by = {key: g.sort_values("i")["v"].to_numpy() for key, g in got.groupby("key")}
+        total = by[-1].reshape(1 + d, 1 + d) / by[-1][0]
+        cov = total[1:, 1:] - np.outer(total[0, 1:], total[0, 1:])
+        new = {}
+        for i, key in enumerate(keys):
+            s = by[i].reshape(key[0], d + 1)
+            new[key] = np.where(s[:, :1] > 0, s[:, 1:] / np.maximum(s[:, :1], 1), now[key])
+        same = all(np.allclose(new[key], now[key], atol=1e-9) for key in keys)
+        now = new
+        if same:
+            break
+    return now, cov
+
+
+def fit(seqs: DataFrame, models: Sequence[Model], n_iter: int = 50, tol: float = 1e-4, floor: float = FLOOR) -> list[Model]:
     """EM for every candidate at once.
 
     The log-likelihood belongs to the parameters that were scored, so these are
     the ones returned; a model stops when its gain falls under tol * |previous|.
     """
-    rows = seqs.select(F.explode("x").alias("v")).withColumn("_u", seeded_uniform(0, F.col("v").cast("string")))
-    sample = np.array([np.atleast_1d(r["v"]) for r in rows.orderBy("_u").limit(sample_cap).collect()], float)
-    d = sample.shape[1]
-    models = [m if m.a is not None else _start(m, sample, floor) for m in models]
+    fresh = {(m.k, m.seed) for m in models if m.a is None and m.kind != "categorical"}
+    centres, spread_ = _centres(seqs, fresh) if fresh else ({}, None)
+    d = spread_.shape[0] if spread_ is not None else next((m.mean.shape[1] for m in models if m.mean is not None), 1)
+    models = [m if m.a is not None else _start(m, centres.get((m.k, m.seed)), spread_, floor) for m in models]
     for it in range(n_iter):
         live = [i for i, m in enumerate(models) if not m.done]
         if not live:
@@ -440,21 +481,9 @@ def sequence_loglik(seqs: DataFrame, m: Model) -> DataFrame:
 
 
 def align(models: Sequence[Model]) -> Model:
-    """Match every model's states to the first one's by emission means (greedy on K x K distances refined by swaps) and average the parameters."""
+    """Match every model's states to the first one's at least total distance of emission means and average the parameters."""
     ref = models[0]
-    orders = []
-    for m in models:
-        cost = ((ref.mean[:, None] - m.mean[None]) ** 2).sum(-1)
-        perm = list(range(ref.k))
-        better = True
-        while better:
-            better = False
-            for i in range(ref.k):
-                for j in range(i + 1, ref.k):
-                    if cost[i, perm[j]] + cost[j, perm[i]] < cost[i, perm[i]] + cost[j, perm[j]] - 1e-12:
-                        perm[i], perm[j] = perm[j], perm[i]
-                        better = True
-        orders.append(np.array(perm))
+    orders = [assign(np.sqrt(((ref.mean[:, None] - m.mean[None]) ** 2).sum(-1))) for m in models]
     avg = lambda f: np.mean([f(m, p) for m, p in zip(models, orders)], axis=0)
     pi, a = avg(lambda m, p: m.pi[p]), avg(lambda m, p: m.a[np.ix_(p, p)])
     w = avg(lambda m, p: m.w[p]) if ref.w is not None else None

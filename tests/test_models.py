@@ -64,7 +64,8 @@ def test_nearest_two_brute_force(spark):
 def test_pair_quantile_brute_force(spark):
     x = np.random.default_rng(2).normal(size=(60, 4))
     d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))[np.triu_indices(60, 1)]
-    assert KE.pair_quantile(spark, x) == pytest.approx(np.median(d), abs=1e-9)
+    tiles = KE.Tiles(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>"), 7)
+    assert KE.pair_quantile(tiles) == pytest.approx(np.median(d), abs=1e-9)
 
 
 def test_rank_sum_p_values():
