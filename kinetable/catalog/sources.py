@@ -324,7 +324,7 @@ def _(spark, d):
     return C.closeness_and_inbound(C.passage_times(C.matrices(pooled_matrix(state_paths(spark, d)), ["one"], "p", K), ["one"], K), ["one"], K)
 
 
-@register("degenerate_centralities", ints="state", doubles="out_degree right_perron pi pagerank_85 pagerank_85_l1 pagerank_95 pagerank_99")
+@register("degenerate_centralities", ints="state", doubles="out_degree right_perron pi pagerank_85 pagerank_85_l1 pagerank_95 pagerank_95_l1 pagerank_99 pagerank_99_l1 out_degree_is_one right_is_constant")
 def _(spark, d):
     return C.degenerate_centralities(C.matrices(pooled_matrix(state_paths(spark, d)), ["one"], "p", K), ["one"], K)
 

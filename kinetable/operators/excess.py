@@ -40,60 +40,63 @@ def uniform_null(path: DataFrame, similarity: DataFrame) -> DataFrame:
 
 
 def _draw_words(counts: np.ndarray, s: np.ndarray, draws: int, lag: int, rng) -> tuple[np.ndarray, np.ndarray]:
-    """Statistic and log weight of sequential draws; a word is never stored, only its last ``lag`` states.
+    """Statistic and log importance weight of ``draws`` words without adjacent repeats, drawn letter by letter.
 
-    A state is offered only if the rest can still be laid out without repeats.
+    With r letters left to place, a letter of which more than ceil(r / 2) are left cannot be laid out any more.  So
+    after a letter is taken no count may pass that bound, and the letter just taken may not pass floor(r / 2).  Among the
+    letters that keep the word possible one is drawn in proportion to its count; -inf marks a dead end.
     """
     k, n = len(counts), int(counts.sum())
-    m = np.tile(counts.astype(np.int64), (draws, 1))
-    row = np.arange(draws)
-    recent = np.full((lag, draws), -1)
-    logw, total = np.zeros(draws), np.zeros(draws)
-    for t in range(n):
-        left = n - t
-        top = np.sort(m, axis=1)
-        first, second = top[:, -1], (top[:, -2] if k > 1 else np.zeros(draws, int))
-        # largest count among the other states
-        rest = np.where((m == first[:, None]) & ((m == first[:, None]).sum(1) == 1)[:, None], second[:, None], first[:, None])
-        ok = (m > 0) & (m - 1 <= (left - 1) // 2) & (rest <= left // 2)
-        last = recent[-1]
-        ok[row[last >= 0], last[last >= 0]] = False
-        w = np.where(ok, m, 0).astype(float)
-        tot = w.sum(1)
-        alive = tot > 0
-        cum = np.cumsum(w, axis=1)
-        pick = np.minimum((cum <= (rng.random(draws) * tot)[:, None]).sum(1), k - 1)
+    left = np.broadcast_to(counts, (draws, k)).astype(np.int64)
+    ids, letters = np.arange(draws), np.arange(k)
+    word = np.full((n, draws), -1, np.int16)
+    logw = np.zeros(draws)
+    for place in range(n):
+        rest = n - place - 1
+        over = left > (rest + 1) // 2
+        fits = (left > 0) & (over.sum(1, keepdims=True) - over == 0) & (left - 1 <= rest // 2)
+        if place:
+            fits &= letters != word[place - 1][:, None]
         with np.errstate(divide="ignore", invalid="ignore"):
-            logw -= np.where(alive, np.log(w[row, pick] / tot), np.inf)
-        if t >= lag:
-            total += s[recent[0], pick]
-        m[row, pick] -= 1
-        recent = np.vstack([recent[1:], pick[None, :]])
-    return total / (n - lag), logw
+            score = np.where(fits, np.log(left) + rng.gumbel(size=(draws, k)), -np.inf)  # the largest is a draw by count
+            take = score.argmax(1)
+            open_ = np.where(fits, left, 0).sum(1)
+            logw += np.where(open_ > 0, np.log(open_) - np.log(left[ids, take]), -np.inf)
+        word[place] = take
+        left = left - (letters == take[:, None])
+    return s[word[:-lag], word[lag:]].mean(0), logw
 
 
 def _chain_words(counts: np.ndarray, s: np.ndarray, draws: int, lag: int, rng) -> np.ndarray:
-    """Statistics of a transposition chain over no-repeat words, started from one valid layout."""
+    """Statistics of ``draws`` independent chains over words without adjacent repeats, all advanced in lock step.
+
+    A chain starts from the letters laid out on even, then odd places, most frequent first.  Its moves are the exchange of
+    two places and, once every n moves, the reversal of a stretch; both are their own inverse, so the law is uniform.
+    """
     n = int(counts.sum())
-    order = np.repeat(np.argsort(-counts, kind="stable"), np.sort(counts)[::-1])
-    word = np.empty(n, int)
-    word[0::2], word[1::2] = order[: (n + 1) // 2], order[(n + 1) // 2:]
-    out = np.empty(draws)
-    steps = max(2000, 10 * n)
-    for d in range(draws):
-        w = word.copy()
-        ij = rng.integers(0, n, (steps, 2))
-        spin = rng.random(2 * steps // max(n, 1) + 2) < 0.5
-        for q, (i, j) in enumerate(ij):
-            if w[i] != w[j]:
-                w[i], w[j] = w[j], w[i]
-                bad = any(0 <= a < n - 1 and w[a] == w[a + 1] for a in (i - 1, i, j - 1, j))
-                if bad:
-                    w[i], w[j] = w[j], w[i]
-            if q % max(n // 2, 1) == 0 and spin[min(q // max(n // 2, 1), len(spin) - 1)] and w[0] != w[-1]:
-                w = np.roll(w, 1)
-        out[d] = s[w[:-lag], w[lag:]].mean()
-    return out
+    letters = np.repeat(np.argsort(-counts, kind="stable"), np.sort(counts)[::-1])
+    first = np.empty(n, np.int64)
+    first[[*range(0, n, 2), *range(1, n, 2)]] = letters
+    word = np.full((draws, n + 2), -1)  # walls that equal no letter
+    word[:, 1:-1] = first
+    ids = np.arange(draws)
+    for move in range(max(2000, 10 * n)):
+        a, b = rng.integers(1, n + 1, (2, draws))
+        if move % n:
+            x, y = word[ids, a], word[ids, b]
+            word[ids, a], word[ids, b] = y, x
+            clash = np.zeros(draws, bool)
+            for at in (a, b):
+                clash |= (word[ids, at] == word[ids, at - 1]) | (word[ids, at] == word[ids, at + 1])
+            word[ids[clash], a[clash]], word[ids[clash], b[clash]] = x[clash], y[clash]
+        else:
+            lo, hi = np.minimum(a, b), np.maximum(a, b)
+            good = (word[ids, hi] != word[ids, lo - 1]) & (word[ids, lo] != word[ids, hi + 1])
+            at = np.arange(n + 2)[None, :]
+            inside = (at >= lo[:, None]) & (at <= hi[:, None]) & good[:, None]
+            word = np.take_along_axis(word, np.where(inside, lo[:, None] + hi[:, None] - at, at), 1)
+    inner = word[:, 1:-1]
+    return s[inner[:, :-lag], inner[:, lag:]].mean(1)
 
 
 def no_repeat_null(path: DataFrame, similarity: DataFrame, k: int, draws: int = 2000, lag: int = 1, batches: int = 16, seed: int = 0) -> DataFrame:
