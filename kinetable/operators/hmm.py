@@ -290,7 +290,7 @@ def _start(m: Model, centres: np.ndarray | None, spread_: np.ndarray | None, flo
     return replace(m, pi=pi, a=a, mean=centres, cov=cov, w=w if m.kind == "ar" else None)
 
 
-def _centres(seqs: DataFrame, wanted: set[tuple[int, int]], rounds: int = 25) -> tuple[dict[tuple[int, int], np.ndarray], np.ndarray]:
+def _centres(seqs: DataFrame, wanted: set[tuple[int, int]], rounds: int = 10) -> tuple[dict[tuple[int, int], np.ndarray], np.ndarray]:
     """k-means centres for each (k, seed) over all rows, every candidate in one pass a round, and the covariance of all rows.
 
     Starts are k rows picked by a hash of their place (recording, chunk, row), not of their value.

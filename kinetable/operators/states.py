@@ -13,6 +13,7 @@ from pyspark.sql.window import Window as W
 
 from kinetable.plans.chunks import CHUNK, over_halo, prefix_sum, shift
 from kinetable.plans.quantiles import exact_quantiles
+from kinetable.session import cut_lineage
 
 PATH_KEYS = ["video"]
 
@@ -134,20 +135,41 @@ def transition_rate(path: DataFrame, f_win: float, keys: Sequence[str] = PATH_KE
 
 
 def walk_metric_table(path: DataFrame, k: int, f_win: float, wide: bool = False) -> DataFrame:
-    """occ_k, dwell_k (median), maxdwell_k, trans_rate and trans_entropy per recording, long or wide."""
-    occ = occupancy(path, k).select("video", F.concat(F.lit("occ_"), "state").alias("metric"), F.col("occupancy").alias("value"))
-    dw = dwell_stats(path, k, f_win)
-    med = dw.select("video", F.concat(F.lit("dwell_"), "state").alias("metric"), F.col("median_dwell").alias("value"))
-    top = dw.select("video", F.concat(F.lit("maxdwell_"), "state").alias("metric"), F.col("max_dwell").alias("value"))
-    rate = transition_rate(path, f_win).select("video", F.lit("trans_rate").alias("metric"), F.col("trans_rate").alias("value"))
-    ent = transition_entropy(transition_matrix(transition_counts(path, k), k, "zero"), k).select(
-        "video", F.lit("trans_entropy").alias("metric"), F.col("trans_entropy").alias("value")
+    """occ_k, dwell_k (median), maxdwell_k, trans_rate and trans_entropy per recording, long or wide.
+
+    Everything is read from the table of visits, made once: windows of a state are its dwells, stays are dwell - 1, and
+    changes are neighbouring visits.  A row of the transition matrix with n windows out has entropy
+    ln n - sum(c ln c) / n over its cells c.
+    """
+    visits = cut_lineage(visit_sequence(path))
+    moves = shift(visits, ["video"], "visit", {"_next": ("state", 1)})
+    log = lambda c: F.when(c > 0, c * F.ln(c)).otherwise(0.0)
+    cells = moves.groupBy("video", "state", "_next").agg(F.count("*").alias("runs"), F.sum("dwell").alias("windows"), F.max("dwell").alias("longest"))
+    out = F.col("_next").isNotNull()
+    rows = cells.groupBy("video", "state").agg(
+        F.sum("windows").alias("windows"), F.max("longest").alias("longest"), (F.sum("windows") - F.sum("runs")).alias("stays"),
+        F.sum(F.when(out, F.col("runs")).otherwise(0)).alias("leaves"), F.sum(F.when(out, log(F.col("runs"))).otherwise(0.0)).alias("leaves_log"),
+    )
+    median = exact_quantiles(visits, ["video", "state"], "dwell", {"median": 0.5})
+    n = F.col("stays") + F.col("leaves")
+    entropy = F.when(n > 0, F.ln(n) - (log(F.col("stays")) + F.col("leaves_log")) / n).otherwise(0.0)
+    each = rows.join(median, ["video", "state"]).groupBy("video").agg(
+        F.sum("windows").alias("n"), F.sum("leaves").alias("changes"), (F.sum(entropy) / F.lit(float(k))).alias("entropy"),
+        F.map_from_entries(F.collect_list(F.struct("state", F.struct("windows", "median", "longest")))).alias("of"),  # k entries at most
     )
-    long = occ.unionByName(med).unionByName(top).unionByName(rate).unionByName(ent)
-    if not wide:
-        return long
-    names = [f"{m}_{s}" for m in ("occ", "dwell", "maxdwell") for s in range(k)] + ["trans_rate", "trans_entropy"]
-    return long.groupBy("video").pivot("metric", names).agg(F.first("value"))
+
+    def metric(name, value):
+        return F.struct(F.lit(name).alias("metric"), value.cast("double").alias("value"))
+
+    def of(s, field, unit):
+        return F.coalesce(F.try_element_at("of", F.lit(s))[field] / unit, F.lit(0.0))
+
+    sec = F.lit(float(f_win))
+    values = [metric(f"{m}_{s}", of(s, field, unit)) for m, field, unit in (("occ", "windows", F.col("n")), ("dwell", "median", sec), ("maxdwell", "longest", sec)) for s in range(k)]
+    values += [metric("trans_rate", F.col("changes") / (F.col("n") / sec)), metric("trans_entropy", F.col("entropy"))]
+    if wide:
+        return each.select("video", *[v["value"].alias(name) for v, name in zip(values, [f"{m}_{s}" for m in ("occ", "dwell", "maxdwell") for s in range(k)] + ["trans_rate", "trans_entropy"])])
+    return each.select("video", F.explode(F.array(*values)).alias("m")).select("video", "m.metric", "m.value")
 
 
 def subject_rollup(metrics: DataFrame, walks: DataFrame, labels: Sequence[str]) -> DataFrame:
