@@ -36,8 +36,9 @@ RECORDS = "record_id string, record_type string, target_uri string, refers_to st
 def decide(pages: DataFrame, page_id: str, payload: str, revisit_bytes: int) -> DataFrame:
     """The rows with record_type and refers_to."""
     rows = pages.withColumn("_size", F.octet_length(payload))
-    rows = rows.withColumn("_same", F.when(F.col("_size") >= revisit_bytes, F.sha2(payload, 256)))
-    first = rows.where("_same IS NOT NULL").groupBy("_same").agg(F.max(page_id).alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    # a small payload's key is its row's own, so small ones neither meet nor crowd one partition
+    rows = rows.withColumn("_same", F.when(F.col("_size") >= revisit_bytes, F.sha2(payload, 256)).otherwise(F.xxhash64(page_id, payload).cast("string")))
+    first = rows.where(F.col("_size") >= revisit_bytes).groupBy("_same").agg(F.max(page_id).alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
     rows = rows.join(first, "_same", "left")
     again = F.col("_n").isNotNull() & ~F.col(page_id).eqNullSafe(F.col("_first"))
     return rows.withColumn("record_type", F.when(again, "revisit").otherwise("response")).withColumn("refers_to", F.when(again, F.col("_first"))).drop("_size", "_same", "_first", "_n")
