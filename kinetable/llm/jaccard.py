@@ -163,7 +163,8 @@ def near_duplicates(
     all_points = scratch.keep(rows.mapInArrow(points, "doc_id long, row long, n int, key binary, vec array<int>, prefix array<long>"), "points")
     ids = scratch.keep(all_points.select("doc_id", "row", "n", "key"), "ids")
     sets = scratch.keep(ids.where("n > 0").groupBy("key").agg(F.min("row").alias("node"), F.min("doc_id").alias("low"), F.first("n").alias("n")), "sets")
-    nodes = all_points.join(sets.select("node"), F.col("row") == F.col("node"), "left_semi").select(F.col("row").alias("node"), "n", "vec", "prefix")
+    nodes = all_points.join(sets.select("node"), F.col("row") == F.col("node"), "left_semi")
+    nodes = nodes.select(F.col("row").alias("node"), "n", "vec", coarse("vec").alias("box"), "prefix")
     nodes = scratch.keep(nodes, "nodes")
     scratch.drop("points")
 
@@ -195,20 +196,27 @@ def _bounded(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return pairs.join(_side(nodes, "a"), "a").join(_side(nodes, "b"), "b").where(passes("a_", "b_", percent)).select("a", "b")
 
 
+def coarse(vec: str) -> Column:
+    """The count vector summed to BOX coordinates; its bound holds too, and it is short."""
+    step = GROUPS // BOX
+    return F.array(*[F.aggregate(F.slice(vec, 1 + i * step, step), F.lit(0), lambda s, x: s + x) for i in range(BOX)])
+
+
 def _leaf_pairs(shared: DataFrame, nodes: DataFrame, roots: DataFrame, percent: int, leaf_rows: int) -> DataFrame:
-    """Entry pairs of different components in one tree that pass the bounds of their leaves and their own."""
+    """Entry pairs of different components in one tree that pass the bounds of their leaves and their own.
+
+    Entries and boxes carry BOX coordinates; the full vectors join the pairs that are left.
+    """
     open_trees = shared.where("c > 2").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = open_trees.groupBy("tree").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("tree")
-    entries = open_trees.where("node <> pivot").join(mixed, "tree").select("tree", "node", "root")
-    entries = entries.join(nodes.select("node", "n", "vec"), "node")
+    entries = open_trees.where("node <> pivot").join(mixed, "tree", "left_semi").select("tree", "node", "root")
+    entries = entries.join(nodes.select("node", "n", "box"), "node")
     entries = entries.withColumn("band", F.floor(F.log("n") / float(-np.log(percent / 100))).cast("int"))
     sizes = entries.groupBy("tree", "band").agg(F.ceil(F.count(F.lit(1)) / leaf_rows).alias("leaves"))
-    entries = entries.join(sizes, ["tree", "band"]).withColumn("part", F.pmod(F.xxhash64("node"), F.col("leaves")))
-    step = GROUPS // BOX
-    coarse = [F.aggregate(F.slice("vec", 1 + i * step, step), F.lit(0), lambda s, x: s + x) for i in range(BOX)]
-    entries = entries.select("tree", "node", "root", "n", "vec", "band", "part")
+    entries = entries.join(sizes, ["tree", "band"]).withColumn("part", F.pmod(F.xxhash64("node"), F.col("leaves"))).drop("leaves")
+    entries = Scratch(shared.sparkSession, "leaves").keep(entries, "entries")
     leaves = entries.groupBy("tree", "band", "part").agg(
-        F.min("n").alias("least"), F.min("root").alias("r0"), F.max("root").alias("r1"), *[F.max(c).alias(f"m{i}") for i, c in enumerate(coarse)]
+        F.min("n").alias("least"), F.min("root").alias("r0"), F.max("root").alias("r1"), *[F.max(F.col("box")[i]).alias(f"m{i}") for i in range(BOX)]
     ).select("tree", "band", "part", "least", "r0", "r1", F.array(*[f"m{i}" for i in range(BOX)]).alias("top"))
 
     def renamed(df: DataFrame, mark: str) -> DataFrame:
@@ -222,8 +230,9 @@ def _leaf_pairs(shared: DataFrame, nodes: DataFrame, roots: DataFrame, percent:
     left = pairs.join(renamed(entries, "x"), ["tree", "xband", "xpart"])
     right = renamed(entries, "y")
     same = (F.col("xband") != F.col("yband")) | (F.col("xpart") != F.col("ypart")) | (F.col("xnode") < F.col("ynode"))
-    both = left.join(right, ["tree", "yband", "ypart"]).where(same & (F.col("xroot") != F.col("yroot")) & passes("x", "y", percent))
-    return both.select(F.least("xnode", "ynode").alias("a"), F.greatest("xnode", "ynode").alias("b")).distinct()
+    near = bound(F.col("xbox"), F.col("ybox")) * (100 + percent) >= (F.col("xn") + F.col("yn")) * percent
+    both = left.join(right, ["tree", "yband", "ypart"]).where(same & (F.col("xroot") != F.col("yroot")) & near)
+    return _bounded(both.select(F.least("xnode", "ynode").alias("a"), F.greatest("xnode", "ynode").alias("b")).distinct(), nodes, percent)
 
 
 def _verified(rows: DataFrame, sets: DataFrame, pairs: DataFrame, k: int, percent: int, scratch: Scratch, name: str) -> DataFrame:
