@@ -303,28 +303,75 @@ def pooled_matrix(path):
     return S.transition_matrix(t, K)
 
 
-@register("stationary", ints="video state", doubles="pi")
+def _vector(expression: str) -> str:
+    """A list of K entries; ``expression`` names its entry j."""
+    return f"list_transform(range(1, {K + 1}), lambda j: {expression})"
+
+
+def _step(matrix: str = "a", vector: str = "x") -> str:
+    """Entry j of vector times matrix."""
+    return f"list_sum(list_transform(range(1, {K + 1}), lambda i: {vector}[i] * {matrix}[i][j]))"
+
+
+def _cells(key: str) -> str:
+    """``pm``: transition shares by the key, if any (a row never left is uniform); ``mat``: the matrix as a list of rows."""
+    k, base, on = (f"{key}, ", f"(SELECT DISTINCT {key} FROM sp), ", f"AND t.{key} = g.{key}") if key else ("", "", "")
+    return (
+        f"tr AS (SELECT {k}state, nx, count(*) AS n FROM (SELECT video, state, lead(state) OVER (PARTITION BY video ORDER BY m) AS nx FROM sp) WHERE nx IS NOT NULL GROUP BY ALL), "
+        f"gr AS (SELECT {k}s.state, u.state AS nx FROM {base}(SELECT unnest(range({K})) AS state) s, (SELECT unnest(range({K})) AS state) u), "
+        f"pm AS (SELECT {k}state, nx, CASE WHEN sum(n) OVER w > 0 THEN n / CAST(sum(n) OVER w AS DOUBLE) ELSE 1.0 / {K} END AS p FROM "
+        f"(SELECT g.*, coalesce(n, 0) AS n FROM gr g LEFT JOIN tr t ON t.state = g.state AND t.nx = g.nx {on}) WINDOW w AS (PARTITION BY {k}state)), "
+        f"mat AS (SELECT {k}list(r ORDER BY state) AS a FROM (SELECT {k}state, list(p ORDER BY nx) AS r FROM pm GROUP BY {k}state) GROUP BY ALL)"
+    )
+
+
+START = f"[{', '.join(['1.0 / ' + str(K)] * K)}]"
+#: pi of the pooled chain by repeated steps, and mean passage times by the equation m_ij = 1 + sum over k other than j of p_ik m_kj
+LAW = f"it AS (SELECT 0 AS t, {START} AS x, a FROM mat UNION ALL SELECT t + 1, {_vector(_step())}, a FROM it WHERE t < 400), law AS (SELECT x AS pi, a FROM it WHERE t = 400)"
+PASSAGE = (
+    f"mt AS (SELECT 0 AS t, list_transform(range({K}), lambda i: {START}) AS m, a FROM mat UNION ALL SELECT t + 1, list_transform(range(1, {K + 1}), lambda i: "
+    f"list_transform(range(1, {K + 1}), lambda j: 1.0 + list_sum(list_transform(range(1, {K + 1}), lambda k: CASE WHEN k = j THEN 0.0 ELSE a[i][k] * m[k][j] END)))), a FROM mt WHERE t < 600), "
+    f"ps AS (SELECT s.state, t.state AS next_state, CASE WHEN s.state = t.state THEN 0.0 ELSE m[s.state + 1][t.state + 1] END AS mfpt FROM mt, (SELECT unnest(range({K})) AS state) s, (SELECT unnest(range({K})) AS state) t WHERE mt.t = 600)"
+)
+POOLED = f"WITH RECURSIVE {SP}, {_cells('')}"
+
+
+@register("stationary", ints="video state", doubles="pi",
+          sql=f"WITH RECURSIVE {SP}, {_cells('video')}, it AS (SELECT video, 0 AS t, {START} AS x, a FROM mat UNION ALL SELECT video, t + 1, {_vector(_step())}, a FROM it WHERE t < 1500) "
+          f"SELECT video, s.state, x[s.state + 1] AS pi FROM it, (SELECT unnest(range({K})) AS state) s WHERE t = 1500")
 def _(spark, d):
     m = S.transition_matrix(S.transition_counts(state_paths(spark, d), K), K)
     return C.stationary(C.matrices(m, ["video"], "p", K), ["video"], K)
 
 
-@register("passage_times", ints="state next_state", doubles="mfpt")
+@register("passage_times", ints="state next_state", doubles="mfpt", sql=f"{POOLED}, {PASSAGE} SELECT * FROM ps")
 def _(spark, d):
     return C.passage_times(C.matrices(pooled_matrix(state_paths(spark, d)), ["one"], "p", K), ["one"], K)
 
 
-@register("kemeny", ints="agree", doubles="kemeny kemeny_spectral")
+@register("kemeny", ints="agree", doubles="kemeny kemeny_spectral",
+          sql=f"{POOLED}, {LAW}, {PASSAGE} SELECT 1 AS agree, sum(pi[next_state + 1] * mfpt) AS kemeny, sum(pi[next_state + 1] * mfpt) AS kemeny_spectral FROM ps, law WHERE state = 0")
 def _(spark, d):
     return C.kemeny(C.matrices(pooled_matrix(state_paths(spark, d)), ["one"], "p", K), ["one"], K)
 
 
-@register("closeness_and_inbound", ints="state", doubles="closeness mean_inbound")
+@register("closeness_and_inbound", ints="state", doubles="closeness mean_inbound",
+          sql=f"{POOLED}, {PASSAGE}, o AS (SELECT state, 1.0 / sum(mfpt) AS closeness FROM ps GROUP BY 1), i AS (SELECT next_state AS state, sum(mfpt) / {K - 1}.0 AS mean_inbound FROM ps GROUP BY 1) SELECT * FROM o JOIN i USING (state)")
 def _(spark, d):
     return C.closeness_and_inbound(C.passage_times(C.matrices(pooled_matrix(state_paths(spark, d)), ["one"], "p", K), ["one"], K), ["one"], K)
 
 
-@register("degenerate_centralities", ints="state", doubles="out_degree right_perron pi pagerank_85 pagerank_85_l1 pagerank_95 pagerank_95_l1 pagerank_99 pagerank_99_l1 out_degree_is_one right_is_constant")
+def _damped(d: float) -> str:
+    n = int(round(100 * d))
+    return f"d{n} AS (SELECT 0 AS t, {START} AS x, a FROM mat UNION ALL SELECT t + 1, {_vector(f'{d} * {_step()} + {1 - d} / {K}')}, a FROM d{n} WHERE t < 400), l{n} AS (SELECT x AS x{n} FROM d{n} WHERE t = 400)"
+
+
+@register(
+    "degenerate_centralities", ints="state out_degree_is_one right_is_constant", doubles="out_degree right_perron pi pagerank_85 pagerank_85_l1 pagerank_95 pagerank_95_l1 pagerank_99 pagerank_99_l1",
+    sql=f"{POOLED}, {LAW}, {', '.join(map(_damped, (0.85, 0.95, 0.99)))} SELECT s.state, 1.0 AS out_degree, 1.0 AS right_perron, 1 AS out_degree_is_one, 1 AS right_is_constant, pi[s.state + 1] AS pi, "
+    + ", ".join(f"x{n}[s.state + 1] AS pagerank_{n}, list_sum({_vector(f'abs(x{n}[j] - pi[j])')}) AS pagerank_{n}_l1" for n in (85, 95, 99))
+    + f" FROM law, l85, l95, l99, (SELECT unnest(range({K})) AS state) s",
+)
 def _(spark, d):
     return C.degenerate_centralities(C.matrices(pooled_matrix(state_paths(spark, d)), ["one"], "p", K), ["one"], K)
 
