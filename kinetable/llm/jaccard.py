@@ -1,6 +1,6 @@
 """Near-duplicate components by exact n-gram Jaccard similarity over a count-vector R-tree.
 
-A document is its set of word shingles.  Shingles are hashed into ``GROUPS`` groups; the counts by group are a point.  For
+A document is its set of word shingles.  Shingles are hashed into groups (64, or more for longer texts); the counts by group are a point.  For
 two points, the sum of coordinate minima bounds the overlap of the sets from above, and for two boxes so does the
 sum over their upper corners.
 
@@ -115,20 +115,40 @@ def _batches(batch: pa.RecordBatch, column: str):
     return [(a, b, texts[a:b]) for a, b in slices(texts)]
 
 
+def resolution(n: int) -> int:
+    """Groups for a set of n shingles: about n / 8, a power of two of at least GROUPS.
+
+    A group is a range of hashes, so two neighbouring groups are one group of the next coarser resolution.
+    """
+    return max(GROUPS, 1 << max(0, min(n, 1 << 15) // 8 - 1).bit_length())
+
+
 def bound(a: Column, b: Column) -> Column:
-    """Summed coordinate minima of two count vectors."""
+    """Summed coordinate minima of two count vectors of one resolution."""
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.least(x, y).cast("int")), F.lit(0), lambda s, x: s + x)
 
 
+def halved(v: Column) -> Column:
+    return F.transform(F.sequence(F.lit(1), (F.size(v) / 2).cast("int")), lambda i: (F.element_at(v, 2 * i - 1) + F.element_at(v, 2 * i)).cast("smallint"))
+
+
+def bound_any(a: Column, b: Column) -> Column:
+    """The same for sets of like size, whose resolutions are equal or a factor of two apart; further apart is no match."""
+    same, first, second = F.size(a) == F.size(b), F.size(a) == 2 * F.size(b), 2 * F.size(a) == F.size(b)
+    return F.when(same, bound(a, b)).when(first, bound(halved(a), b)).when(second, bound(a, halved(b))).otherwise(F.lit(0))
+
+
 def passes(a: str, b: str, percent: int) -> Column:
     """Whether the bound lets the nodes with prefixes a and b be similar."""
-    return bound(F.col(f"{a}vec"), F.col(f"{b}vec")) * (100 + percent) >= (F.col(f"{a}n") + F.col(f"{b}n")) * percent
+    return bound_any(F.col(f"{a}vec"), F.col(f"{b}vec")) * (100 + percent) >= (F.col(f"{a}n") + F.col(f"{b}n")) * percent
 
 
 def near_duplicates(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 4, percent: int = 85, leaf_rows: int = LEAF
 ) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id.  Linked: 100 * overlap >= percent * union."""
+    if not 50 <= percent <= 100:
+        raise ValueError("percent must be 50 to 100: sets of less like sizes have no common resolution")
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
@@ -151,16 +171,17 @@ def near_duplicates(
                 for s, order in rarity.value.ranked(texts, k):
                     n.append(len(s))
                     keys.append(set_key(s))
-                    vecs.append(np.bincount((s >> np.uint64(58)).astype("i8"), minlength=GROUPS).astype("i4"))
+                    groups = resolution(len(s))
+                    vecs.append(np.bincount((s >> np.uint64(65 - groups.bit_length())).astype("i8"), minlength=groups).astype("i2"))
                     first = len(s) - need(len(s), percent) + 1 if len(s) else 0
                     prefixes.append(s[order[:first]].view("i8"))
                 yield pa.RecordBatch.from_arrays(
-                    [ids[a:b], pa.array(np.arange(at, at + b - a)), pa.array(n, "int32"), pa.array(keys, "binary"), _lists(vecs, "int32"), _lists(prefixes, "int64")],
+                    [ids[a:b], pa.array(np.arange(at, at + b - a)), pa.array(n, "int32"), pa.array(keys, "binary"), _lists(vecs, "int16"), _lists(prefixes, "int64")],
                     ["doc_id", "row", "n", "key", "vec", "prefix"],
                 )
                 at += b - a
 
-    all_points = scratch.keep(rows.mapInArrow(points, "doc_id long, row long, n int, key binary, vec array<int>, prefix array<long>"), "points")
+    all_points = scratch.keep(rows.mapInArrow(points, "doc_id long, row long, n int, key binary, vec array<smallint>, prefix array<long>"), "points")
     ids = scratch.keep(all_points.select("doc_id", "row", "n", "key"), "ids")
     sets = scratch.keep(ids.where("n > 0").groupBy("key").agg(F.min("row").alias("node"), F.min("doc_id").alias("low"), F.first("n").alias("n")), "sets")
     nodes = all_points.join(sets.select("node"), F.col("row") == F.col("node"), "left_semi")
@@ -198,8 +219,8 @@ def _bounded(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
 
 def coarse(vec: str) -> Column:
     """The count vector summed to BOX coordinates; its bound holds too, and it is short."""
-    step = GROUPS // BOX
-    return F.array(*[F.aggregate(F.slice(vec, 1 + i * step, step), F.lit(0), lambda s, x: s + x) for i in range(BOX)])
+    step = (F.size(vec) / BOX).cast("int")
+    return F.array(*[F.aggregate(F.slice(vec, F.lit(1) + step * i, step), F.lit(0), lambda s, x: s + x) for i in range(BOX)])
 
 
 def _leaf_pairs(shared: DataFrame, nodes: DataFrame, roots: DataFrame, percent: int, leaf_rows: int) -> DataFrame:

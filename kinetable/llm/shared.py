@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,8 +28,14 @@ class Scratch:
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         df.write.mode("overwrite").option("compression", "zstd").parquet(self.path(name))
+        self.release()
         return self.read(name, df)
 
+    def release(self) -> None:
+        """Let the driver notice which shuffles nothing needs any more, so that executors may delete their files."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def read(self, name: str, like: DataFrame) -> DataFrame:
         return self.spark.read.schema(like.schema).parquet(self.path(name))
 
