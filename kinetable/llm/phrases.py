@@ -8,8 +8,9 @@ A window is ``length`` consecutive words.  Windows that recur anywhere in the co
 2. Confirmation.  Windows whose anchor may recur are counted by hash over the corpus; count two or more confirms.
 3. Shards.  Documents are dealt to shards of about ``shard_bytes`` of text, and the hash of each confirmed window goes to
    the shards it occurs in.  A shard joins one occurrence of each of its windows to passages, cuts these into pieces of half a
-   window and compiles an automaton over word numbers.  All documents of the shard stream through it; every hit is
-   extended word by word along its passage, and stretches of a whole window or more are removed.
+   window and compiles an automaton over word numbers.  The shard's documents that hold a confirmed window stream
+   through it; at a hit the window's occurrence in a passage gives the diagonal, the words are compared along it, and
+   stretches of a whole window or more are removed.
 
 An automaton is never larger than its shard's text, whatever the corpus holds, and total work is proportional to it.
 A passage in a third of all documents is combined before the counting shuffle; its rows are then spread by shard.
@@ -23,6 +24,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import ahocorasick
@@ -52,40 +54,43 @@ def named_anchors(words: Words, length: int, anchor: int) -> tuple[np.ndarray, n
     return start, at, grams[at]
 
 
-def locate(ids: np.ndarray, first: np.ndarray, passages: list[tuple[int, int]], length: int) -> np.ndarray:
+def locate(ids: np.ndarray, first: np.ndarray, passages: list[tuple[int, int]], length: int, twin: np.ndarray) -> np.ndarray:
     """Mask of the words of all texts that lie in an occurrence of a window of a passage.
 
-    ``ids``: word numbers of all texts one after the other; ``first``: bounds of texts; ``passages``: (start, stop) in ids.
+    ``ids``: word numbers of all texts one after the other; ``first``: bounds of texts; ``passages``: (start, stop) in ids,
+    ascending; ``twin``: for each place where a confirmed window should start, its place in a passage, else -1.
+
+    Every such window holds a whole piece.  A hit of a piece looks at the windows around it that are not settled: the
+    window's twin gives the diagonal, and the words are compared along it as far as the passage goes.
     """
     removed = np.zeros(len(ids), bool)
     piece = (length + 1) // 2
     automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-    places: dict[tuple[int, ...], list[int]] = {}
     for a, b in passages:
         for p in range(a, b - piece + 1, piece):
-            places.setdefault(tuple(ids[p : p + piece].tolist()), []).append(p)
-    if not places:
+            automaton.add_word(tuple(ids[p : p + piece].tolist()), True)
+    if not passages:
         return removed
-    for key, where in places.items():
-        automaton.add_word(key, where)
     automaton.make_automaton()
-    bounds = np.array(passages)
+    starts = [a for a, _ in passages]
+    pending = twin >= 0
     for lo, hi in zip(first[:-1].tolist(), first[1:].tolist()):
-        if hi - lo < length:
+        if hi - lo < length or not pending[lo:hi].any():
             continue
-        done: dict[int, int] = {}  # how far the diagonal (text place - passage place) of a passage is settled
-        for end, where in automaton.iter(tuple(ids[lo:hi].tolist())):
+        for end, _ in automaton.iter(tuple(ids[lo:hi].tolist())):
             q = lo + end - piece + 1
-            for p in where:
-                if done.get(q - p, -1) >= q + piece:
-                    continue
-                a, b = bounds[np.searchsorted(bounds[:, 0], p, "right") - 1]
-                left = _same(ids[max(a, p - (q - lo)) : p][::-1], ids[max(lo, q - (p - a)) : q][::-1])
-                stop = min(b - p, hi - q)
-                right = _same(ids[p : p + stop], ids[q : q + stop])
-                done[q - p] = q + right
-                if left + right >= length:
-                    removed[q - left : q + right] = True
+            begin = max(lo, q + piece - length)
+            while (ahead := pending[begin : q + 1]).any():
+                s = begin + int(ahead.argmax())
+                p = int(twin[s])
+                a, b = passages[bisect_right(starts, p) - 1]
+                left = _same(ids[max(a, p - (s - lo)) : p][::-1], ids[max(lo, s - (p - a)) : s][::-1])
+                reach = min(b - p, hi - s)
+                right = _same(ids[p : p + reach], ids[s : s + reach])
+                if right >= length:
+                    removed[s - left : s + right] = True
+                    pending[s - left : s + right - length + 1] = False
+                pending[s] = False
     return removed
 
 
@@ -122,10 +127,13 @@ def clean_shard(texts: list[str | None], confirmed: np.ndarray, length: int) ->
     if not len(start) or not len(confirmed):
         return words, np.zeros(len(words.hash), bool)
     hashes = runs(words.hash, length)[start]
-    start = start[np.isin(hashes, confirmed)]
-    _, one = np.unique(runs(words.hash, length)[start], return_index=True)  # one occurrence of each window
+    known = np.isin(hashes, confirmed)
+    start, hashes = start[known], hashes[known]
+    _, one, which = np.unique(hashes, return_index=True, return_inverse=True)  # one occurrence of each window
+    twin = np.full(len(words.hash), -1)
+    twin[start] = start[one][which]
     _, ids = np.unique(words.hash, return_inverse=True)
-    return words, locate(ids, words.first, _by_text(np.sort(start[one]), words, length), length)
+    return words, locate(ids, words.first, _by_text(np.sort(start[one]), words, length), length, twin)
 
 
 def _by_text(start: np.ndarray, words: Words, length: int) -> list[tuple[int, int]]:
