@@ -182,12 +182,11 @@ def near_duplicates(
                 at += b - a
 
     all_points = scratch.keep(rows.mapInArrow(points, "doc_id long, row long, n int, key binary, vec array<smallint>, prefix array<long>"), "points")
-    ids = scratch.keep(all_points.select("doc_id", "row", "n", "key"), "ids")
+    ids = all_points.select("doc_id", "row", "n", "key")
     sets = scratch.keep(ids.where("n > 0").groupBy("key").agg(F.min("row").alias("node"), F.min("doc_id").alias("low"), F.first("n").alias("n")), "sets")
     nodes = all_points.join(sets.select("node"), F.col("row") == F.col("node"), "left_semi")
     nodes = nodes.select(F.col("row").alias("node"), "n", "vec", coarse("vec").alias("box"), "prefix")
     nodes = scratch.keep(nodes, "nodes")
-    scratch.drop("points")
 
     entries = nodes.select("node", F.explode("prefix").alias("tree"))
     trees = entries.groupBy("tree").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("c")).where("c > 1")
@@ -260,7 +259,7 @@ def _verified(rows: DataFrame, sets: DataFrame, pairs: DataFrame, k: int, percen
     """The pairs whose full sets are similar enough."""
     pairs = scratch.keep(pairs, f"{name}_pairs")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = scratch.keep(sets.join(wanted, "node").select("node", "key", "low"), f"{name}_wanted")
+    wanted = sets.join(wanted, "node").select("node", "key", "low")
     bits = 1 << max(16, min(29, int(16 * max(1, wanted.count())).bit_length()))
 
     def spots(keys: list[bytes], ids: list[int | None]) -> np.ndarray:
