@@ -42,7 +42,7 @@ from .tables import merged
 from .tokens import slices
 
 GROUPS = 64
-BOX = 8
+BOX = 32
 LEAF = 256
 WORD_CELLS, SHINGLE_CELLS = 1 << 19, 1 << 18
 
@@ -250,7 +250,8 @@ def _leaf_pairs(shared: DataFrame, nodes: DataFrame, roots: DataFrame, percent:
     left = pairs.join(renamed(entries, "x"), ["tree", "xband", "xpart"])
     right = renamed(entries, "y")
     same = (F.col("xband") != F.col("yband")) | (F.col("xpart") != F.col("ypart")) | (F.col("xnode") < F.col("ynode"))
-    near = bound(F.col("xbox"), F.col("ybox")) * (100 + percent) >= (F.col("xn") + F.col("yn")) * percent
+    like = F.least("xn", "yn") * 100 >= F.greatest("xn", "yn") * percent  # cheap, so it comes first
+    near = like & (bound(F.col("xbox"), F.col("ybox")) * (100 + percent) >= (F.col("xn") + F.col("yn")) * percent)
     both = left.join(right, ["tree", "yband", "ypart"]).where(same & (F.col("xroot") != F.col("yroot")) & near)
     return _bounded(both.select(F.least("xnode", "ynode").alias("a"), F.greatest("xnode", "ynode").alias("b")).distinct(), nodes, percent)
 

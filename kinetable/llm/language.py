@@ -91,7 +91,7 @@ class Models:
         self.pairs = [p for m in self.members for p in combinations(m, 2)]
         y = np.array(langs)
         scale = 1 / np.sqrt(x.mean(0) + 1e-5) if len(x) else np.ones(width)
-        z = (x * scale).astype("f8")
+        z = (x * scale).astype("f4")
         norm = float(np.sqrt((z**2).sum(1)).mean()) if len(z) else 1.0
         z /= max(norm, 1e-9)
         weights, bias = [], []
@@ -203,7 +203,7 @@ def fit(docs: DataFrame, doc_id: str, text: str, lang: str, width: int, per_lang
 
 
 def add_language(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", out: tuple[str, str] = ("lang_pred", "score"), width: int = 4096, per_language: int = 500
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", out: tuple[str, str] = ("lang_pred", "score"), width: int = 4096, per_language: int = 300
 ) -> DataFrame:
     """The documents with two more columns, the predicted language and its score; names in ``out`` must be free."""
     if taken := {c.lower() for c in docs.columns} & {c.lower() for c in out}:

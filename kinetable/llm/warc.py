@@ -155,8 +155,8 @@ def read_records(path: str, keep_payload: bool = False) -> Iterator[dict]:
         }
 
 
-def read_archives(files: DataFrame, keep_payload: bool = False) -> DataFrame:
-    """The records of the archives listed in column ``path``, one archive a task at a time."""
+def read_archives(files: DataFrame, keep_payload: bool = False, task_bytes: int = 32 << 20) -> DataFrame:
+    """The records of the archives listed as (path, bytes); tasks take about ``task_bytes``, one archive at a time."""
     schema = RECORDS + (", payload binary" if keep_payload else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,7 +173,9 @@ def read_archives(files: DataFrame, keep_payload: bool = False) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, pa.schema([(c, kinds.get(c, pa.string())) for c in rows[0]]))
 
-    return files.select("path").repartition(max(1, files.count())).mapInArrow(run, schema)
+    size = files.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes")).first()
+    tasks = max(1, min(size["n"], max(files.sparkSession.sparkContext.defaultParallelism, size["bytes"] // task_bytes)))
+    return files.select("path").repartition(tasks).mapInArrow(run, schema)
 
 
 def archive_pages(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", revisit_bytes: int = 1000) -> DataFrame:
