@@ -1,10 +1,16 @@
 """Benchmark decontamination by q-gram filtering and banded alignment.
 
 Texts and benchmark items are normalised (ASCII lower case, each run of white space one space).  An item is covered by
-overlapping parts of ``part`` characters (a shorter item is one part), so a passage that holds only a good stretch of an
-item is found as well.  A part of m characters occurs in a text within k = m * percent / 100 edits only if some
-diagonal band shares at least m - q + 1 - k * q of its q-grams with the text.  Bands of width 2 k overlap by half, so any
-k-wide spread of diagonals lies inside one band.  Regions that reach the bound are verified by alignment inside the band.
+overlapping parts of ``part`` bytes (a shorter item is one part).  A part of m bytes occurs in a text within
+k = m * percent / 100 edits only if some diagonal band shares at least m - q + 1 - k * q of its q-grams with the text.
+Bands of width 2 k overlap by half, so any k-wide spread of diagonals lies inside one band.  Regions that reach the bound
+are verified by alignment inside the band.
+
+Parts start every k bytes, so a verbatim excerpt of ``part`` bytes or more, from wherever in an item, lacks fewer than k
+bytes of some part and is found; one of part + k - 1 bytes holds a whole part and may have k edits in it.
+
+q-grams are indexed once an item.  Hits first have to fill a band of their item (which every part's band must lie in);
+only those are dealt to the parts that cover them.
 
 Documents stream past the item index in one pass without a shuffle.  The index is sent in blocks of items of bounded
 size (``block_chars`` characters each); a larger benchmark means more blocks, each a pass of its own.
@@ -84,41 +90,59 @@ def align(part: bytes, region: bytes, k: int) -> tuple[int, int, int] | None:
     return (int(cost[end]), int(start[end]), int(place[end])) if cost[end] <= k else None
 
 
+def ranges(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of the ranges lo .. hi - 1 one after another, and how many each range has."""
+    n = hi - lo
+    return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n), n
+
+
 class Index:
-    """q-grams of the parts of a block of items."""
+    """q-grams of a block of items, and the parts of each."""
 
     def __init__(self, items: list[tuple[int | None, bytes]], q: int, percent: int, part: int):
-        self.q, self.parts, self.budget, self.item, self.place = q, [], [], [], []
-        for item, text in items:
-            last = max(0, len(text) - part)
-            for a in sorted({*range(0, last + 1, max(1, part // 2)), last}) if text else []:
-                own = text[a : a + part]
-                self.parts.append(own)
-                self.budget.append(len(own) * percent // 100 if len(own) >= 2 * q else 0)
-                self.item.append(item)
-                self.place.append(a)
-        self.size = np.array([len(p) for p in self.parts], "i8")
-        self.budget = np.array(self.budget, "i8")
+        self.q, self.texts = q, [text for _, text in items if text]
+        ids = [item for item, text in items if text]
+        step = max(1, part * percent // 100)
+        places = [sorted({*range(0, max(0, len(t) - part) + 1, step), max(0, len(t) - part)}) for t in self.texts]
+        self.owner = np.repeat(np.arange(len(places)), [len(a) for a in places])
+        self.item = [ids[i] for i in self.owner]
+        self.place = np.array([a for own in places for a in own], "i8")
+        whole = np.array([len(t) for t in self.texts], "i8")
+        self.size = np.minimum(whole, part)[self.owner]
+        self.budget = np.where(self.size >= 2 * q, self.size * percent // 100, 0)
         width = np.minimum(self.size, q)
         self.bound = np.maximum(1, self.size - width + 1 - self.budget * q)
-        rows = [(np.full(max(0, len(p) - q + 1), i), np.arange(max(0, len(p) - q + 1)), grams(p, q)) for i, p in enumerate(self.parts)]
+        first = np.searchsorted(self.owner, np.arange(len(places)))  # all parts of an item have one size, budget and bound
+        self.whole, self.slack, self.least = whole, self.budget[first], self.bound[first]
+        rows = [(np.full(max(0, len(t) - q + 1), i), np.arange(max(0, len(t) - q + 1)), grams(t, q)) for i, t in enumerate(self.texts)]
+        # parts first + [from, to) of an item hold the q-gram at a place of it
+        spans = [(np.searchsorted(a, r[1] - min(part, len(t)) + q), np.searchsorted(a, r[1], "right")) for a, r, t in zip(places, rows, self.texts)]
         codes = np.concatenate([r[2] for r in rows]) if rows else np.empty(0, "u8")
         order = np.argsort(codes, kind="stable")
         self.codes = codes[order]
         self.of = np.concatenate([r[0] for r in rows])[order] if rows else np.empty(0, "i8")
         self.at = np.concatenate([r[1] for r in rows])[order] if rows else np.empty(0, "i8")
+        self.lo = np.concatenate([f + x for f, (x, _) in zip(first, spans)])[order] if rows else np.empty(0, "i8")
+        self.hi = np.concatenate([f + x for f, (_, x) in zip(first, spans)])[order] if rows else np.empty(0, "i8")
         self.first, heads = np.unique(self.codes, return_index=True)
         self.bounds = np.append(heads, len(self.codes))
         self.sieve = np.zeros(SIEVE, bool)
         self.sieve[sieve_at(self.codes)] = True
-        self.tiny = [i for i, p in enumerate(self.parts) if len(p) < q]
+        self.tiny = np.flatnonzero(self.size < q).tolist()
+
+    def part(self, i: int) -> bytes:
+        return self.texts[self.owner[i]][self.place[i] : self.place[i] + self.size[i]]
+
+    @property
+    def parts(self) -> list[bytes]:
+        return [self.part(i) for i in range(len(self.size))]
 
     def matches(self, texts: list[bytes]) -> Iterator[tuple[int, int, int, int, int]]:
         """(text number, part, edits, start, end) of the parts that occur in normalised texts."""
         for i in self.tiny:
             for d, text in enumerate(texts):
-                if (at := text.find(self.parts[i])) >= 0:
-                    yield d, i, 0, at, at + len(self.parts[i])
+                if (at := text.find(self.part(i))) >= 0:
+                    yield d, i, 0, at, at + int(self.size[i])
         if len(self.codes) == 0:
             return
         data = b"\n".join(texts) + b"\n"  # a byte that normalised texts never hold, so no q-gram spans two
@@ -128,45 +152,52 @@ class Index:
         lo = np.searchsorted(self.first, codes[spot])
         real = self.first[np.minimum(lo, len(self.first) - 1)] == codes[spot]
         spot, lo = spot[real], lo[real]
-        n = self.bounds[lo + 1] - self.bounds[lo]
-        pick = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.bounds[lo], n)
+        pick, n = ranges(self.bounds[lo], self.bounds[lo + 1])
         place = np.repeat(spot, n)
-        part, own = self.of[pick], self.at[pick]
-        pair = (np.searchsorted(starts, place, "right") - 1) * len(self.parts) + part
-        total = np.bincount(pair, minlength=len(texts) * len(self.parts)) >= np.tile(self.bound, len(texts))
-        keep = total[pair]
-        pair, place, own = pair[keep], place[keep], own[keep]
-        place = place - starts[pair // len(self.parts)]
-        part = pair % len(self.parts)
+        doc = np.searchsorted(starts, place, "right") - 1
+        place, item = place - starts[doc], self.of[pick]
+        pairs, pair = np.unique(doc * len(self.texts) + item, return_inverse=True)
+        keep = (np.bincount(pair, minlength=len(pairs)) >= self.least[pairs % len(self.texts)])[pair]
+        pair, doc, place, item, pick = pair[keep], doc[keep], place[keep], item[keep], pick[keep]
+        keep = np.zeros(len(pick), bool)
+        for half in (0, 1):
+            band = (place - self.at[pick] + self.whole[item] + half * (self.slack[item] + 1)) // (2 * self.slack[item] + 1)
+            cells, back, count = np.unique((pair << 32) + band, return_inverse=True, return_counts=True)
+            keep |= count[back] >= self.least[item]
+        doc, place, pick = doc[keep], place[keep], pick[keep]
+        part, n = ranges(self.lo[pick], self.hi[pick])
+        doc, place, own = np.repeat(doc, n), np.repeat(place, n), np.repeat(self.at[pick], n) - self.place[part]
+        pairs, pair = np.unique(doc * len(self.size) + part, return_inverse=True)
+        docs, parts = np.divmod(pairs, len(self.size))
         width = 2 * self.budget[part] + 1
         regions: dict[int, set[tuple[int, int]]] = {}
         for half in (0, 1):  # two tilings of the diagonals, half a band apart
             band = (place - own + self.size[part] + half * (self.budget[part] + 1)) // width
             key = (pair << 32) + band
             cells, back, count = np.unique(key, return_inverse=True, return_counts=True)
-            full = np.flatnonzero((count >= self.bound[(cells >> 32) % len(self.parts)])[back])
+            full = np.flatnonzero((count >= self.bound[parts[cells >> 32]])[back])
             # a q-gram of the part counts once in a band, however often the text repeats it
             once = np.unique(np.stack([back[full], own[full]]), axis=1)[0]
             cell, count = np.unique(once, return_counts=True)
             for c, n in zip(cells[cell].tolist(), count.tolist()):
-                i = (c >> 32) % len(self.parts)
+                i, d = int(parts[c >> 32]), int(docs[c >> 32])
                 if n >= self.bound[i]:
-                    k, size, d = int(self.budget[i]), len(self.parts[i]), (c >> 32) // len(self.parts)
+                    k, size = int(self.budget[i]), int(self.size[i])
                     first = (c & 0xFFFFFFFF) * (2 * k + 1) - half * (k + 1) - size
                     regions.setdefault(c >> 32, set()).add((max(0, first - k), max(0, min(len(texts[d]), first + 3 * k + 1 + size))))
         for c, spans in regions.items():
-            d, i = divmod(c, len(self.parts))
+            d, i = int(docs[c]), int(parts[c])
             if best := self._best(i, texts[d], spans):
                 yield d, i, *best
 
     def _best(self, i: int, text: bytes, spans: set[tuple[int, int]]) -> tuple[int, int, int] | None:
         """The occurrence of part i with fewest edits in the regions given."""
-        best = None
+        best, own = None, self.part(i)
         for a, b in sorted(spans):
-            at = text.find(self.parts[i], a, b)
+            at = text.find(own, a, b)
             if at >= 0:
-                return 0, at, at + len(self.parts[i])
-            found = align(self.parts[i], text[a:b], int(self.budget[i]))
+                return 0, at, at + len(own)
+            found = align(own, text[a:b], int(self.budget[i]))
             if found and (best is None or found[0] < best[0]):
                 best = found[0], a + found[1], a + found[2]
         return best

@@ -104,6 +104,25 @@ def test_leaks_against_full_alignment(spark):
     assert find_leaks(table, bench.limit(0)).count() == 0 and find_leaks(table.limit(0), bench).count() == 0
 
 
+def test_excerpts_are_found_from_any_offset():
+    rng = random.Random(4)
+    text = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    item = normal("x" + text(350) + "x")
+    index = Index([(7, item), (8, normal(text(90)))], 8, 10, 100)
+    texts, cuts = [], []
+    for size in (100, 109, 120, 138):
+        for a in range(len(item) - size + 1):
+            own = bytearray(item[a : a + size])
+            if size >= 109:  # holds a whole part: edits apart from one another, at most 10
+                for j in range(3, size, 15):
+                    own[j] = ord("%")
+            cuts.append((a, size))
+            texts.append(normal(text(60) + "# ") + bytes(own) + normal(" #" + text(60)))
+    found = {d for d, i, *_ in index.matches(texts) if index.item[i] == 7}
+    assert [cuts[d] for d in range(len(texts)) if d not in found] == []
+    assert not list(index.matches([normal(text(60)) + item[a : a + 60] + normal(text(60)) for a in range(250)]))
+
+
 def test_shards(spark, awkward, nothing):
     got = assign_shards(awkward, shards=5).toPandas()
     assert len(got) == awkward.count() and ((got["grown_shard"] == got["shard"]) | (got["grown_shard"] == 5)).all()
