@@ -53,13 +53,13 @@ PERM = 19
     f"(1 + sum(CASE WHEN abs(nu.auc - 0.5) >= abs(au.auc - 0.5) - 1e-12 THEN 1 ELSE 0 END)) / {PERM + 1}.0 AS p FROM au JOIN nu USING (metric) GROUP BY 1",
 )
 def _(spark, d):
-    return I.rank_sum_test(subject_metrics(spark, d), ["metric"], ["entity"], draws=PERM)
+    return I.rank_sum_test(subject_metrics(spark, d), ["metric"], ["entity"], draws=PERM, method="permutation")
 
 
 @register("rank_sum_exact_p", ints="grp n_pos n_neg", texts="metric method", doubles="auc p")
 def _(spark, d):
     m = subject_metrics(spark, d).withColumn("grp", F.col("entity") % 150)
-    return I.rank_sum_test(m, ["grp", "metric"], ["entity"], draws=PERM)
+    return I.rank_sum_test(m, ["grp", "metric"], ["entity"], method="exact")
 
 
 COR = "cp AS (SELECT * FROM (VALUES ('acctbal', 'n_orders'), ('mean_price', 'max_price'), ('n_orders', 'total_price')) AS p(endpoint_a, endpoint_b)), ab AS (SELECT endpoint_a, endpoint_b, x.value AS a, y.value AS b FROM cp JOIN sm x ON x.metric = endpoint_a JOIN sm y ON y.metric = endpoint_b AND y.entity = x.entity WHERE x.value IS NOT NULL AND y.value IS NOT NULL), rk AS (SELECT *, rank() OVER (PARTITION BY endpoint_a, endpoint_b ORDER BY a) + (count(*) OVER (PARTITION BY endpoint_a, endpoint_b, a) - 1) / 2.0 AS ra, rank() OVER (PARTITION BY endpoint_a, endpoint_b ORDER BY b) + (count(*) OVER (PARTITION BY endpoint_a, endpoint_b, b) - 1) / 2.0 AS rb FROM ab)"

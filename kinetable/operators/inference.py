@@ -60,17 +60,21 @@ def _lgamma(v: pd.Series) -> pd.Series:
 
 
 def rank_sum_test(df: DataFrame, keys: Sequence[str], ids: Sequence[str], value: str = "value", label: str = "label",
-                  draws: int = 200_000, seed: int = 0) -> DataFrame:
+                  draws: int = 200_000, seed: int = 0, method: str = "auto") -> DataFrame:
     """auc_table plus a two-sided p.
 
-    Exact over all label assignments while there are at most 5,000,000 of them
-    (that also bounds the group that is looked at whole); otherwise a label
-    permutation with (1 + hits) / (draws + 1).
+    auto: exact over all label assignments while there are at most 5,000,000 of
+    them (that also bounds the group that is looked at whole); otherwise a label
+    permutation with (1 + hits) / (draws + 1).  exact, permutation: that method
+    for every group; exact looks at each group whole, whatever its size.
     """
+    if method not in ("auto", "exact", "permutation"):
+        raise ValueError(f"unknown method: {method}")
     keys = list(keys)
     a = auc_table(df, keys, value, label)
     n = F.col("n_pos") + F.col("n_neg")
-    a = a.withColumn("_exact", _log_choose(n, F.col("n_pos")) <= math.log(EXACT_LIMIT) + 1e-9).withColumn(
+    few = _log_choose(n, F.col("n_pos")) <= math.log(EXACT_LIMIT) + 1e-9 if method == "auto" else F.lit(method == "exact")
+    a = a.withColumn("_exact", few).withColumn(
         "method", F.when(F.col("u").isNull(), None).when(F.col("_exact"), "exact").otherwise("permutation")
     )
     small = a.where("method = 'exact'").select(*keys, "n_pos", "auc")
@@ -82,6 +86,8 @@ def rank_sum_test(df: DataFrame, keys: Sequence[str], ids: Sequence[str], value:
         return pd.Series([special.exact_rank_sum_p(np.asarray(x), int(k), float(o)) for x, k, o in zip(r, n1, auc)], dtype=float)
 
     exact = lists.select(*keys, exact_p("ranks", "n_pos", "auc").alias("p"))
+    if method == "exact":
+        return a.drop("_exact").join(exact, keys, "left")
     large = a.where("method = 'permutation'").select(*keys, "n_pos", F.col("auc").alias("_obs"))
     rows = df.where(F.col(value).isNotNull() & F.col(label).isin(0, 1)).join(large, keys)
     null = permuted_labels(rows, keys, ids, "n_pos", draws, seed)
@@ -89,7 +95,7 @@ def rank_sum_test(df: DataFrame, keys: Sequence[str], ids: Sequence[str], value:
     mc = na.groupBy(*keys).agg(
         ((1 + F.count_if(F.abs(F.col("auc") - 0.5) >= F.abs(F.col("_obs") - 0.5) - 1e-12)) / (draws + 1)).alias("p")
     )
-    return a.drop("_exact").join(exact.unionByName(mc), keys, "left")
+    return a.drop("_exact").join(mc if method == "permutation" else exact.unionByName(mc), keys, "left")
 
 
 def permuted_labels(df: DataFrame, keys: Sequence[str], ids: Sequence[str], n_pos: str, draws: int, seed: int) -> DataFrame:

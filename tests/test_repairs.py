@@ -1,6 +1,7 @@
 """Cases that once gave wrong answers."""
 
 import itertools
+import math
 
 import numpy as np
 import pytest
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from kinetable.functions.assignment import assign
 from kinetable.functions.special import exact_rank_sum_p
 from kinetable.operators import chain as C
+from kinetable.operators import inference as I
 from kinetable.operators import kernels as KE
 from kinetable.operators import limbs as LB
 from kinetable.operators import segments as SG
@@ -119,3 +121,12 @@ def test_draws_are_exact_and_permutations_complete(points):
     assert [(KE._bits(np.arange(2600), j + 1, 3) <= cut[j]).sum() for j in range(5)] == [700] * 5
     for n in (1, 2, 7, 1000):
         assert sorted(KE.shuffled(np.arange(n), n, 1, 0)) == list(range(n))
+
+
+def test_named_rank_sum_method_does_not_switch(spark):
+    # 12 of 40 on top without ties: more than 5,000,000 assignments, and the exact p is two of them
+    df = spark.createDataFrame([(0, i, float(i), int(i >= 28)) for i in range(40)], "grp long, id long, value double, label int")
+    exact = I.rank_sum_test(df, ["grp"], ["id"], method="exact").first()
+    assert exact["method"] == "exact" and exact["p"] == pytest.approx(2 / math.comb(40, 12))
+    small = I.rank_sum_test(df.where("id >= 22"), ["grp"], ["id"], draws=9, method="permutation").first()
+    assert small["method"] == "permutation" and small["p"] >= 0.1
