@@ -213,5 +213,5 @@ def _(spark, d):
 
 @register("filter_walk", ints="video m", doubles="z0 z1")
 def _(spark, d):
-    b = FL.filter_walk(windows(spark, d), 10.0, 5.0, do_filter=False)
+    b = FL.filter_walk(windows(spark, d), 10.0, 5.0)
     return b.select("video", "m", F.col("z")[0].alias("z0"), F.col("z")[1].alias("z1"))

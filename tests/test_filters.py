@@ -36,3 +36,29 @@ def test_outliers_are_bridged(spark):
     x[20] = 500.0
     got = np.stack(FL.filter_walk(frame(spark, x), 30.0, 15.0, do_filter=False, size=7).orderBy("m").toPandas()["z"])[:, 0]
     assert len(got) == 20 and np.allclose(got, np.linspace(0, 10, 20), atol=1e-9)
+
+
+def direct_walk(x, src, dst):
+    sos = FL.butterworth_sections(4, 0.01, min(dst, src) / 2 - 1e-6, src)
+    pad, rest = FL.pad_length(sos), FL._rest_state(sos)[:, :, None]
+    if len(x) > pad:
+        y = np.concatenate([2 * x[0] - x[pad:0:-1], x, 2 * x[-1] - x[-2 : -pad - 2 : -1]])
+        for _ in range(2):
+            y = FL._filter(sos, y.copy(), rest * y[0])[0][::-1]
+        x = y[pad:-pad]
+    dev = np.abs(x - np.median(x, axis=0))
+    out = dev > 3 * 1.4826 * np.median(dev, axis=0) + 1e-9
+    at = np.linspace(0, len(x) - 1, max(round(len(x) * dst / src), 2))
+    keep = [~o if (~o).sum() >= 2 else np.ones(len(x), bool) for o in out.T]
+    return np.column_stack([np.interp(at, np.flatnonzero(k), v[k]) for k, v in zip(keep, x.T)])
+
+
+def test_query_filters_its_walks(spark, monkeypatch):
+    from kinetable.catalog import QUERIES, fits
+
+    t = np.arange(120) / 10.0
+    x = np.column_stack([np.sin(2 * np.pi * 0.4 * t) + 5.0 + t / 9, np.sin(2 * np.pi * 4.0 * t) + t % 1.7])
+    x[60] += 40.0
+    monkeypatch.setattr(fits, "windows", lambda spark, d: frame(spark, x))
+    got = QUERIES["filter_walk"].run(spark, "").orderBy("m").toPandas()[["z0", "z1"]].to_numpy()
+    assert np.allclose(got, direct_walk(x, 10.0, 5.0), atol=1e-5)
