@@ -54,16 +54,23 @@ def _(spark, d):
     return LN.ridge_feature_r2(rows, ["label", "head", "tail"], LN.held_out_by_time(rows))
 
 
+def halves(a, b):
+    """The first and second half of mu."""
+    half = F.expr("size(mu) div 2").cast("int")
+    return F.slice("mu", F.lit(1), half).alias(a), F.slice("mu", half + 1, F.size("mu") - half).alias(b)
+
+
 @register("canonical_correlation", ints="component", doubles="correlation")
 def _(spark, d):
     lat = latents(spark, d)
-    return LN.canonical_correlation(lat.select(F.slice("mu", 1, 8).alias("a"), F.slice("mu", 9, 6).alias("b")), "a", "b")
+    return LN.canonical_correlation(lat.select(*halves("a", "b")), "a", "b")
 
 
 @register("equivariance_score", ints="clip_id", doubles="score", digits=4)
 def _(spark, d):
-    lat = latents(spark, d).select("clip_id", F.slice("mu", 1, 6).alias("mu"))
-    pairs = lat.withColumn("mu_mirror", F.concat(F.transform(F.slice("mu", 1, 3), lambda x: -x), F.slice("mu", 4, 3)))
+    lat = latents(spark, d).select("clip_id", "mu")
+    a, b = halves("a", "b")
+    pairs = lat.select("*", a, b).withColumn("mu_mirror", F.concat(F.transform("a", lambda x: -x), "b"))
     return LN.asymmetry_score(lat, LN.equivariance_fit(pairs)["a"])
 
 
@@ -121,7 +128,7 @@ def _(spark, d):
 
 @register("typicality", ints="clip_id", doubles="log_density", digits=3)
 def _(spark, d):
-    return CL.typicality(latents(spark, d).select("clip_id", F.slice("mu", 1, 4).alias("mu")), 2)
+    return CL.typicality(latents(spark, d).select("clip_id", "mu"), 2)
 
 
 @register("grouped_probe", ints="n_classes n", doubles="accuracy balanced_accuracy", digits=3)

@@ -91,3 +91,21 @@ def test_agreement_values(spark):
     df = spark.createDataFrame([(0, 0), (0, 0), (1, 1), (1, 1), (2, -1), (None, 1)], "a int, b int")
     r = agreement(df, "a", "b").first()
     assert (r["n"], r["ari"], r["nmi"]) == (4, 1.0, 1.0) and r["ami"] == pytest.approx(1.0)
+
+
+def test_latent_queries_read_every_dimension(spark, monkeypatch):
+    from kinetable.catalog import QUERIES, fits
+
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(300, 40))
+    x[:, 39] += 2 * x[:, 19]  # the last dimensions of the halves go together
+    x[17, 39] += 60.0
+    rows = spark.createDataFrame([(i, 0, i, v.tolist()) for i, v in enumerate(x)], "clip_id long, video long, start_frame long, mu array<double>")
+    monkeypatch.setattr(fits, "latents", lambda spark, d: rows)
+    run = lambda name: QUERIES[name].run(spark, "")
+    score = run("equivariance_score").orderBy("clip_id").toPandas()["score"]
+    assert np.allclose(score, np.linalg.norm(x[:, :20], axis=1), atol=1e-3)
+    c = x - x.mean(0)
+    want = np.linalg.svd(np.linalg.qr(c[:, :20])[0].T @ np.linalg.qr(c[:, 20:])[0], compute_uv=False)[:5]
+    assert np.allclose(run("canonical_correlation").orderBy("component").toPandas()["correlation"], want, atol=1e-4)
+    assert run("typicality").orderBy("log_density").first()["clip_id"] == 17
