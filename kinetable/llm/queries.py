@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, jaccard, language, packing, phrases, quality, sharding, token_files, warc
+from . import decontaminate, exact_dedup, jaccard, language, near_vectors, packing, phrases, quality, sharding, token_files, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -135,3 +135,27 @@ FROM p LEFT JOIN g ON p.payload_digest = g.payload_digest AND p.payload_bytes >=
 def op6(spark, sf_dir):
     found = warc.archive_pages(table(spark, sf_dir, "pages"))
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+_VECTORS_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, CASE WHEN len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0 THEN embedding::DOUBLE[] END AS e
+  FROM embeddings),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.95),
+reach(id, other) AS (
+  SELECT vec_id, vec_id FROM v
+  UNION
+  SELECT r.id, l.b FROM reach r JOIN links l ON l.a = r.other),
+root AS (SELECT id, min(other) AS component_id FROM reach GROUP BY id),
+n AS (SELECT a, count(*) AS n_links FROM links GROUP BY a)
+SELECT r.id AS vec_id, coalesce(n.n_links, 0) AS n_links, r.component_id, r.id = r.component_id AS kept
+FROM root r LEFT JOIN n ON n.a = r.id"""
+
+
+@query("op11_pstable_near_vectors", _VECTORS_SQL)
+def op11(spark, sf_dir):
+    return near_vectors.near_vectors(table(spark, sf_dir, "embeddings"))
