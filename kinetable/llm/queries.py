@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, jaccard, language, near_vectors, packing, phrases, quality, sharding, token_files, warc
+from . import decontaminate, divergence, exact_dedup, jaccard, language, near_vectors, packing, phrases, quality, sharding, token_files, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -159,3 +159,37 @@ FROM root r LEFT JOIN n ON n.a = r.id"""
 @query("op11_pstable_near_vectors", _VECTORS_SQL)
 def op11(spark, sf_dir):
     return near_vectors.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+_DIVERGENCE_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents),
+o AS (SELECT r, lang, source, unnest(terms) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS lang_n FROM o GROUP BY lang, term HAVING count(DISTINCT r) >= 3),
+langs AS (SELECT lang, count(*) AS v, sum(lang_n) AS lang_total FROM kept GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+n AS (SELECT o.lang, o.source, o.term, count(*) AS n FROM o JOIN kept USING (lang, term) GROUP BY ALL),
+total AS (SELECT g.lang, g.source, coalesce(sum(n.n), 0) AS own_total FROM g LEFT JOIN n USING (lang, source) GROUP BY ALL),
+dense AS (
+  SELECT t.lang, t.source, k.term, coalesce(n.n, 0) AS n,
+    1 + (1000000000::HUGEINT * (coalesce(n.n, 0) + 1)) // (t.own_total + l.v)::HUGEINT AS p,
+    1 + (1000000000::HUGEINT * (k.lang_n + 1)) // (l.lang_total + l.v)::HUGEINT AS q
+  FROM total t JOIN langs l USING (lang) JOIN kept k USING (lang) LEFT JOIN n ON n.lang = t.lang AND n.source = t.source AND n.term = k.term),
+sums AS (
+  SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value
+  FROM dense a JOIN dense b ON b.lang = a.lang AND b.term = a.term AND b.source <> a.source GROUP BY ALL),
+pairs AS (
+  SELECT a.lang, a.source, b.source AS item, coalesce(s.value, 0) AS value
+  FROM g a JOIN g b ON b.lang = a.lang AND b.source <> a.source LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+terms AS (SELECT lang, source, term AS item, ((p - q) * (p - q)) // q AS value FROM dense WHERE n > 0 AND p > q),
+ranked AS (
+  SELECT lang, source, 'pair' AS part, item, value FROM pairs UNION ALL SELECT lang, source, 'term' AS part, item, value FROM terms),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM ranked)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INT AS rank FROM numbered WHERE part = 'pair' OR rank <= 200"""
+
+
+@query("op12_source_divergence", _DIVERGENCE_SQL)
+def op12(spark, sf_dir):
+    return divergence.audit_sources(table(spark, sf_dir, "documents"))
