@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, divergence, exact_dedup, jaccard, language, near_vectors, packing, phrases, quality, sharding, token_files, warc
+from . import decontaminate, divergence, exact_dedup, jaccard, language, near_vectors, packing, periodic, phrases, quality, sharding, token_files, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -193,3 +195,56 @@ SELECT lang, source, part, item, value::BIGINT AS value, rank::INT AS rank FROM
 @query("op12_source_divergence", _DIVERGENCE_SQL)
 def op12(spark, sf_dir):
     return divergence.audit_sources(table(spark, sf_dir, "documents"))
+
+
+_CRC_STEP = "CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END"
+_RUNS_SQL = rf"""
+WITH crc_table AS (
+  SELECT list(list_reduce([i] || [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda c, x: {_CRC_STEP}) ORDER BY i) AS t FROM range(256) r(i)),
+d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+    xor(list_reduce([4294967295::BIGINT] || list_transform(string_split(doc_id::VARCHAR, ''), lambda s: ascii(s)::BIGINT),
+      lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) AS h
+  FROM documents, crc_table),
+a AS (SELECT r, doc_id, w, len(w) AS n, h % 10 = 0 AND len(w) > 0 AS again, CASE WHEN len(w) > 0 THEN (h // 10) % len(w) ELSE 0 END AS a, 3 + (h // 10) % 8 AS k FROM d),
+b AS (SELECT *, 1 + (n - a) // k AS p FROM a),
+t AS (SELECT r, doc_id, n, CASE WHEN again THEN list_transform(range(n), lambda i: w[CASE WHEN i < a THEN i ELSE a + (i - a) % p END + 1]) ELSE w END AS w FROM b),
+grams AS (SELECT r, unnest(range(n - 5)) AS i, unnest(list_transform(range(n - 5), lambda i: array_to_string(w[i + 1:i + 6], ' '))) AS gram FROM t WHERE n >= 12),
+pairs AS (SELECT x.r, x.i, y.i - x.i AS q FROM grams x JOIN grams y ON y.r = x.r AND y.gram = x.gram AND y.i > x.i),
+islands AS (SELECT r, q, i, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS island FROM pairs),
+chains AS (SELECT r, q, min(i) AS start, count(*) + 5 + q AS length FROM islands GROUP BY r, q, island),
+runs AS (SELECT r, start, length, min(q) AS period FROM chains WHERE length >= greatest(12, 2 * q) GROUP BY r, start, length),
+best AS (
+  SELECT r, count(*) AS n_runs, arg_min({{'s': start, 'l': length, 'p': period}}, [-length, start, period]) AS b,
+    string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS listed
+  FROM runs GROUP BY r),
+words AS (SELECT r, unnest(range(n)) AS i, unnest(w) AS word FROM t),
+kept AS (
+  SELECT r, string_agg(word, ' ' ORDER BY i) AS collapsed FROM words v
+  WHERE NOT EXISTS (SELECT 1 FROM runs u WHERE u.r = v.r AND v.i >= u.start + u.period AND v.i < u.start + u.length) GROUP BY r)
+SELECT t.doc_id, coalesce(n_runs, 0) AS n_runs, b.s AS start, b.l AS length, b.p AS period, 1000 * b.l // b.p AS exponent_milli,
+  sha256(coalesce(listed, '')) AS runs_sha256, sha256(coalesce(collapsed, '')) AS collapsed_sha256
+FROM t LEFT JOIN best USING (r) LEFT JOIN kept USING (r)"""
+
+
+def repeated_tail(doc_id, n: int) -> tuple[int, int] | None:
+    """Of every tenth document by crc32, the tail from a word on repeats 3 to 10 times."""
+    h = zlib.crc32(str(doc_id).encode()) if doc_id is not None else 1
+    if h % 10 or not n:
+        return None
+    g = h // 10
+    a = g % n
+    return a, 1 + (n - a) // (3 + g % 8)
+
+
+@query("op13_grammar_runs", _RUNS_SQL)
+def op13(spark, sf_dir):
+    found = periodic.periodic_runs(table(spark, sf_dir, "documents"), repeat=repeated_tail)
+    best = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("minus"), r["start"].alias("start"), r["period"].alias("period"))))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    listed = F.concat(F.array_join(lines, "\n"), F.when(F.size("runs") > 0, F.lit("\n")).otherwise(F.lit("")))
+    out = found.withColumn("b", best).withColumn("listed", listed)
+    return out.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("b.start").alias("start"), (-F.col("b.minus")).alias("length"), F.col("b.period").alias("period"),
+        F.expr("1000 * -b.minus div b.period").alias("exponent_milli"), F.sha2("listed", 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
