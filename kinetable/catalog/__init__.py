@@ -4,7 +4,7 @@ import importlib
 
 from kinetable.catalog.registry import QUERIES
 
-for _name in ("paths", "motion", "inference", "latent", "sources", "models", "fits"):
+for _name in ("paths", "motion", "inference", "latent", "sources", "models", "fits", "structure"):
     importlib.import_module(f"kinetable.catalog.{_name}")
 
 __all__ = ["QUERIES"]
