@@ -9,10 +9,11 @@ from kinetable.sources.tables import event_code, state_paths, table
 from kinetable.plans.chunks import ordered_index
 
 
-def windows(spark, d):
-    """video, m, z, code: two numbers and a symbol per event in time order."""
+def windows(spark, d, recordings=None):
+    """video, m, z, code: two numbers and a symbol per event in time order; a recording is a user, or one of ``recordings`` groups of users."""
+    video = F.col("user_id") if recordings is None else F.col("user_id") % recordings
     e = table(spark, d, "events").select(
-        F.col("user_id").alias("video"), "ts", "event_id", F.array(F.log1p("value"), F.get_json_object("props", "$.k").cast("double") / 50.0).alias("z"), event_code().cast("double").alias("code")
+        video.alias("video"), "ts", "event_id", F.array(F.log1p("value"), F.get_json_object("props", "$.k").cast("double") / 50.0).alias("z"), event_code().cast("double").alias("code")
     )
     day = F.datediff(F.to_date("ts"), F.lit("1970-01-01")).cast("long")
     return ordered_index(e, ["video"], day, ["ts", "event_id"], "m").select("video", "m", "z", "code")
@@ -68,3 +69,15 @@ def _(spark, d):
 def _(spark, d):
     s = H.sequence_chunks(windows(spark, d), lags=1)
     return H.parameters(spark, H.align(H.fit(s, [H.Model(2, "ar", lags=1, seed=r) for r in range(3)], n_iter=4)))
+
+
+@register("gaussian_hmm_guarded", texts="covariance verdict", ints="k attempt", doubles="floor loglik condition least_rows", digits=2)
+def _(spark, d):
+    return H.attempts(spark, H.fit_guarded(H.sequence_chunks(windows(spark, d)), [2, 3, 4], restarts=2))
+
+
+@register("gaussian_hmm_loo", ints="k", doubles="score", digits=4)
+def _(spark, d):
+    w = windows(spark, d, 8)
+    _, score = H.select(H.sequence_chunks(w, folds=H.leave_one_out(w)), [2, 3], criterion="loo")
+    return spark.createDataFrame(score)

@@ -18,6 +18,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from kinetable.functions.assignment import assign
 from kinetable.functions.scalar import seeded_uniform
@@ -50,6 +51,7 @@ class Model:
     n_train: int = 0
     history: list = field(default_factory=list)
     done: bool = False
+    floor: float | None = None  # added to covariances; None takes the fit's
 
     def n_params(self, d: int) -> int:
         k = self.k
@@ -344,7 +346,8 @@ def fit(seqs: DataFrame, models: Sequence[Model], n_iter: int = 50, tol: float =
     fresh = {(m.k, m.seed) for m in models if m.a is None and m.kind != "categorical"}
     centres, spread_ = _centres(seqs, fresh) if fresh else ({}, None)
     d = spread_.shape[0] if spread_ is not None else next((m.mean.shape[1] for m in models if m.mean is not None), 1)
-    models = [m if m.a is not None else _start(m, centres.get((m.k, m.seed)), spread_, floor) for m in models]
+    own = lambda m: floor if m.floor is None else m.floor
+    models = [m if m.a is not None else _start(m, centres.get((m.k, m.seed)), spread_, own(m)) for m in models]
     for it in range(n_iter):
         live = [i for i, m in enumerate(models) if not m.done]
         if not live:
@@ -358,13 +361,104 @@ def fit(seqs: DataFrame, models: Sequence[Model], n_iter: int = 50, tol: float =
             if (it >= 2 and gain < tol * abs(ll - gain)) or it == n_iter - 1:
                 models[i] = replace(m, done=True)
             else:
-                models[i] = _update(m, s, d, floor)
+                models[i] = _update(m, s, d, own(m))
     return list(models)
 
 
+@dataclass
+class Guarded:
+    """A fitted model with the settings tried on the way: one dict an attempt."""
+
+    model: Model
+    attempts: list[dict]
+
+
+def allowed_states(seqs: DataFrame, ks: Sequence[int]) -> list[int]:
+    """The K that data can carry: at most one a recording, and at least five rows a state."""
+    videos, rows = seqs.agg(F.count_distinct("video"), F.sum(F.size("x"))).first()
+    most = max(2, min(videos, (rows or 0) // 5))
+    out = [k for k in ks if 2 <= k <= most]
+    if not out:
+        raise ValueError(f"{rows} rows in {videos} recordings allow no number of states in {list(ks)}")
+    return out
+
+
+def leave_one_out(rows: DataFrame) -> DataFrame:
+    """video, fold: every recording is a fold of its own."""
+    videos = rows.select("video").distinct()
+    return videos.select("video", (F.row_number().over(W.orderBy("video")) - 1).alias("fold"))  # one row a recording
+
+
+def state_conditions(m: Model) -> np.ndarray:
+    """Largest over smallest eigenvalue of each state's covariance."""
+    e = np.linalg.eigvalsh(m.cov)
+    return e.max(1) / np.maximum(e.min(1), 1e-30)
+
+
+def _occupancy(seqs: DataFrame, m: Model) -> np.ndarray:
+    """Rows of each state on the most likely paths."""
+    n = np.zeros(m.k)
+    for r in viterbi(seqs, m).groupBy("state").agg(F.count("*").alias("n")).collect():
+        n[r["state"]] = r["n"]
+    return n
+
+
+def fit_guarded(
+    seqs: DataFrame, ks: Sequence[int], restarts: int = 5, covariance: str = "full", floor: float = FLOOR, n_iter: int = 200, tol: float = 1e-4,
+    most_condition: float = 1e8, rows_per_parameter: float = 10.0, tries: int = 3, starts: Sequence[Model] = (),
+) -> dict[int, Guarded]:
+    """Gaussian models for each K, refitted with other settings while a state is degenerate; at most ``tries`` fits a K.
+
+    After a fit the best restart is decoded.  A condition number above ``most_condition`` raises the covariance floor
+    tenfold (up to 0.1).  Otherwise a state with fewer rows than ``rows_per_parameter`` times its covariance parameters
+    turns full covariances to one tied matrix, with the first floor.  All K still in work, with all their restarts,
+    share each fit.  ``starts`` gives K its first parameters in place of the seeded ones.
+    """
+    d = len(seqs.select(F.col("x")[0].alias("v")).first()["v"])
+    given = {m.k: m for m in starts}
+    state = {k: (covariance, floor) for k in allowed_states(seqs, ks)}
+    out = {k: Guarded(Model(k), []) for k in state}
+    for attempt in range(tries):
+        if not state:
+            break
+        fresh = [replace(given[k], covariance=c, floor=f) if k in given else Model(k, covariance=c, floor=f, seed=s) for k, (c, f) in state.items() for s in range(1 if k in given else restarts)]
+        fitted = fit(seqs, fresh, n_iter, tol)
+        for k, (c, f) in list(state.items()):
+            best = max((m for m in fitted if m.k == k), key=lambda m: m.loglik if math.isfinite(m.loglik) else -math.inf)
+            note = {"attempt": attempt, "covariance": c, "floor": f, "loglik": best.loglik, "condition": math.nan, "least_rows": math.nan, "verdict": "kept"}
+            out[k].model = best
+            out[k].attempts.append(note)
+            if not math.isfinite(best.loglik):
+                state[k], note["verdict"] = (c, f * 10), "no finite likelihood: floor x 10"
+                continue
+            rows = _occupancy(seqs, best)
+            note["condition"], note["least_rows"] = float(state_conditions(best).max()), float(rows.min())
+            need = rows_per_parameter * {"full": d * (d + 1) // 2, "tied": d * (d + 1) // 2, "diag": d, "spherical": 1}[covariance]
+            flat, thin = note["condition"] > most_condition, note["least_rows"] < need
+            if flat and f < 0.1:
+                state[k], note["verdict"] = (c, f * 10), "ill-conditioned: floor x 10"
+            elif thin and c == "full":
+                state[k], note["verdict"] = ("tied", floor), "thin state: tied"
+            else:
+                note["verdict"] = "kept, still degenerate" if flat or thin else "kept"
+                del state[k]
+    return out
+
+
+def attempts(spark, fits: dict[int, Guarded]) -> DataFrame:
+    """k, attempt, covariance, floor, loglik, condition, least_rows, verdict."""
+    rows = [(k, *a.values()) for k, g in fits.items() for a in g.attempts]
+    return spark.createDataFrame(rows, "k int, attempt int, covariance string, floor double, loglik double, condition double, least_rows double, verdict string")
+
+
 def select(seqs: DataFrame, ks: Sequence[int], folds: int = 0, restarts: int = 1, criterion: str = "cv", kind: str = "gaussian", covariance: str = "full",
            lags: Sequence[int] = (0,), n_symbols: int = 0, n_iter: int = 50, floor: float = FLOOR) -> tuple[Model, pd.DataFrame]:
-    """Pick K (and lags) by held-out log-likelihood per window over recording folds, or by BIC; returns the refitted winner and the scores."""
+    """Pick K (and lags) by held-out log-likelihood per window over recording folds, or by BIC; returns the refitted winner and the scores.
+
+    Criteria: ``cv`` over ``folds`` folds, ``loo`` over as many folds as recordings (see leave_one_out), ``bic``.
+    """
+    if criterion == "loo":
+        folds, criterion = seqs.agg(F.max("fold")).first()[0] + 1, "cv"
     held = list(range(folds)) if criterion == "cv" else [None]
     cand = [Model(k, kind, covariance, L, f, s, n_symbols) for k in ks for L in lags for f in held for s in range(restarts)]
     fitted = fit(seqs, cand, n_iter, floor=floor)
