@@ -3,6 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
+from kinetable.catalog.inference import u01
 from kinetable.catalog.latent import COMP, LV, components, factors
 from kinetable.catalog.models import windows
 from kinetable.catalog.registry import register
@@ -34,6 +35,12 @@ def _(spark, d):
     return spark.createDataFrame([(i, float(x)) for i, x in enumerate(b["share"])], "component int, share double")
 
 
+@register("svd_permutation", ints="component significant", doubles="singular threshold")
+def _(spark, d):
+    b = LN.svd_basis(windows(spark, d), "z", significance="perm")
+    return spark.createDataFrame([(i, int(x > b["threshold"]), float(x), b["threshold"]) for i, x in enumerate(b["singular"])], "component int, significant int, singular double, threshold double")
+
+
 @register("project_velocity", ints="video m", doubles="z0", digits=4)
 def _(spark, d):
     w = windows(spark, d)
@@ -98,12 +105,57 @@ def _(spark, d):
     return LN.score_clips(c, LN.LinearEncoder(w)).select("clip_id", F.col("mu")[0].alias("mu0"))
 
 
-@register("diag_gmm_em", ints="component", doubles="weight mean0 var0",
-          sql=f"WITH {LV}, {COMP}, nk AS (SELECT component, sum(g) AS nk, avg(g) AS weight FROM gm GROUP BY 1) SELECT nk.component, any_value(weight) AS weight, sum(g * mu) / any_value(nk) AS mean0, "
-          "greatest(sum(g * (mu * mu + exp(logvar))) / any_value(nk) - pow(sum(g * mu) / any_value(nk), 2), 1e-3) AS var0 FROM gm JOIN nk ON nk.component = gm.component JOIN lv ON lv.clip_id = gm.clip_id WHERE dim = 0 GROUP BY 1")
+def _em_sql(start: str, turns: int, floor: float = 1e-3) -> str:
+    """CTEs it0 (component, dim, w, m, v) to it{turns}: diagonal EM, one set of CTEs a turn."""
+    out = [f"it0 AS MATERIALIZED ({start})"]
+    for t in range(turns):
+        out += [
+            f"lp{t} AS MATERIALIZED (SELECT clip_id, component, any_value(ln(w)) - 0.5 * sum(pow(mu - m, 2) / v + ln(v) + ln(2 * pi())) AS lp FROM lv JOIN it{t} USING (dim) GROUP BY 1, 2)",
+            f"g{t} AS MATERIALIZED (SELECT clip_id, component, exp(lp - mx) / sum(exp(lp - mx)) OVER (PARTITION BY clip_id) AS g FROM (SELECT *, max(lp) OVER (PARTITION BY clip_id) AS mx FROM lp{t}))",
+            f"nk{t} AS MATERIALIZED (SELECT component, sum(g) AS nk, avg(g) AS w FROM g{t} GROUP BY 1)",
+            f"it{t + 1} AS MATERIALIZED (SELECT o.component, o.dim, any_value(nk.w) AS w, CASE WHEN any_value(nk) > 1e-6 THEN sum(g * mu) / any_value(nk) ELSE any_value(o.m) END AS m, "
+            f"CASE WHEN any_value(nk) > 1e-6 THEN greatest(sum(g * (mu * mu + exp(logvar))) / any_value(nk) - pow(sum(g * mu) / any_value(nk), 2), {floor}) ELSE any_value(o.v) END AS v "
+            f"FROM it{t} o JOIN nk{t} nk ON nk.component = o.component JOIN g{t} g ON g.component = o.component JOIN lv ON lv.clip_id = g.clip_id AND lv.dim = o.dim GROUP BY 1, 2)",
+        ]
+    return ", ".join(out)
+
+
+def _em_rows(c):
+    z = F.arrays_zip(F.col("mean").alias("m"), F.col("var").alias("v"))
+    return c.select("component", "weight", F.posexplode(z).alias("dim", "e")).select("component", "dim", "weight", F.col("e.m").alias("mean"), F.col("e.v").alias("var"))
+
+
+_EM_OUT = " SELECT component, dim, w AS weight, m AS mean, v AS var FROM it10"
+
+
+@register("diag_gmm_em", ints="component dim", doubles="weight mean var",
+          sql=f"WITH {LV}, {COMP}, {_em_sql('SELECT cm.component, dim, w, m, v FROM cm JOIN cw ON cw.component = cm.component', 10)}" + _EM_OUT)
+def _(spark, d):
+    return _em_rows(CL.diag_gmm_em(latents(spark, d), components(spark, d)))
+
+
+def _farthest_sql(k: int) -> str:
+    """CTEs ch0 to ch{k - 1} (step, clip_id, distance): each the point farthest from those before."""
+    out = [f"pts AS (SELECT vec_id AS clip_id, embedding::DOUBLE[] AS e FROM embeddings), ch0 AS MATERIALIZED (SELECT 0 AS step, clip_id, NULL::DOUBLE AS distance, e FROM pts ORDER BY {u01("'0'", 'clip_id')}, clip_id LIMIT 1)"]
+    for i in range(1, k):
+        before = " UNION ALL ".join(f"SELECT e FROM ch{j}" for j in range(i))
+        out.append(f"ch{i} AS MATERIALIZED (SELECT {i} AS step, p.clip_id, min(list_distance(p.e, c.e)) AS distance, any_value(p.e) AS e FROM pts p, ({before}) c GROUP BY p.clip_id ORDER BY distance DESC, clip_id LIMIT 1)")
+    return ", ".join(out)
+
+
+@register("farthest_start", ints="step clip_id", doubles="distance",
+          sql=f"WITH {_farthest_sql(6)} " + " UNION ALL ".join(f"SELECT step, clip_id, distance FROM ch{i}" for i in range(6)))
+def _(spark, d):
+    return CL.farthest_start(latents(spark, d), 6)
+
+
+_SEEDED = " UNION ALL ".join(f"SELECT step AS component, generate_subscripts(e, 1) - 1 AS dim, 1.0 / 6 AS w, unnest(e) AS m, 1.0 AS v FROM ch{i}" for i in range(6))
+
+
+@register("diag_gmm_em_farthest", ints="component dim", doubles="weight mean var", digits=5, sql=f"WITH {LV}, {_farthest_sql(6)}, {_em_sql(_SEEDED, 10)}" + _EM_OUT)
 def _(spark, d):
-    c = CL.diag_gmm_em(latents(spark, d), components(spark, d), n_iter=1)
-    return c.select("component", "weight", F.col("mean")[0].alias("mean0"), F.col("var")[0].alias("var0"))
+    lat = latents(spark, d)
+    return _em_rows(CL.diag_gmm_em(lat, CL.mixture_start(CL.farthest_start(lat, 6))))
 
 
 @register("kmeans_labels", ints="cluster n")

@@ -108,6 +108,26 @@ def _(spark, d):
     return I.clinical_test(subject_metrics(spark, d), ["metric"])
 
 
+_LEFT = (
+    "ct AS (SELECT a.metric, a.label, a.entity, any_value(a.value) AS value, sum(CASE WHEN b.value < a.value THEN 1.0 WHEN b.value = a.value THEN 0.5 ELSE 0 END) AS lo, sum(CASE WHEN b.value > a.value THEN 1.0 WHEN b.value = a.value THEN 0.5 ELSE 0 END) AS hi "
+    "FROM sm a JOIN sm b ON a.metric = b.metric AND a.label <> b.label WHERE a.value IS NOT NULL AND b.value IS NOT NULL GROUP BY 1, 2, 3), "
+    "tc AS (SELECT metric, value, count(*)::DOUBLE AS c FROM sm WHERE value IS NOT NULL GROUP BY 1, 2), ts AS (SELECT metric, sum(c * c * c - c) AS tie FROM tc GROUP BY 1), "
+    "lf AS (SELECT ct.metric, CASE WHEN label = 1 THEN u - lo ELSE u - hi END AS u, n_pos - label AS i, n_neg - 1 + label AS j, tie - (c * c * c - c) + (pow(c - 1, 3) - (c - 1)) AS tie FROM ct JOIN au USING (metric) JOIN tc ON tc.metric = ct.metric AND tc.value = ct.value JOIN ts ON ts.metric = ct.metric), "
+    "zz AS (SELECT metric, (abs(u - i * j / 2.0) - 0.5) / sqrt(i * j / 12.0 * (i + j + 1 - tie / ((i + j) * (i + j - 1)))) AS z FROM lf)"
+)
+
+
+@register("leave_one_out_z", ints="n_left_out", texts="metric", doubles="z_min z_max",
+          sql=f"WITH {SM}, {auc_sql('sm', ['metric'], 'au')}, {_LEFT} SELECT metric, count(*) AS n_left_out, min(z) AS z_min, max(z) AS z_max FROM zz GROUP BY 1")
+def _(spark, d):
+    return I.leave_one_out_p(subject_metrics(spark, d), ["metric"], "asymptotic")
+
+
+@register("leave_one_out_p", texts="metric", doubles="loo_p_min loo_p_max")
+def _(spark, d):
+    return I.leave_one_out_p(subject_metrics(spark, d), ["metric"], "asymptotic")
+
+
 @register("screening_auc", ints="n_pos n_neg", texts="metric", doubles="auc",
           sql=f"WITH {SM}, ng AS (SELECT metric, -value AS value, label FROM sm), {auc_sql('ng', ['metric'], 'au')} SELECT metric, n_pos, n_neg, auc FROM au")
 def _(spark, d):

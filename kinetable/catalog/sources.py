@@ -143,6 +143,24 @@ def _(spark, d):
     return r.select("id", F.inline("intervals"))
 
 
+def order_spans(labels, fps, n_frames):
+    """A caller's extractor: two spans from an order's numbers, one of them reversed, some outside the recording."""
+    k, c = int(labels["key"]), int(labels["customer"])
+    start = (c % 40) / 10.0 - 1.0
+    return [(start, start + k % 7), (n_frames / fps - k % 5, 4.0)] if k % 9 else None
+
+
+@register("hooked_intervals", ints="id", doubles="start_s end_s",
+          sql="WITH o AS (SELECT o_orderkey AS id, o_orderkey % 7 AS k7, o_orderkey % 5 AS k5, (o_custkey % 40) / 10.0 - 1.0 AS s FROM orders WHERE o_orderkey % 9 <> 0), "
+          "p AS (SELECT id, s AS a, s + k7 AS b FROM o UNION ALL SELECT id, 10.0 - k5, 4.0 FROM o), "
+          "c AS (SELECT id, least(greatest(least(a, b), 0), 10.0) AS start_s, least(greatest(greatest(a, b), 0), 10.0) AS end_s FROM p) SELECT * FROM c WHERE end_s > start_s")
+def _(spark, d):
+    o = table(spark, d, "orders").select(
+        F.col("o_orderkey").alias("id"), F.create_map(F.lit("key"), F.col("o_orderkey").cast("string"), F.lit("customer"), F.col("o_custkey").cast("string")).alias("labels"), F.lit(30.0).alias("fps"), F.lit(300).alias("n_frames"),
+    )
+    return KT.hooked_intervals(o, order_spans, keep=["id"])
+
+
 @register("labels_from_names", texts="video", ints="label", sql="SELECT c_name AS video, CASE WHEN c_custkey % 10000 IN (3, 77, 1200) THEN 1 ELSE 0 END AS label FROM customer")
 def _(spark, d):
     # ids are the last four digits here, so the nine-digit names are cut to them first

@@ -15,11 +15,10 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from kinetable.functions.scalar import seeded_uniform
 from kinetable.functions.special import binomial_upper_tail
-from kinetable.operators.latent import agreement, long_latents, responsibilities
+from kinetable.operators.latent import agreement
 from kinetable.operators.linear import covariance
 from kinetable.session import cut_lineage
 
@@ -86,32 +85,79 @@ def gmm_bic(df: DataFrame, ks: Sequence[int], vec: str = "mu", seed: int = 0) ->
     return df.sparkSession.createDataFrame([(*r, r[0] == best, best >= 3) for r in rows], "k int, loglik double, bic double, best boolean, modal boolean")
 
 
+def _gap(centres: np.ndarray):
+    """Squared distance to the nearest of a few centres."""
+
+    @F.pandas_udf("double")
+    def gap(v: pd.Series) -> pd.Series:
+        x = np.stack(v.to_numpy()).astype(float)
+        return pd.Series(np.min([((x - c) ** 2).sum(1) for c in centres], axis=0))
+
+    return gap
+
+
+def farthest_start(points: DataFrame, k: int, ident: str = "clip_id", vec: str = "mu", seed: int = 0) -> DataFrame:
+    """step, ident, distance, mean: a seeded first point, then always the point farthest from those chosen so far.
+
+    Each step is one pass: the distance to the nearest chosen point (at most ``k`` vectors are sent), then the maximum; ties
+    go to the smallest id.  The first point has no distance.
+    """
+    spark = points.sparkSession
+    first = points.select(ident, vec).orderBy(seeded_uniform(seed, ident), ident).first()
+    if first is None:
+        raise ValueError("no points")
+    chosen = [(0, first[0], None, list(first[1]))]
+
+    for step in range(1, k):
+        far = points.select(F.col(ident).alias("id"), F.col(vec).alias("v"), _gap(np.array([c[3] for c in chosen], float))(vec).alias("d2"))
+        r = far.agg(F.max_by(F.struct("id", "v", "d2"), F.struct("d2", (-F.col("id")).alias("o"))).alias("r")).first()["r"]
+        chosen.append((step, r["id"], math.sqrt(r["d2"]), list(r["v"])))
+    return spark.createDataFrame(chosen, f"step int, {ident} long, distance double, mean array<double>")
+
+
+def mixture_start(start: DataFrame) -> DataFrame:
+    """component, weight, mean, var of a mixture with equal weights and unit variances at the chosen points."""
+    n = F.lit(float(start.count()))
+    return start.select(F.col("step").alias("component"), (1.0 / n).alias("weight"), "mean", F.transform("mean", lambda v: F.lit(1.0)).alias("var"))
+
+
 def diag_gmm_em(lat: DataFrame, init: DataFrame, n_iter: int = 10, floor: float = 1e-3) -> DataFrame:
     """component, weight, mean, var after EM whose M-step adds the posterior variance; an empty component does not move.
 
-    Each pass is one map over clips and one sum per (component, dim); the small
-    parameter table is checkpointed.
+    Each pass is one map over clips and one sum per component; K x d parameters are held at the driver.
     """
-    comp = cut_lineage(init)
-    z = long_latents(lat)
+    got = init.orderBy("component").collect()  # one row a component
+    names = [r["component"] for r in got]
+    w, m, v = (np.array([r[c] for r in got], float) for c in ("weight", "mean", "var"))
+
+    def moments(batches, par):
+        w, m, v = par
+        total = 0.0
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            x, s2 = np.stack(pdf["mu"].to_numpy()).astype(float), np.exp(np.stack(pdf["logvar"].to_numpy()).astype(float))
+            lp = np.stack([math.log(max(w[j], 1e-300)) - 0.5 * ((x - m[j]) ** 2 / v[j] + np.log(v[j]) + math.log(2 * math.pi)).sum(1) for j in range(len(w))], 1)
+            g = np.exp(lp - np.logaddexp.reduce(lp, axis=1)[:, None])
+            total = total + np.concatenate([g.sum(0)[:, None], g.T @ x, g.T @ (x * x + s2)], axis=1)
+        if np.ndim(total):
+            yield pd.DataFrame({"i": np.arange(len(total)), "s": list(total)})
+
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"i": pdf["i"].iloc[:1], "s": [np.sum(np.stack(pdf["s"].to_numpy()), axis=0)]})
+
+    rows, d = lat.select("mu", "logvar"), m.shape[1]
     for _ in range(n_iter):
-        g = responsibilities(lat, comp).select("clip_id", F.posexplode("gamma").alias("i", "g"))
-        order = comp.select("component", (F.row_number().over(W.partitionBy(F.lit(0)).orderBy("component")) - 1).alias("i"))  # one row per component
-        g = g.join(F.broadcast(order), "i").drop("i")
-        mass = g.groupBy("component").agg(F.sum("g").alias("nk"), (F.sum("g") / F.count("*")).alias("weight"))
-        s = g.join(z, "clip_id").groupBy("component", "dim").agg(
-            F.sum("g").alias("nk"), (F.sum(F.col("g") * F.col("mu")) / F.sum("g")).alias("m"),
-            (F.sum(F.col("g") * (F.col("mu") * F.col("mu") + F.exp("logvar"))) / F.sum("g")).alias("m2"),
-        ).withColumn("v", F.greatest(F.col("m2") - F.col("m") * F.col("m"), F.lit(floor)))
-        packed = F.array_sort(F.collect_list(F.struct("dim", "m", "v")))
-        new = s.groupBy("component").agg(packed.alias("a")).join(mass, "component").select(
-            "component", "nk", F.col("weight").alias("_w"), F.transform("a", lambda e: e["m"]).alias("_m"), F.transform("a", lambda e: e["v"]).alias("_v")
-        )
-        moved = F.col("nk") > 1e-8
-        comp = cut_lineage(comp.join(new, "component", "left").select(
-            "component", F.coalesce("_w", F.lit(0.0)).alias("weight"), F.when(moved, F.col("_m")).otherwise(F.col("mean")).alias("mean"), F.when(moved, F.col("_v")).otherwise(F.col("var")).alias("var")
-        ))
-    return comp
+        parts = rows.mapInPandas(lambda b, par=(w, m, v): moments(b, par), "i int, s array<double>")
+        sums = parts.groupBy("i").applyInPandas(add, "i int, s array<double>").orderBy("i").collect()
+        s = np.array([r["s"] for r in sums])
+        nk, moved = s[:, :1], s[:, :1] > 1e-6
+        mean = s[:, 1:d + 1] / np.maximum(nk, 1e-8)
+        var = np.maximum(s[:, d + 1:] / np.maximum(nk, 1e-8) - mean * mean, floor)
+        w, m, v = (nk / nk.sum())[:, 0], np.where(moved, mean, m), np.where(moved, var, v)
+    out = [(n, float(a), b.tolist(), c.tolist()) for n, a, b, c in zip(names, w, m, v)]
+    kind = init.schema["component"].dataType.simpleString()
+    return lat.sparkSession.createDataFrame(out, f"component {kind}, weight double, mean array<double>, var array<double>")
 
 
 def _standardised(train: DataFrame, test: DataFrame):

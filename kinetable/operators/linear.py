@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kinetable.operators.kernels import numbered, shuffled
 from kinetable.operators.neighbours import nearest_two, neighbour_ratios, twonn_mle
 from kinetable.plans.chunks import shift
 from kinetable.plans.quantiles import exact_quantiles
@@ -94,8 +95,57 @@ def robust_scale(df: DataFrame, vec: str) -> tuple[np.ndarray, np.ndarray]:
     return q["q2"].to_numpy(), np.where(iqr > 0, iqr, 1.0)
 
 
-def svd_basis(df: DataFrame, vec: str = "mu", var_target: float = 0.9, significance: str | None = None) -> dict:
-    """Axes of the robustly scaled data: centre, scale, vectors, variance shares, n_components, significant count under Marchenko-Pastur."""
+def permuted_top_values(df: DataFrame, vec: str, draws: int, seed: int = 0, block: int = 4096) -> np.ndarray:
+    """The largest singular value of the rows after an independent permutation of every column, for each draw.
+
+    Rows are numbered; a column's value at row i moves to a place that a seeded permutation of 0..n-1 computes from i alone.
+    Values meet again in blocks of places, each block gives d x d sums, and nothing but those sums is kept.
+    """
+    rows = numbered(df.select(F.col(vec).alias("v")))
+    n = rows.count()
+
+    def move(batches):
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            i, x = pdf["i"].to_numpy(), np.stack(pdf["v"].to_numpy()).astype("<f8")
+            for draw in range(draws):
+                place = np.stack([shuffled(i, n, draw * x.shape[1] + c, seed) for c in range(x.shape[1])], 1)
+                lane, column = place // block, np.broadcast_to(np.arange(x.shape[1]), x.shape)
+                order = np.argsort(lane, axis=None, kind="stable")
+                lanes = lane.ravel()[order]
+                cuts = np.flatnonzero(np.diff(lanes, prepend=-1))
+                parts = [np.split(a.ravel()[order], cuts[1:]) for a in (place - lane * block, column, x)]
+                yield pd.DataFrame({
+                    "draw": draw, "lane": lanes[cuts], "rows": [p.astype("<i4").tobytes() for p in parts[0]],
+                    "columns": [p.astype("<i4").tobytes() for p in parts[1]], "data": [p.astype("<f8").tobytes() for p in parts[2]],
+                })
+
+    def sums(pdf: pd.DataFrame) -> pd.DataFrame:
+        at, column, v = (np.concatenate([np.frombuffer(b, k) for b in pdf[c]]) for c, k in (("rows", "<i4"), ("columns", "<i4"), ("data", "<f8")))
+        x = np.zeros((at.max() + 1, column.max() + 1))
+        x[at, column] = v
+        return pd.DataFrame({"draw": pdf["draw"].iloc[:1], "q": [(x.T @ x).ravel()]})
+
+    def top(pdf: pd.DataFrame) -> pd.DataFrame:
+        q = np.sum(np.stack(pdf["q"].to_numpy()), axis=0)
+        d = int(round(len(q) ** 0.5))
+        return pd.DataFrame({"draw": pdf["draw"].iloc[:1], "top": [float(np.sqrt(max(np.linalg.eigvalsh(q.reshape(d, d))[-1], 0.0)))]})
+
+    moved = rows.mapInPandas(move, "draw int, lane long, rows binary, columns binary, data binary")
+    blocks = moved.groupBy("draw", "lane").applyInPandas(sums, "draw int, q array<double>")
+    got = blocks.groupBy("draw").applyInPandas(top, "draw int, top double").toPandas()  # one row a draw
+    return got.sort_values("draw")["top"].to_numpy()
+
+
+def svd_basis(df: DataFrame, vec: str = "mu", var_target: float = 0.9, significance: str | None = None, draws: int = 100, seed: int = 0) -> dict:
+    """Axes of the robustly scaled data: centre, scale, vectors, singular values, variance shares, n_components.
+
+    significance ``mp`` or ``perm`` adds the threshold and n_significant, the singular values above it: of Marchenko-Pastur, or the
+    largest one of ``draws`` copies whose columns were permuted.
+    """
+    if significance not in (None, "mp", "perm"):
+        raise ValueError(f"unknown significance: {significance}")
     centre, scale = robust_scale(df, vec)
     scaled = apply_map(df, vec, "_s", np.diag(1.0 / scale), centre)
     n, _, q = gram(scaled, "_s")
@@ -103,8 +153,10 @@ def svd_basis(df: DataFrame, vec: str = "mu", var_target: float = 0.9, significa
     w, v = np.maximum(w[::-1], 0.0), _signed(v[:, ::-1])
     share = w / w.sum()
     out = {"centre": centre, "scale": scale, "vectors": v.T, "share": share, "n_components": int(np.searchsorted(np.cumsum(share), var_target) + 1)}
-    if significance == "mp":
-        out["n_significant"] = int((np.sqrt(w) > (1.0 + np.sqrt(len(w) / n)) * np.sqrt(n - 1)).sum())
+    out["singular"] = np.sqrt(w)
+    if significance:
+        out["threshold"] = float((1.0 + np.sqrt(len(w) / n)) * np.sqrt(n - 1)) if significance == "mp" else float(permuted_top_values(scaled, "_s", draws, seed).max())
+        out["n_significant"] = int((out["singular"] > out["threshold"]).sum())
     return out
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import io
 import json
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -217,6 +217,37 @@ def parse_event_intervals(records: DataFrame, js: str, fps: Column, n_frames: Co
     return d.withColumn("intervals", F.coalesce(kept, none)).select(*records.columns, "intervals")
 
 
+def hooked_intervals(
+    recordings: DataFrame, extractor: Callable[[dict, float, int], Iterable], labels: str = "labels", fps: str = "fps", n_frames: str = "n_frames", keep: Sequence[str] = ("video",)
+) -> DataFrame:
+    """Event intervals from the caller's own ``extractor(labels, fps, n_frames) -> [(start_s, end_s)]``: keep columns, start_s, end_s.
+
+    The extractor runs as a table function, once a recording row.  What it returns is held to the rules of the built-in
+    parser: ends are put in order and clipped to the recording, pairs that are empty then are dropped.  None gives no
+    interval.  Anything that is not a sequence of pairs of finite numbers is an error that names the recording.
+    """
+
+    class Hook:
+        def eval(self, key: str, given, rate: float, frames: int):
+            pairs = extractor(dict(given) if given is not None else {}, rate, frames)
+            length = max(frames / rate, 1e-6)
+            for pair in pairs if pairs is not None else ():
+                try:
+                    a, b = (float(x) for x in pair)
+                except (TypeError, ValueError) as error:
+                    raise ValueError(f"recording {key}: {pair!r} is not a pair of numbers") from error
+                if a - a != 0 or b - b != 0:
+                    raise ValueError(f"recording {key}: {pair!r} is not finite")
+                a, b = (min(max(x, 0.0), length) for x in (min(a, b), max(a, b)))
+                if b > a:
+                    yield a, b
+
+    call = F.udtf(Hook, returnType="start_s double, end_s double")
+    named = recordings.select(*keep, F.to_json(F.struct(*keep)).alias("_key"), F.col(labels).alias("_given"), F.col(fps).cast("double").alias("_rate"), F.col(n_frames).cast("long").alias("_frames"))
+    out = named.lateralJoin(call(F.col("_key").outer(), F.col("_given").outer(), F.col("_rate").outer(), F.col("_frames").outer()))
+    return out.select(*keep, "start_s", "end_s")
+
+
 def labels_from_names(names: DataFrame, positive: Sequence[int | str], column: str = "video") -> DataFrame:
     """label 1 if any digit run of the name, zero-filled to 4, is a positive id."""
     ids = [str(p).zfill(4) for p in positive]
