@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -259,7 +260,24 @@ def find_leaks(
     return out
 
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", **options) -> DataFrame:
-    """The documents in which no benchmark item was found; columns as given."""
-    leaked = find_leaks(docs, benchmark, doc_id, **options).select(F.col("doc_id").alias("_leaked")).distinct()
-    return docs.join(leaked, F.col(doc_id).eqNullSafe(F.col("_leaked")), "left_anti")
+def drop_leaks(
+    docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", q: int = 8, percent: int = 10, part: int = 100, block_chars: int = 4_000_000
+) -> DataFrame:
+    """The documents in which no benchmark item was found; columns as given.
+
+    Each row is judged where it is read, so ids may be null or repeat, and nothing is shuffled.
+    """
+    at = docs.columns.index(text)
+    for block in _blocks(benchmark, item_id, item_text, block_chars):
+        index = docs.sparkSession.sparkContext.broadcast(Index(block, q, percent, part))
+
+        def clean(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                texts = batch.column(at).to_pylist()
+                keep = np.ones(len(texts), bool)
+                for a, b in slices(texts):
+                    keep[[a + found[0] for found in index.value.matches([normal(t) for t in texts[a:b]])]] = False
+                yield batch.filter(pa.array(keep))
+
+        docs = docs.mapInArrow(clean, docs.schema)
+    return docs

@@ -23,7 +23,7 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import Scratch
+from .shared import Scratch, free_name
 
 STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -134,7 +134,8 @@ def _split_by_text(docs: DataFrame, doc_id: str, norm: Column, digest: Callable[
 
 def drop_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents without the rows another equal text replaces; columns as given."""
-    groups = exact_groups(docs, doc_id, text).where("kept").select(F.col("doc_id").alias("_keep_id"), F.col("digest").alias("_keep_digest"))
-    marked = docs.withColumn("_digest", sha256(ascii_lower(F.col(text))))
-    kept = marked.join(groups, F.col(doc_id).eqNullSafe(F.col("_keep_id")) & (F.col("_digest") == F.col("_keep_digest")), "left_semi")
-    return kept.dropDuplicates([doc_id, "_digest"]).select(*docs.columns)
+    mark = free_name(docs, "_digest")
+    groups = exact_groups(docs, doc_id, text).where("kept").select(F.col("doc_id").alias(f"{mark}_keep_id"), F.col("digest").alias(f"{mark}_keep"))
+    marked = docs.withColumn(mark, sha256(ascii_lower(F.col(text))))
+    kept = marked.join(groups, F.col(doc_id).eqNullSafe(F.col(f"{mark}_keep_id")) & (F.col(mark) == F.col(f"{mark}_keep")), "left_semi")
+    return kept.dropDuplicates([doc_id, mark]).select(*docs.columns)

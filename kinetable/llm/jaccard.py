@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .hashing import Words, mix, runs, utf8
-from .shared import Scratch
+from .shared import Scratch, free_name
 from .tables import merged
 from .tokens import slices
 
@@ -147,11 +147,17 @@ def near_duplicates(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 4, percent: int = 85, leaf_rows: int = LEAF
 ) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id.  Linked: 100 * overlap >= percent * union."""
+    return _grouped(docs, doc_id, text, k, percent, leaf_rows).select("doc_id", "n_shingles", "component_id")
+
+
+def _grouped(docs: DataFrame, doc_id: str, text: str, k: int, percent: int, leaf_rows: int) -> DataFrame:
+    """near_duplicates with the component's node (null without shingles) and the md5 of the text, which tells rows of one id apart."""
     if not 50 <= percent <= 100:
         raise ValueError("percent must be 50 to 100: sets of less like sizes have no common resolution")
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    marked = rows.withColumn("mark", text_mark("text"))
 
     def count(batches: Iterator[pa.RecordBatch], cells: np.ndarray) -> None:
         for batch in batches:
@@ -165,7 +171,7 @@ def near_duplicates(
 
         at = TaskContext.get().partitionId() << 33
         for batch in batches:
-            ids = batch.column(batch.schema.get_field_index("doc_id"))
+            ids, marks = (batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "mark"))
             for a, b, texts in _batches(batch, "text"):
                 n, keys, vecs, prefixes = [], [], [], []
                 for s, order in rarity.value.ranked(texts, k):
@@ -176,13 +182,13 @@ def near_duplicates(
                     first = len(s) - need(len(s), percent) + 1 if len(s) else 0
                     prefixes.append(s[order[:first]].view("i8"))
                 yield pa.RecordBatch.from_arrays(
-                    [ids[a:b], pa.array(np.arange(at, at + b - a)), pa.array(n, "int32"), pa.array(keys, "binary"), _lists(vecs, "int16"), _lists(prefixes, "int64")],
-                    ["doc_id", "row", "n", "key", "vec", "prefix"],
+                    [ids[a:b], marks[a:b], pa.array(np.arange(at, at + b - a)), pa.array(n, "int32"), pa.array(keys, "binary"), _lists(vecs, "int16"), _lists(prefixes, "int64")],
+                    ["doc_id", "mark", "row", "n", "key", "vec", "prefix"],
                 )
                 at += b - a
 
-    all_points = scratch.keep(rows.mapInArrow(points, "doc_id long, row long, n int, key binary, vec array<smallint>, prefix array<long>"), "points")
-    ids = all_points.select("doc_id", "row", "n", "key")
+    all_points = scratch.keep(marked.mapInArrow(points, "doc_id long, mark binary, row long, n int, key binary, vec array<smallint>, prefix array<long>"), "points")
+    ids = all_points.select("doc_id", "mark", "row", "n", "key")
     sets = scratch.keep(ids.where("n > 0").groupBy("key").agg(F.min("row").alias("node"), F.min("doc_id").alias("low"), F.first("n").alias("n")), "sets")
     nodes = all_points.join(sets.select("node"), F.col("row") == F.col("node"), "left_semi")
     nodes = nodes.select(F.col("row").alias("node"), "n", "vec", coarse("vec").alias("box"), "prefix")
@@ -202,9 +208,15 @@ def near_duplicates(
     named = sets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = scratch.keep(named.select("key", "root", "low"), "named")
     lows = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    classes = named.join(lows, "root").select("key", "component_id")
-    linked = ids.where("n > 0").join(classes, "key").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
-    return linked.unionByName(ids.where("n = 0").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    classes = named.join(lows, "root").select("key", "root", "component_id")
+    linked = ids.where("n > 0").join(classes, "key").select("doc_id", "mark", F.col("n").cast("long").alias("n_shingles"), "component_id", "root")
+    alone = ids.where("n = 0").select("doc_id", "mark", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("root"))
+    return linked.unionByName(alone)
+
+
+def text_mark(text: str) -> Column:
+    """16 bytes that stand for the text beside its id."""
+    return F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
 
 
 def _side(nodes: DataFrame, name: str) -> DataFrame:
@@ -297,8 +309,16 @@ def _verified(rows: DataFrame, sets: DataFrame, pairs: DataFrame, k: int, percen
     return pairs.join(left, "a").join(right, "b").where(overlap * (100 + percent) >= (F.size("a_items") + F.size("b_items")) * percent).select("a", "b")
 
 
-def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The documents with the smallest id of each component; columns as given.  Rows with a null id stay."""
-    groups = near_duplicates(docs, doc_id, text, **options)
-    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col(doc_id) == F.col("_gone"), "left_anti")
+def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 4, percent: int = 85, leaf_rows: int = LEAF) -> DataFrame:
+    """One document of each component, the one with the smallest id (no id comes last, then by digest); columns as given.
+
+    Rows are told apart by id and text.  Rows that repeat both are one document and stay or go together; texts without words stay.
+    """
+    groups = Scratch(docs.sparkSession, "keep_first").keep(_grouped(docs, doc_id, text, k, percent, leaf_rows).where("root IS NOT NULL").select("root", "doc_id", "mark"), "groups")
+    best = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("best"), F.count(F.lit(1)).alias("c")).where("c > 1")
+    same = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("mark") == F.col("best.mark"))
+    name, mark = free_name(docs, "_gone"), free_name(docs, "_mark")
+    gone = groups.join(best, "root").where(~same).select(F.col("doc_id").alias(name), F.col("mark").alias(f"{name}_mark")).distinct()
+    marked = docs.withColumn(mark, text_mark(text))
+    own = F.col(doc_id).cast("long").eqNullSafe(F.col(name)) & (F.col(mark) == F.col(f"{name}_mark"))
+    return marked.join(gone, own, "left_anti").select(*docs.columns)

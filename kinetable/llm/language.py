@@ -30,6 +30,7 @@ from kinetable.session import ship_package
 
 from .hashing import utf8
 from .quality import held_out
+from .shared import free_name
 from .tokens import slices
 
 # Language families by ISO 639-1 code.  A code not named here is a family of its own.
@@ -209,7 +210,11 @@ def add_language(
     if taken := {c.lower() for c in docs.columns} & {c.lower() for c in out}:
         raise ValueError(f"columns exist already: {sorted(taken)}")
     ship_package(docs.sparkSession)
-    models = docs.sparkSession.sparkContext.broadcast(fit(docs, doc_id, text, lang, width, per_language))
+    return _scored(docs, fit(docs, doc_id, text, lang, width, per_language), text, out)
+
+
+def _scored(docs: DataFrame, fitted: Models, text: str, out: tuple[str, str]) -> DataFrame:
+    models = docs.sparkSession.sparkContext.broadcast(fitted)
     columns = docs.columns
     lettered = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("_lettered")
     at = columns.index(text)
@@ -233,7 +238,15 @@ def predict_language(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     return add_language(rows, **options).select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
-def keep_known(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", **options) -> DataFrame:
-    """The documents that have a language (not ``und``); columns as given."""
-    marks = next((f"_lang{i}", f"_sure{i}") for i in range(len(docs.columns) + 1) if not {f"_lang{i}", f"_sure{i}"} & set(docs.columns))
-    return add_language(docs, doc_id, text, lang, out=marks, **options).where(F.col(marks[0]) != "und").select(*docs.columns)
+def keep_known(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", width: int = 4096, per_language: int = 300) -> DataFrame:
+    """The documents that have a language (not ``und``); columns as given.
+
+    Every text with a letter is given one of the learned languages, so what goes are texts without a letter; the rule is the same
+    where no row has a label to learn from.
+    """
+    ship_package(docs.sparkSession)
+    models = fit(docs, doc_id, text, lang, width, per_language)
+    if not models.langs:
+        return docs.where(F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)))
+    name, sure = free_name(docs, "_lang"), free_name(docs, "_sure")
+    return _scored(docs, models, text, (name, sure)).where(F.col(name) != "und").select(*docs.columns)

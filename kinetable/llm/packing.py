@@ -108,6 +108,7 @@ def pieces(docs: DataFrame, tokenizer: str, size: int, end_id: int, doc_id: str,
             out = pd.DataFrame(rows, columns=names)
             out["doc_id"] = out["doc_id"].astype("Int64") if kind in ("int", "bigint") else out["doc_id"]
             yield out
+        enc.forget()  # workers outlive their tasks
 
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     return source.mapInPandas(run, schema)

@@ -46,6 +46,14 @@ class Scratch:
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def free_name(docs: DataFrame, wish: str) -> str:
+    """``wish``, with underscores before it until no column has the name (case apart)."""
+    taken = {c.lower() for c in docs.columns}
+    while wish.lower() in taken:
+        wish = f"_{wish}"
+    return wish
+
+
 def file_uri(path: str) -> str:
     """``file:/a`` as Hadoop prints it, in the form that pyarrow reads."""
     return f"file://{path[5:]}" if path.startswith("file:/") and not path.startswith("file://") else path
