@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from kinetable.session import cut_lineage
 
+Member = Callable[[tuple, np.ndarray], np.ndarray]
 _ROUND = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
@@ -70,8 +71,8 @@ class Levels:
         parts = self.blocks.mapInPandas(partial, "key int, s array<double>").groupBy("key").applyInPandas(add, "key int, s array<double>")
         return {keys[r["key"]]: np.array(r["s"]) for r in parts.collect()}
 
-    def starts(self, wanted: Sequence[tuple]) -> dict[tuple, np.ndarray]:
-        """For each (level, k, seed) the k rows with the smallest hash under the seed."""
+    def starts(self, wanted: Sequence[tuple], member: Member | None = None) -> dict[tuple, np.ndarray]:
+        """For each (level, k, seed, ...) the k rows with the smallest hash under the seed, of those the run holds."""
 
         def least(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             best: dict[int, list] = {}
@@ -79,10 +80,11 @@ class Levels:
                 for r in pdf.itertuples(index=False):
                     ids = np.asarray(r.ids)
                     x = np.frombuffer(r.data, "<f8").reshape(len(ids), -1)
-                    for i, (level, k, seed) in enumerate(wanted):
-                        if level == r.level:
-                            h = _drawn(ids, seed)
-                            near = np.argsort(h, kind="stable")[:k]
+                    for i, key in enumerate(wanted):
+                        if key[0] == r.level:
+                            k, h = key[1], _drawn(ids, key[2])
+                            near = np.argsort(h, kind="stable")
+                            near = (near if member is None else near[member(key, ids)[near]])[:k]
                             best[i] = sorted([*best.get(i, []), *((int(h[j]), int(ids[j]), x[j].tolist()) for j in near)])[:k]
             rows = [(i, str(h).zfill(20), ident, v) for i, b in best.items() for h, ident, v in b]
             yield pd.DataFrame(rows, columns=["key", "h", "id", "v"])
@@ -103,14 +105,19 @@ def _squares(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return ((x[:, None, :] - c[None, :, :]) ** 2).sum(-1)
 
 
-def keyed_kmeans(levels: Levels, wanted: Sequence[tuple], rounds: int = 100) -> dict[tuple, tuple[np.ndarray, float]]:
-    """(centres, cost) for each (level, k, seed); a round is one job for all that still move.  An empty centre stays."""
-    centres = levels.starts(wanted)
+def keyed_kmeans(levels: Levels, wanted: Sequence[tuple], rounds: int = 100, member: Member | None = None) -> dict[tuple, tuple[np.ndarray, float]]:
+    """(centres, cost) for each (level, k, seed, ...); a round is one job for all that still move.  An empty centre stays.
+
+    ``member(key, ids)`` may restrict a run to some rows.
+    """
+    centres = levels.starts(wanted, member)
     d = centres[wanted[0]].shape[1]
     cost = dict.fromkeys(wanted, math.inf)
     live = list(wanted)
 
-    def statistic(c: np.ndarray, ids: np.ndarray, x: np.ndarray) -> np.ndarray:
+    def statistic(model: tuple, ids: np.ndarray, x: np.ndarray) -> np.ndarray:
+        key, c = model
+        x = x if member is None else x[member(key, ids)]
         s = _squares(x, c)
         near = s.argmin(1)
         out = np.zeros((len(c), x.shape[1] + 1))
@@ -118,7 +125,7 @@ def keyed_kmeans(levels: Levels, wanted: Sequence[tuple], rounds: int = 100) ->
         return np.append(out.ravel(), s.min(1).sum())
 
     for _ in range(rounds):
-        found = levels.sums({k: centres[k] for k in live}, statistic)
+        found = levels.sums({k: (k, centres[k]) for k in live}, statistic)
         still = []
         for key, s in found.items():
             n, total = s[:-1].reshape(key[1], d + 1)[:, :1], s[:-1].reshape(key[1], d + 1)[:, 1:]
@@ -143,7 +150,7 @@ def _log_parts(model: tuple, x: np.ndarray) -> np.ndarray:
     return out
 
 
-def keyed_mixtures(levels: Levels, starts: dict[tuple, np.ndarray], ridge: float = 1e-5, tol: float = 1e-3, rounds: int = 100) -> dict[tuple, tuple[tuple, float]]:
+def keyed_mixtures(levels: Levels, starts: dict[tuple, np.ndarray], ridge: float = 1e-5, tol: float = 1e-3, rounds: int = 100, member: Member | None = None) -> dict[tuple, tuple[tuple, float]]:
     """((weights, means, covariances), log-likelihood) for each (level, k, seed): full covariances, started from hard clusters.
 
     A mixture stops when its likelihood a row gains less than ``tol``; the parameters returned are those that were scored.
@@ -153,13 +160,18 @@ def keyed_mixtures(levels: Levels, starts: dict[tuple, np.ndarray], ridge: float
     def moments(g: np.ndarray, x: np.ndarray, ll: float) -> np.ndarray:
         return np.concatenate([g.sum(0), (g.T @ x).ravel(), np.einsum("nk,ni,nj->kij", g, x, x).ravel(), [ll]])
 
-    def hard(c: np.ndarray, ids: np.ndarray, x: np.ndarray) -> np.ndarray:
+    def held(key: tuple, ids: np.ndarray, x: np.ndarray) -> np.ndarray:
+        return x if member is None else x[member(key, ids)]
+
+    def hard(model: tuple, ids: np.ndarray, x: np.ndarray) -> np.ndarray:
+        c, x = model[1], held(model[0], ids, x)
         return moments(np.eye(len(c))[_squares(x, c).argmin(1)], x, 0.0)
 
     def soft(model: tuple, ids: np.ndarray, x: np.ndarray) -> np.ndarray:
-        parts = _log_parts(model, x)
+        x = held(model[0], ids, x)
+        parts = _log_parts(model[1], x)
         whole = np.logaddexp.reduce(parts, axis=1)
-        return moments(np.exp(parts - whole[:, None]), x, whole.sum())
+        return np.append(moments(np.exp(parts - whole[:, None]), x, whole.sum()), len(x))
 
     def step(key: tuple, s: np.ndarray) -> tuple:
         k = key[1]
@@ -168,16 +180,16 @@ def keyed_mixtures(levels: Levels, starts: dict[tuple, np.ndarray], ridge: float
         cov = s[k + k * d : -1].reshape(k, d, d) / n[:, None, None] - np.einsum("ki,kj->kij", mean, mean)
         return n / n.sum(), mean, (cov + cov.transpose(0, 2, 1)) / 2 + ridge * np.eye(d)
 
-    now = {key: step(key, s) for key, s in levels.sums(starts, hard).items()}
+    now = {key: step(key, s) for key, s in levels.sums({k: (k, c) for k, c in starts.items()}, hard).items()}
     done: dict[tuple, tuple[tuple, float]] = {}
     before = dict.fromkeys(now, -math.inf)
     for turn in range(rounds):
-        live = {k: m for k, m in now.items() if k not in done}
+        live = {k: (k, m) for k, m in now.items() if k not in done}
         if not live:
             break
         for key, s in levels.sums(live, soft).items():
-            ll = float(s[-1])
-            if ll - before[key] < tol * levels.sizes[key[0]] or turn == rounds - 1:
+            ll, n, s = float(s[-2]), s[-1], s[:-1]
+            if ll - before[key] < tol * n or turn == rounds - 1:
                 done[key] = (now[key], ll)
             else:
                 now[key], before[key] = step(key, s), ll
@@ -190,7 +202,7 @@ def rand_index(table: np.ndarray) -> float:
     both, rows, cols, n = pairs(table), pairs(table.sum(1)), pairs(table.sum(0)), table.sum()
     chance = rows * cols / (n * (n - 1) / 2) if n > 1 else 0.0
     most = (rows + cols) / 2
-    return 1.0 if most == chance else (both - chance) / (most - chance)
+    return 1.0 if most == chance else float((both - chance) / (most - chance))
 
 
 def within_group_repeat(
