@@ -13,10 +13,13 @@ Work in a tree never grows with the square of a group of near copies:
 1. equal sets are one node;
 2. each node meets the first node of each tree it lies in (a star); the survivors of the bound are verified, and verified
    pairs are united to components;
-3. only trees that still hold several components go on: their entries form leaves of bounded size by size band,
-   leaves have boxes, and only leaf pairs, then entry pairs, that pass the bound and lie in different components are
-   verified.
-A pair left out is thus excluded by a bound or already in one component; no link between components is lost.
+3. only trees that still hold several components go on.  In each round the large ones among them draw DRAWS nodes, which their
+   entries of other components meet and which then leave the tree.  The trees of one group of near copies draw different nodes, so each
+   copy meets DRAWS for each tree it lies in, and the group falls together.  Rounds go on while they unite a quarter of the components;
+4. the entries that are left form leaves of bounded size by size band, leaves have boxes, and only leaf pairs, then entry
+   pairs, that pass the bound and lie in different components are verified.
+A pair left out is thus excluded by a bound or already in one component; no link between components is lost.  The number of
+rounds decides the work only, never the result.
 
 Verification intersects the full shingle sets.  They are recomputed from the texts of candidate nodes only; a bit set of
 bounded size keeps the others from being sent.
@@ -44,6 +47,7 @@ from .tokens import slices
 GROUPS = 64
 BOX = 32
 LEAF = 256
+DRAWS, LARGE = 8, 64
 WORD_CELLS, SHINGLE_CELLS = 1 << 19, 1 << 18
 
 
@@ -152,8 +156,8 @@ def near_duplicates(
 
 def _grouped(docs: DataFrame, doc_id: str, text: str, k: int, percent: int, leaf_rows: int) -> DataFrame:
     """near_duplicates with the component's node (null without shingles) and the md5 of the text, which tells rows of one id apart."""
-    if not 50 <= percent <= 100:
-        raise ValueError("percent must be 50 to 100: sets of less like sizes have no common resolution")
+    if not 51 <= percent <= 100:
+        raise ValueError("percent must be 51 to 100: sets of less like sizes have no common resolution")
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
@@ -198,12 +202,24 @@ def _grouped(docs: DataFrame, doc_id: str, text: str, k: int, percent: int, leaf
     trees = entries.groupBy("tree").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("c")).where("c > 1")
     shared = scratch.keep(entries.join(trees, "tree"), "shared")
 
+    texts = _Sets(rows, sets, k, percent, scratch)
     stars = shared.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-    links = scratch.keep(_verified(rows, sets, _bounded(stars, nodes, percent), k, percent, scratch, "star"), "links1")
-    more = _leaf_pairs(shared, nodes, components(links), percent, leaf_rows)
-    more = scratch.keep(_verified(rows, sets, more, k, percent, scratch, "leaf"), "links2")
-    roots = scratch.keep(components(links.unionByName(more)), "roots")
-    scratch.drop("shared", "nodes")
+    roots = scratch.keep(components(texts.verified(_bounded(stars, nodes, percent), "star")), "roots0")
+    entries = shared.where("c > 2 AND node <> pivot").select("tree", "node")
+    opened = scratch.keep(_open(entries, roots).join(nodes.select("node", "n", "box"), "node"), "open0")
+    scratch.drop("shared")
+    turn, apart, before = 0, _apart(opened), None
+    while apart and (before is None or 4 * apart <= 3 * before):
+        turn, before = turn + 1, apart
+        drawn = scratch.keep(_drawn(opened, turn), f"drawn{turn}")
+        roots = _joined(roots, texts.verified(_bounded(_star_pairs(opened, drawn, percent), nodes, percent), f"star{turn}"), scratch, turn)
+        rest = opened.join(drawn.select("tree", "node"), ["tree", "node"], "left_anti").drop("root")
+        opened = scratch.keep(_open(rest, roots), f"open{turn}")
+        scratch.drop(f"open{turn - 1}", f"drawn{turn}")
+        apart = _apart(opened)
+    roots = _joined(roots, texts.verified(_leaf_pairs(opened, nodes, percent, leaf_rows, scratch), "leaf"), scratch, turn + 1)
+    texts.close()
+    scratch.drop("nodes", f"open{turn}")
 
     named = sets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = scratch.keep(named.select("key", "root", "low"), "named")
@@ -234,19 +250,49 @@ def coarse(vec: str) -> Column:
     return F.array(*[F.aggregate(F.slice(vec, F.lit(1) + step * i, step), F.lit(0), lambda s, x: s + x) for i in range(BOX)])
 
 
-def _leaf_pairs(shared: DataFrame, nodes: DataFrame, roots: DataFrame, percent: int, leaf_rows: int) -> DataFrame:
+def _open(entries: DataFrame, roots: DataFrame) -> DataFrame:
+    """The entries (tree, node and further columns) of trees that hold several components, with the component."""
+    named = entries.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    mixed = named.groupBy("tree").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("tree")
+    return named.join(mixed, "tree", "left_semi")
+
+
+def _apart(opened: DataFrame) -> int:
+    """How many components meet in large trees."""
+    large = opened.groupBy("tree").count().where(F.col("count") > LARGE)
+    return opened.join(large, "tree", "left_semi").agg(F.count_distinct("root")).first()[0]
+
+
+def _drawn(opened: DataFrame, turn: int) -> DataFrame:
+    """The entries that large trees draw in this round."""
+    draws = [F.max_by("node", F.xxhash64("node", "tree", F.lit(turn), F.lit(i))) for i in range(DRAWS)]
+    picked = opened.groupBy("tree").agg(F.count(F.lit(1)).alias("c"), F.array(*draws).alias("picked")).where(F.col("c") > LARGE)
+    return opened.join(picked.select("tree", F.explode(F.array_distinct("picked")).alias("node")), ["tree", "node"], "left_semi")
+
+
+def _star_pairs(opened: DataFrame, drawn: DataFrame, percent: int) -> DataFrame:
+    """Entries against those their tree draws, where sizes and short points let them be similar and the components differ."""
+    centre = drawn.select("tree", *[F.col(c).alias(f"p_{c}") for c in ("node", "root", "n", "box")])
+    like = F.least("n", "p_n") * 100 >= F.greatest("n", "p_n") * percent
+    near = bound(F.col("box"), F.col("p_box")) * (100 + percent) >= (F.col("n") + F.col("p_n")) * percent
+    met = opened.join(centre, "tree").where((F.col("root") != F.col("p_root")) & like & near)
+    return met.select(F.least("node", "p_node").alias("a"), F.greatest("node", "p_node").alias("b")).distinct()
+
+
+def _joined(roots: DataFrame, links: DataFrame, scratch: Scratch, turn: int) -> DataFrame:
+    """Components of the earlier ones with more links."""
+    return scratch.keep(components(links.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))), f"roots{turn}")
+
+
+def _leaf_pairs(entries: DataFrame, nodes: DataFrame, percent: int, leaf_rows: int, scratch: Scratch) -> DataFrame:
     """Entry pairs of different components in one tree that pass the bounds of their leaves and their own.
 
     Entries and boxes carry BOX coordinates; the full vectors join the pairs that are left.
     """
-    open_trees = shared.where("c > 2").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = open_trees.groupBy("tree").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("tree")
-    entries = open_trees.where("node <> pivot").join(mixed, "tree", "left_semi").select("tree", "node", "root")
-    entries = entries.join(nodes.select("node", "n", "box"), "node")
     entries = entries.withColumn("band", F.floor(F.log("n") / float(-np.log(percent / 100))).cast("int"))
     sizes = entries.groupBy("tree", "band").agg(F.ceil(F.count(F.lit(1)) / leaf_rows).alias("leaves"))
     entries = entries.join(sizes, ["tree", "band"]).withColumn("part", F.pmod(F.xxhash64("node"), F.col("leaves"))).drop("leaves")
-    entries = Scratch(shared.sparkSession, "leaves").keep(entries, "entries")
+    entries = scratch.keep(entries, "entries")
     leaves = entries.groupBy("tree", "band", "part").agg(
         F.min("n").alias("least"), F.min("root").alias("r0"), F.max("root").alias("r1"), *[F.max(F.col("box")[i]).alias(f"m{i}") for i in range(BOX)]
     ).select("tree", "band", "part", "least", "r0", "r1", F.array(*[f"m{i}" for i in range(BOX)]).alias("top"))
@@ -268,45 +314,69 @@ def _leaf_pairs(shared: DataFrame, nodes: DataFrame, roots: DataFrame, percent:
     return _bounded(both.select(F.least("xnode", "ynode").alias("a"), F.greatest("xnode", "ynode").alias("b")).distinct(), nodes, percent)
 
 
-def _verified(rows: DataFrame, sets: DataFrame, pairs: DataFrame, k: int, percent: int, scratch: Scratch, name: str) -> DataFrame:
-    """The pairs whose full sets are similar enough."""
-    pairs = scratch.keep(pairs, f"{name}_pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = sets.join(wanted, "node").select("node", "key", "low")
-    bits = 1 << max(16, min(29, int(16 * max(1, wanted.count())).bit_length()))
-
-    def spots(keys: list[bytes], ids: list[int | None]) -> np.ndarray:
-        raw = np.frombuffer(b"".join(keys), "u8").reshape(-1, 2)
-        own = np.array([-1 if i is None else i for i in ids], "i8").view("u8")
-        return np.stack([mix(raw[:, j] ^ mix(own)) & np.uint64(bits - 1) for j in (0, 1)]).astype("i8")
-
-    def fill(batches: Iterator[pa.RecordBatch], cells: np.ndarray) -> None:
-        for batch in batches:
-            if batch.num_rows:
-                at = spots(batch.column(0).to_pylist(), batch.column(1).to_pylist()).ravel()
-                np.bitwise_or.at(cells, at >> 3, np.left_shift(1, at & 7).astype("u1"))
-
-    seen = rows.sparkSession.sparkContext.broadcast(merged(wanted.select("key", "low"), fill, bits // 8, "u1", np.bitwise_or))
-
-    def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column(batch.schema.get_field_index("doc_id")).to_pylist()
-            for a, b, texts in _batches(batch, "text"):
-                own = list(shingle_sets(texts, k))
-                keys = [set_key(s) for s in own]
-                at = spots(keys, ids[a:b])
-                keep = np.flatnonzero(((seen.value[at >> 3] >> (at & 7).astype("u1")) & 1).all(0)).tolist()
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([ids[a + i] for i in keep], "int64"), pa.array([keys[i] for i in keep], "binary"), _lists([own[i].view("i8") for i in keep], "int64")],
-                    ["own_id", "own_key", "items"],
-                )
-
-    found = rows.mapInArrow(full, "own_id long, own_key binary, items array<long>")
-    found = found.join(wanted, (F.col("own_key") == F.col("key")) & F.col("own_id").eqNullSafe(F.col("low"))).select("node", "items")
-    found = scratch.keep(found.dropDuplicates(["node"]), f"{name}_items")
-    left, right = found.select(F.col("node").alias("a"), F.col("items").alias("a_items")), found.select(F.col("node").alias("b"), F.col("items").alias("b_items"))
-    overlap = F.size(F.array_intersect("a_items", "b_items"))
-    return pairs.join(left, "a").join(right, "b").where(overlap * (100 + percent) >= (F.size("a_items") + F.size("b_items")) * percent).select("a", "b")
+class _Sets:
+    """Full shingle sets of candidate nodes, computed from the texts once for each node that some pair asks for."""
+
+    def __init__(self, rows: DataFrame, sets: DataFrame, k: int, percent: int, scratch: Scratch):
+        self.rows, self.sets, self.k, self.percent, self.scratch = rows, sets, k, percent, scratch
+        self.found: DataFrame | None = None
+        self.names: list[str] = []
+
+    def verified(self, pairs: DataFrame, name: str) -> DataFrame:
+        """The pairs whose full sets are similar enough."""
+        pairs = self.scratch.keep(pairs, f"{name}_pairs")
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        if self.found is not None:
+            wanted = wanted.join(self.found.select("node"), "node", "left_anti")
+        wanted = self.scratch.keep(self.sets.join(wanted, "node").select("node", "key", "low"), f"{name}_wanted")
+        many = wanted.count()
+        if many or self.found is None:
+            new = self.scratch.keep(self._from_texts(wanted, many), f"{name}_items")
+            self.found = new if self.found is None else self.found.unionByName(new)
+            self.names.append(f"{name}_items")
+        left, right = (self.found.select(F.col("node").alias(c), F.col("items").alias(f"{c}_items")) for c in "ab")
+        overlap = F.size(F.array_intersect("a_items", "b_items"))
+        links = pairs.join(left, "a").join(right, "b").where(overlap * (100 + self.percent) >= (F.size("a_items") + F.size("b_items")) * self.percent)
+        links = self.scratch.keep(links.select("a", "b"), f"{name}_links")
+        self.scratch.drop(f"{name}_pairs", f"{name}_wanted")
+        return links
+
+    def close(self) -> None:
+        self.scratch.drop(*self.names)
+
+    def _from_texts(self, wanted: DataFrame, many: int) -> DataFrame:
+        k = self.k
+        bits = 1 << max(16, min(29, int(16 * max(1, many)).bit_length()))
+
+        def spots(keys: list[bytes], ids: list[int | None]) -> np.ndarray:
+            raw = np.frombuffer(b"".join(keys), "u8").reshape(-1, 2)
+            own = np.array([-1 if i is None else i for i in ids], "i8").view("u8")
+            return np.stack([mix(raw[:, j] ^ mix(own)) & np.uint64(bits - 1) for j in (0, 1)]).astype("i8")
+
+        def fill(batches: Iterator[pa.RecordBatch], cells: np.ndarray) -> None:
+            for batch in batches:
+                if batch.num_rows:
+                    at = spots(batch.column(0).to_pylist(), batch.column(1).to_pylist()).ravel()
+                    np.bitwise_or.at(cells, at >> 3, np.left_shift(1, at & 7).astype("u1"))
+
+        seen = self.rows.sparkSession.sparkContext.broadcast(merged(wanted.select("key", "low"), fill, bits // 8, "u1", np.bitwise_or))
+
+        def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                ids = batch.column(batch.schema.get_field_index("doc_id")).to_pylist()
+                for a, b, texts in _batches(batch, "text"):
+                    own = list(shingle_sets(texts, k))
+                    keys = [set_key(s) for s in own]
+                    at = spots(keys, ids[a:b])
+                    keep = np.flatnonzero(((seen.value[at >> 3] >> (at & 7).astype("u1")) & 1).all(0)).tolist()
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([ids[a + i] for i in keep], "int64"), pa.array([keys[i] for i in keep], "binary"), _lists([own[i].view("i8") for i in keep], "int64")],
+                        ["own_id", "own_key", "items"],
+                    )
+
+        found = self.rows.mapInArrow(full, "own_id long, own_key binary, items array<long>")
+        found = found.join(wanted, (F.col("own_key") == F.col("key")) & F.col("own_id").eqNullSafe(F.col("low"))).select("node", "items")
+        return found.dropDuplicates(["node"])
 
 
 def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 4, percent: int = 85, leaf_rows: int = LEAF) -> DataFrame:

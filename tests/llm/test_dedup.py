@@ -1,12 +1,15 @@
 """Exact and near duplicates and repeated phrases against direct computations."""
 
 import hashlib
+import random
 import re
 import string
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
+from kinetable.llm import jaccard
 from kinetable.llm.components import components
 from kinetable.llm.exact_dedup import drop_copies, exact_groups
 from kinetable.llm.jaccard import keep_first, near_duplicates
@@ -105,6 +108,33 @@ def test_chained_near_copies_in_one_tree(spark):
     assert len({r.component_id for r in got}) < 40
 
 
+def test_large_group_of_near_copies(spark, monkeypatch):
+    """Copies of one text with their own edits: many pairs miss the threshold, yet the pairs verified grow with rows, not their square."""
+    rng, words = random.Random(3), [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(800):
+        own = list(words)
+        for j in rng.sample(range(120), rng.randrange(1, 5)):
+            own[j] = f"e{i}_{j}"
+        rows.append((i, " ".join(own)))
+    seen = []
+    verified = jaccard._Sets.verified
+
+    def counted(self, pairs, name):
+        seen.append((name, pairs.count()))
+        return verified(self, pairs, name)
+
+    monkeypatch.setattr(jaccard._Sets, "verified", counted)
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == near_reference(rows, 4, 85)
+    assert [name for name, _ in seen][:2] == ["star", "star1"] and sum(n for _, n in seen) < 60 * len(rows) < 800 * 799 / 2 / 6
+
+
+def test_similarity_without_common_resolution_is_refused(nothing):
+    with pytest.raises(ValueError):
+        near_duplicates(nothing, percent=50)
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (9, 8), (5, 5), (8, 7), (3, 10), (2, 1)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
