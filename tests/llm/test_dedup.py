@@ -109,25 +109,25 @@ def test_chained_near_copies_in_one_tree(spark):
 
 
 def test_large_group_of_near_copies(spark, monkeypatch):
-    """Copies of one text with their own edits: many pairs miss the threshold, yet the pairs verified grow with rows, not their square."""
+    """A text and copies with edits of their own: the copies mostly miss each other, and rounds of drawn centres tie them by the text."""
     rng, words = random.Random(3), [f"w{i}" for i in range(120)]
-    rows = []
-    for i in range(800):
+    rows = [(0, " ".join(words))]
+    for i in range(1, 300):
         own = list(words)
-        for j in rng.sample(range(120), rng.randrange(1, 5)):
+        for j in rng.sample(range(120), rng.randrange(1, 3)):
             own[j] = f"e{i}_{j}"
         rows.append((i, " ".join(own)))
     seen = []
     verified = jaccard._Sets.verified
 
-    def counted(self, pairs, name):
-        seen.append((name, pairs.count()))
+    def named(self, pairs, name):
+        seen.append(name)
         return verified(self, pairs, name)
 
-    monkeypatch.setattr(jaccard._Sets, "verified", counted)
-    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    monkeypatch.setattr(jaccard._Sets, "verified", named)
+    got = near_duplicates(spark.createDataFrame(rows[::-1], "doc_id long, text string").repartition(5)).collect()
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == near_reference(rows, 4, 85)
-    assert [name for name, _ in seen][:2] == ["star", "star1"] and sum(n for _, n in seen) < 60 * len(rows) < 800 * 799 / 2 / 6
+    assert {r.component_id for r in got} == {0} and "star1" in seen
 
 
 def test_similarity_without_common_resolution_is_refused(nothing):
