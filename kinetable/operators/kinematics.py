@@ -29,7 +29,7 @@ def kinematic_features(vel: DataFrame, limbs: Mapping[str, Sequence[int]], key:
 
 def state_joint_velocity(path: DataFrame, vel: DataFrame) -> DataFrame:
     """Mean speed per (state, joint); displacement row m goes with the state of window m."""
-    j = vel.join(path.select("video", F.col("m").alias("frame"), "state"), ["video", "frame"])
+    j = vel.join(path.select("video", F.col("m").alias("frame"), "state").hint("merge"), ["video", "frame"])
     return j.groupBy("state", "joint").agg(F.avg("speed").alias("mean_speed"))
 
 
@@ -47,11 +47,11 @@ def high_velocity_profile(frames: DataFrame, pose: DataFrame, groups: Mapping[st
     speed = instantaneous_speed(pose)
     cut = exact_quantiles(speed, ["video", "joint"], "speed", {"cut": 1.0 - top_frac})
     dim = groups_dimension(pose.sparkSession, groups)
-    high = speed.join(cut, ["video", "joint"]).join(F.broadcast(dim), "joint")
+    high = speed.join(cut.hint("merge"), ["video", "joint"]).join(F.broadcast(dim), "joint")
     high = high.groupBy("video", "frame", "body_group").agg(
         F.count_if(F.col("speed") >= F.col("cut")).alias("n_high"), F.count("*").alias("n_cells")
     )
-    got = frames.join(high, ["video", "frame"]).groupBy("video", "state", "body_group").agg(
+    got = frames.join(high.hint("merge"), ["video", "frame"]).groupBy("video", "state", "body_group").agg(
         (100.0 * F.sum("n_high") / F.sum("n_cells")).alias("pct")
     )
     names = F.array(*[F.lit(g) for g in groups])
@@ -62,8 +62,8 @@ def high_velocity_profile(frames: DataFrame, pose: DataFrame, groups: Mapping[st
 
 def state_velocity_cloud(frames: DataFrame, pose: DataFrame, vel: DataFrame) -> DataFrame:
     """Per state and joint: frame count, mean position and mean velocity over the labelled displacement rows."""
-    pv = vel.join(pose.select("video", "frame", "joint", "x", "y"), ["video", "frame", "joint"])
-    j = frames.join(pv, ["video", "frame"])
+    pv = vel.join(pose.select("video", "frame", "joint", "x", "y").hint("merge"), ["video", "frame", "joint"])
+    j = frames.join(pv.hint("merge"), ["video", "frame"])
     return j.groupBy("state", "joint").agg(
         F.count("*").alias("n"), F.avg("x").alias("x"), F.avg("y").alias("y"), F.avg("vx").alias("vx"), F.avg("vy").alias("vy")
     )
@@ -71,7 +71,7 @@ def state_velocity_cloud(frames: DataFrame, pose: DataFrame, vel: DataFrame) ->
 
 def speed_cap(frames: DataFrame, vel: DataFrame, pct: float = 99.0) -> DataFrame:
     """One row: percentile of all labelled speeds."""
-    return exact_quantiles(frames.join(vel, ["video", "frame"]), [], "speed", {"cap": pct / 100.0})
+    return exact_quantiles(frames.join(vel.hint("merge"), ["video", "frame"]), [], "speed", {"cap": pct / 100.0})
 
 
 def bone_lengths(pose: DataFrame, bones: Sequence[tuple[int, int]], keys: Sequence[str]) -> DataFrame:
@@ -107,7 +107,7 @@ def bone_length_drift(pose: DataFrame, bones: Sequence[tuple[int, int]], key: st
     """Per sequence: mean over bones of |length - endpoint mean| / endpoint mean at each step; largest value and its step."""
     lens = bone_lengths(pose, bones, [key, step])
     ends = lens.groupBy(key, "bone").agg(((F.min_by("length", step) + F.max_by("length", step)) / 2.0).alias("_ref"))
-    d = lens.join(ends, [key, "bone"]).withColumn("_d", F.abs(F.col("length") - F.col("_ref")) / F.greatest("_ref", F.lit(1e-12)))
+    d = lens.join(ends.hint("merge"), [key, "bone"]).withColumn("_d", F.abs(F.col("length") - F.col("_ref")) / F.greatest("_ref", F.lit(1e-12)))
     steps = d.groupBy(key, step).agg(F.avg("_d").alias("drift"))
     return steps.groupBy(key).agg(
         F.avg("drift").alias("mean_drift"), F.max("drift").alias("max_drift"),

@@ -27,7 +27,7 @@ def _hide_joints(cells: DataFrame, scored: DataFrame, score: str, k: int) -> Dat
     # one row per joint of a clip
     order = F.row_number().over(W.partitionBy("video").orderBy(F.col(score).desc(), "joint"))
     hidden = scored.withColumn("visible", order > k).select("video", "joint", "visible")
-    return cells.select(*CELL).join(hidden, ["video", "joint"]).select(*CELL, "visible")
+    return cells.select(*CELL).join(hidden.hint("merge"), ["video", "joint"]).select(*CELL, "visible")
 
 
 def mask_topk_speed(pose: DataFrame, n_joints: int, rho: float) -> DataFrame:
@@ -71,7 +71,7 @@ def mask_limb(pose: DataFrame, limbs: Mapping[str, Sequence[int]], weighted: boo
     hide = F.lit(False)
     for n in names:
         hide = hide | ((F.col("limb") == n) & F.col("joint").isin(list(limbs[n])))
-    return pose.select(*CELL).join(s, "video").select(*CELL, "limb", (~hide).alias("visible"))
+    return pose.select(*CELL).join(s.hint("merge"), "video").select(*CELL, "limb", (~hide).alias("visible"))
 
 
 def valid_recipe(recipe: int, policy: str) -> bool:

@@ -43,9 +43,9 @@ def joint_spread_report(pose: DataFrame, documented: Sequence[int], eps: float =
 def joint_errors(truth: DataFrame, pred: DataFrame, mask: DataFrame | None = None) -> DataFrame:
     """Distance per (video, frame, joint) with the visibility flag if given."""
     dims = dims_of(truth)
-    j = truth.join(pred.select("video", "frame", "joint", *[F.col(v).alias(f"p{v}") for v in dims]), ["video", "frame", "joint"])
+    j = truth.join(pred.select("video", "frame", "joint", *[F.col(v).alias(f"p{v}") for v in dims]).hint("merge"), ["video", "frame", "joint"])
     if mask is not None:
-        j = j.join(mask, ["video", "frame", "joint"])
+        j = j.join(mask.hint("merge"), ["video", "frame", "joint"])
     return j.withColumn("error", norm([F.col(f"p{v}") - F.col(v) for v in dims]))
 
 
@@ -73,7 +73,7 @@ def l1_and_bone_error(truth: DataFrame, pred: DataFrame, bones: Sequence[tuple[i
     l1 = j.agg((F.avg(sum((F.abs(F.col(f"p{v}") - F.col(v)) for v in dims), F.lit(0.0))) / len(dims)).alias("l1")).withColumn("_k", F.lit(1))
     keys = ["video", "frame"]
     a, b = bone_lengths(truth, bones, keys), bone_lengths(pred, bones, keys).withColumnRenamed("length", "other")
-    be = a.join(b, [*keys, "bone"]).agg(F.avg(F.abs(F.col("length") - F.col("other"))).alias("bone_error")).withColumn("_k", F.lit(1))
+    be = a.join(b.hint("merge"), [*keys, "bone"]).agg(F.avg(F.abs(F.col("length") - F.col("other"))).alias("bone_error")).withColumn("_k", F.lit(1))
     return l1.join(F.broadcast(be), "_k").drop("_k")
 
 
@@ -140,7 +140,7 @@ def head_correlation(att: DataFrame, n_heads: int) -> DataFrame:
 def attention_motion_cosine(att: DataFrame, motion: DataFrame) -> DataFrame:
     """Per clip: cosine of centred head-averaged attention and centred motion over time."""
     a = att.groupBy("clip_id", "t").agg(F.avg("a").alias("a"))
-    j = a.join(motion, ["clip_id", "t"])
+    j = a.join(motion.hint("merge"), ["clip_id", "t"])
     return j.groupBy("clip_id").agg(F.corr("a", "motion").alias("cosine"))
 
 

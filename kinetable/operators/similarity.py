@@ -17,7 +17,7 @@ def state_moments(frames: DataFrame, vel: DataFrame) -> DataFrame:
     """
     counts = frames.groupBy("state").agg(F.count("*").alias("n_frames"))
     known = vel.where("vx IS NOT NULL AND vy IS NOT NULL")
-    sums = frames.join(known, ["video", "frame"]).groupBy("state", "joint").agg(
+    sums = frames.join(known.hint("merge"), ["video", "frame"]).groupBy("state", "joint").agg(
         F.sum(F.col("vx") * F.col("vx")).alias("sxx"), F.sum(F.col("vx") * F.col("vy")).alias("sxy"),
         F.sum(F.col("vy") * F.col("vy")).alias("syy"),
     )
