@@ -1,112 +1,29 @@
-"""Exact nearest neighbours and the intrinsic-dimension estimates built on them.
-
-Points are put into cells around a bounded set of pivots.  A first comparison
-inside a bounded tile of the own cell gives every point an upper bound on its
-second neighbour distance; the triangle inequality then names the cells that
-could hold a closer point, and the point meets only those, by an equi-join on
-tile ids.  Tiles and query blocks have a bounded size, so a crowded cell is cut
-into many tasks and no pair of points is ever written out.
+"""The two nearest neighbours and the intrinsic-dimension estimates built on them.
+
+The search is the ring tiles of ``density``: a tile is sent once a group of tiles that may have to meet it, distances are
+screened by squared norms, and only the pairs that can count are taken from differences.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
-from kinetable.functions.scalar import seeded_uniform
+from kinetable.operators.density import nearest_k
 from kinetable.plans.chunks import prefix_sum
 from kinetable.plans.draws import resample_weights
-from kinetable.plans.python import spread
 from kinetable.plans.ranks import value_range
-from kinetable.session import cut_lineage
 
-TILE = 1024
+TILE = 512
 PIVOTS = 64
-SLACK = 1e-9
-
-
-def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Pairwise distances, taken from differences so that equal points give exactly 0."""
-    out = np.empty((len(a), len(b)))
-    step = max(1, int(4_000_000 // max(1, b.size)))
-    for i in range(0, len(a), step):
-        d = a[i:i + step, None, :] - b[None, :, :]
-        out[i:i + step] = np.sqrt(np.einsum("ijk,ijk->ij", d, d))
-    return out
-
-
-def _two_smallest(d: np.ndarray) -> np.ndarray:
-    if d.shape[1] < 2:
-        d = np.hstack([d, np.full((len(d), 2 - d.shape[1]), np.inf)])
-    return np.sort(np.partition(d, 1, axis=1)[:, :2], axis=1)
 
 
 def nearest_two(points: DataFrame, ident: str = "clip_id", vec: str = "mu", tile: int = TILE, pivots: int = PIVOTS, seed: int = 0) -> DataFrame:
     """ident, r1, r2: distances to the first and second nearest other point (duplicates count, at distance 0)."""
-    spark = points.sparkSession
-    p = points.select(F.col(ident).alias("id"), F.col(vec).alias("v"))
-    piv = np.array([r["v"] for r in p.orderBy(seeded_uniform(seed, "id"), "id").limit(pivots).collect()], float)
-    if not len(piv):
-        raise ValueError("no points")
-    piv_b = spark.sparkContext.broadcast(piv)  # at most ``pivots`` vectors
-
-    @F.pandas_udf("array<double>")
-    def to_pivots(v: pd.Series) -> pd.Series:
-        return pd.Series(list(_distances(np.stack(v.to_numpy()), piv_b.value)))
-
-    p = p.withColumn("dp", to_pivots("v"))
-    p = p.withColumn("cell", (F.array_position("dp", F.array_min("dp")) - 1).cast("int")).withColumn("r", F.array_min("dp"))
-    p = cut_lineage(p)
-    cells = {r["cell"]: r for r in p.groupBy("cell").agg(F.count("*").alias("n"), F.min("r").alias("lo"), F.max("r").alias("hi")).collect()}
-    n_tiles = {c: max(1, -(-r["n"] // tile)) for c, r in cells.items()}
-    tiles = F.create_map(*[x for c, k in n_tiles.items() for x in (F.lit(c), F.lit(k))])
-    p = p.withColumn("salt", F.pmod(F.xxhash64(F.lit(seed), "id"), F.element_at(tiles, F.col("cell"))).cast("int"))
-
-    def inside(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.stack(pdf["v"].to_numpy())
-        d = _distances(x, x)
-        np.fill_diagonal(d, np.inf)
-        two = _two_smallest(d)
-        return pd.DataFrame({"id": pdf["id"], "r1": two[:, 0], "r2": two[:, 1]})
-
-    kind = p.schema["id"].dataType.simpleString()
-    own = spread(p.select("id", "v", "cell", "salt"), "cell", "salt").groupBy("cell", "salt").applyInPandas(inside, f"id {kind}, r1 double, r2 double")
-    q = p.join(own.select("id", F.col("r2").alias("bound")), "id")
-    # cells that may hold a point within the bound, by the triangle inequality on the pivot distances
-    meta = F.array(*[
-        F.struct(F.lit(int(c)).alias("cell"), F.lit(float(r["lo"])).alias("lo"), F.lit(float(r["hi"])).alias("hi"), F.lit(int(n_tiles[c])).alias("k"))
-        for c, r in cells.items()
-    ])
-    dist = lambda m: F.element_at("dp", m["cell"] + 1)
-    reach = F.filter(meta, lambda m: (dist(m) - m["hi"] <= F.col("bound") + SLACK) & (m["lo"] - dist(m) <= F.col("bound") + SLACK))
-    goes = q.select("id", "v", F.col("cell").alias("home"), F.col("salt").alias("home_salt"), F.explode(reach).alias("m"))
-    goes = goes.select("id", "v", "home", "home_salt", F.col("m.cell").alias("cell"), F.explode(F.sequence(F.lit(0), F.col("m.k") - 1)).alias("salt"))
-    goes = goes.where(~((F.col("cell") == F.col("home")) & (F.col("salt") == F.col("home_salt"))))
-    loads = goes.groupBy("cell", "salt").agg(F.ceil(F.count("*") / (4 * tile)).cast("int").alias("blocks"))
-    goes = goes.join(loads, ["cell", "salt"]).withColumn("block", F.pmod(F.xxhash64(F.lit(seed + 1), "id"), F.col("blocks")).cast("int"))
-    base = p.join(loads, ["cell", "salt"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-
-    base = base.select(F.col("v").alias("bv"), *[F.col(c).alias(f"b_{c}") for c in ("cell", "salt", "block")])
-
-    def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"id": pd.Series([], dtype=object), "r1": pd.Series([], dtype=float), "r2": pd.Series([], dtype=float)})
-        two = _two_smallest(_distances(np.stack(left["v"].to_numpy()), np.stack(right["bv"].to_numpy())))
-        return pd.DataFrame({"id": left["id"], "r1": two[:, 0], "r2": two[:, 1]})
-
-    keys = ["cell", "salt", "block"]
-    other = spread(goes.select("id", "v", *keys), *keys).groupBy(*keys).cogroup(
-        spread(base, *[f"b_{c}" for c in keys]).groupBy(*[f"b_{c}" for c in keys])
-    ).applyInPandas(meet, f"id {kind}, r1 double, r2 double")
-    both = own.unionByName(other)
-    # the two smallest of all, by merging small sorted arrays
-    two = both.groupBy("id").agg(F.slice(F.array_sort(F.flatten(F.collect_list(F.array("r1", "r2")))), 1, 2).alias("t"))
-    return two.select(F.col("id").alias(ident), F.col("t")[0].alias("r1"), F.col("t")[1].alias("r2"))
+    near = nearest_k(points, 2, ident, vec, tile, pivots, seed)
+    return near.select(ident, F.col("distances")[0].alias("r1"), F.col("distances")[1].alias("r2"))
 
 
 def neighbour_ratios(near: DataFrame, ident: str = "clip_id") -> DataFrame:
