@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tokens import slices
+from .tokens import give_back, slices
 
 _SPACE = re.compile(rb"[\x20\x09-\x0D]+")
 SIEVE = 1 << 22
@@ -278,6 +278,7 @@ def drop_leaks(
                 for a, b in slices(texts):
                     keep[[a + found[0] for found in index.value.matches([normal(t) for t in texts[a:b]])]] = False
                 yield batch.filter(pa.array(keep))
+            give_back()
 
         docs = docs.mapInArrow(clean, docs.schema)
     return docs

@@ -31,7 +31,7 @@ from kinetable.session import ship_package
 from .hashing import utf8
 from .quality import held_out
 from .shared import free_name
-from .tokens import slices
+from .tokens import give_back, slices
 
 # Language families by ISO 639-1 code.  A code not named here is a family of its own.
 FAMILIES = {
@@ -227,6 +227,7 @@ def _scored(docs: DataFrame, fitted: Models, text: str, out: tuple[str, str]) ->
             named = np.where(known, np.concatenate([p for p, _ in parts]) if parts else np.empty(0, object), "und")
             sure = np.where(known, np.concatenate([s for _, s in parts]) if parts else np.empty(0), 0.0)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], pa.array(named.tolist(), "string"), pa.array(sure, "float64")], [*columns, *out])
+        give_back()
 
     schema = StructType([*docs.schema.fields, StructField(out[0], StringType()), StructField(out[1], DoubleType())])
     return docs.select(*[F.col(f"`{c}`") for c in columns], lettered).mapInArrow(score, schema)

@@ -20,12 +20,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import Scratch
-from .tokens import encoder, slices
+from .tokens import encoder, give_back, slices
 
+ROWS, CHARS = 512, 1 << 19
 PIECES = "doc_id {id}, start long, length long, ids_crc32 long, doc_tokens long, piece long"
 
 
@@ -88,30 +90,33 @@ def pieces(docs: DataFrame, tokenizer: str, size: int, end_id: int, doc_id: str,
     """One row per piece of a document, before packing."""
     kind = docs.schema[doc_id].dataType.simpleString()
     schema = PIECES.format(id=kind) + (", ids binary" if with_ids else "")
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "piece", *(["ids"] if with_ids else [])]
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         enc, key = encoder(tokenizer), TaskContext.get().partitionId() << 33
-        for frame in frames:
-            rows = []
-            texts, owners = frame["text"].tolist(), frame["doc_id"].tolist()
-            for a, b in slices(texts):
-                ids_all, bounds = enc.encode(texts[a:b])
-                for doc, lo, hi in zip(owners[a:b], bounds[:-1], bounds[1:]):
-                    ids = np.append(ids_all[lo:hi], np.uint32(end_id)).astype("<u4")
-                    for start, own in cut(ids, size):
-                        raw = own.tobytes()
-                        rows.append((None if pd.isna(doc) else doc, start, len(own), zlib.crc32(raw), len(ids), key, *([raw] if with_ids else [])))
-                        key += 1
-            names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "piece", *(["ids"] if with_ids else [])]
-            out = pd.DataFrame(rows, columns=names)
-            out["doc_id"] = out["doc_id"].astype("Int64") if kind in ("int", "bigint") else out["doc_id"]
-            yield out
-        enc.forget()  # workers outlive their tasks
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS):  # few texts at a time, whatever a batch holds
+                part = batch.slice(at, ROWS)
+                texts, owners = part.column(1).to_pylist(), part.column(0)
+                for a, b in slices(texts, CHARS):
+                    ids_all, bounds = enc.encode(texts[a:b])
+                    rows = []
+                    for i, lo, hi in zip(range(a, b), bounds[:-1], bounds[1:]):
+                        ids = np.append(ids_all[lo:hi], np.uint32(end_id)).astype("<u4")
+                        for start, own in cut(ids, size):
+                            raw = own.tobytes()
+                            rows.append((i, start, len(own), zlib.crc32(raw), len(ids), key, *([raw] if with_ids else [])))
+                            key += 1
+                    owner, *rest = zip(*rows)
+                    kinds = ["int64"] * 5 + (["binary"] if with_ids else [])
+                    yield pa.RecordBatch.from_arrays([owners.take(pa.array(owner)), *[pa.array(c, k) for c, k in zip(rest, kinds)]], names)
+        enc.forget()
+        give_back()
 
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    return source.mapInPandas(run, schema)
+    return source.mapInArrow(run, schema)
 
 
 def pack(

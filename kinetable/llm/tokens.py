@@ -7,9 +7,12 @@ at those places, in order.  Words are found, looked up and expanded to ids as ar
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 
 from .hashing import Words, utf8
 
@@ -108,6 +111,16 @@ def slices(texts: list[str | None], most: int = 1 << 21):
         yield start, len(texts)
 
 
+def give_back() -> None:
+    """Return freed memory to the system at the end of a task: workers outlive their tasks, and the next stage runs beside what they hold."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # no glibc
+        pass
+
+
 @lru_cache(maxsize=4)
 def encoder(path: str, ordinary: bool = False) -> WordEncoder:
     return WordEncoder(path, ordinary=ordinary)

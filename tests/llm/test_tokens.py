@@ -4,11 +4,12 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from kinetable.llm.packing import best_fit, pack
+from kinetable.llm.packing import best_fit, pack, pieces
 from kinetable.llm.token_files import scan_tokens, token_counts
 from kinetable.llm.tokens import encoder
 
@@ -85,3 +86,11 @@ def test_scan_of_hand_written_files(spark, nothing, tokenizer, tmp_path):
         got = {(r.path[-1], r.ordinal, r.start, r.n_tokens, r.closed) for r in scan_tokens(table, 9, block).collect()}
         assert got == {("a", 0, 0, 1, True), ("a", 1, 2, 0, True), ("a", 2, 3, 3, False), ("b", 0, 0, 0, True), ("c", 0, 0, 6, True), ("e", 0, 0, 2, False)}
     assert token_counts(nothing, tokenizer, 49407).count() == 0
+
+
+def test_pieces_pass_without_a_frame_of_all_texts(spark, tokenizer):
+    docs = spark.range(3000).selectExpr("id AS doc_id", "concat('word ', id) AS text").coalesce(1)
+    rows = pieces(docs, tokenizer, 256, 1, "doc_id", "text", False)
+    sizes = rows.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.num_rows])], ["n"]) for b in batches), "n long")
+    assert "MapInPandas" not in rows._jdf.queryExecution().executedPlan().toString()
+    assert sum(r["n"] for r in sizes.collect()) == 3000
