@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from kinetable.operators import frames as FR
 from kinetable.operators import kinematics as KN
+from kinetable.operators import limbs as LB
 from kinetable.operators import masks as MK
 from kinetable.operators import quality as QL
 from kinetable.operators import windows as WN
@@ -44,3 +45,21 @@ def test_drift_adds_bones_in_one_order(spark):
     df = spark.createDataFrame(rows, "video int, frame int, joint int, x double, y double").repartition(7)
     got = KN.bone_length_drift(df, [(0, 1), (0, 2), (0, 3), (0, 4)])
     assert {r.video: r.worst_step for r in got.collect()} == want
+
+
+def test_gains_are_computed_once(spark):
+    def gains(batches):
+        for pdf in batches:
+            yield pdf.assign(peak=pdf["row"] % 7 / 7.0, lag=(pdf["row"] // 5).astype("int32"))
+
+    rows = spark.range(400).select((F.col("id") % 2).alias("video"), F.floor(F.col("id") / 2).alias("row"))
+    got = LB.peak_pick(rows.mapInPandas(gains, "video long, row long, peak double, lag int"), ["video"], 0.25, 1, 2)
+    found = {r["video"]: (r["n_rows"], r["n_runs"]) for r in got.collect()}
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("Initial Plan")[0].count("MapInPandas") == 1
+    assert found == {0: (200, 29), 1: (200, 29)}
+
+
+def test_medians_are_not_joined_by_broadcast(spark):
+    co = spark.range(300).select((F.col("id") % 30).alias("video"), F.lit("a").alias("pair"), (F.col("id") / 7).alias("cosine"))
+    assert _joins(LB.comovement_medians(co)) == (False, True)
