@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -39,32 +42,56 @@ def uniform_null(path: DataFrame, similarity: DataFrame) -> DataFrame:
     return j.groupBy("video").agg(F.sum(F.col("_w") * F.col("s")).alias("null_uniform"), F.sum(F.when(same, F.col("_w")).otherwise(0.0)).alias("repeat_rate"))
 
 
+STACK, STRETCH = 1 << 15, 1 << 21  # letters looked at in one step, random numbers held
+
+
 def _draw_words(counts: np.ndarray, s: np.ndarray, draws: int, lag: int, rng) -> tuple[np.ndarray, np.ndarray]:
-    """Statistic and log importance weight of ``draws`` words without adjacent repeats, drawn letter by letter.
+    """Statistic and log importance weight of ``draws`` words of one recording, see _draw_stack."""
+    return next(_draw_stack([counts], s, draws, lag, [rng]))
+
+
+def _draw_stack(many: Sequence[np.ndarray], s: np.ndarray, draws: int, lag: int, rngs: Sequence) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Statistic and log importance weight of ``draws`` words without adjacent repeats for each of some counts, drawn letter by letter.
 
     With r letters left to place, a letter of which more than ceil(r / 2) are left cannot be laid out any more.  So
     after a letter is taken no count may pass that bound, and the letter just taken may not pass floor(r / 2).  Among the
     letters that keep the word possible one is drawn in proportion to its count; -inf marks a dead end.
+    All words advance in lock step; each recording draws from its own generator, whatever it is stacked with.
     """
-    k, n = len(counts), int(counts.sum())
-    left = np.broadcast_to(counts, (draws, k)).astype(np.int64)
-    ids, letters = np.arange(draws), np.arange(k)
-    word = np.full((n, draws), -1, np.int16)
-    logw = np.zeros(draws)
-    for place in range(n):
-        rest = n - place - 1
-        over = left > (rest + 1) // 2
-        fits = (left > 0) & (over.sum(1, keepdims=True) - over == 0) & (left - 1 <= rest // 2)
+    k = len(many[0])
+    size = np.array([int(c.sum()) for c in many])
+    order = np.argsort(-size, kind="stable")  # the longest first, so that those still open come first
+    n, places = size[order], int(size.max())
+    left = np.repeat(np.stack([many[i] for i in order], 1)[:, :, None], draws, 2).astype(np.int64)  # letter, recording, draw
+    letters = np.arange(k)[:, None, None]
+    word = np.full((places, len(many), draws), -1, np.int16)
+    logw = np.zeros((len(many), draws))
+    with np.errstate(divide="ignore"):
+        logs = np.log(np.arange(left.max() + 1))
+    step = max(1, STRETCH // left.size)
+    for place in range(places):
+        on = int((n > place).sum())
+        if place % step == 0:
+            noise = np.zeros((min(step, places - place), k, on, draws))
+            for j in range(on):
+                m = min(step, int(n[j]) - place)
+                noise[:m, :, j] = rngs[order[j]].gumbel(size=(m, draws, k)).transpose(0, 2, 1)
+        now = left[:, :on]
+        rest = (n[:on] - place - 1)[:, None]
+        over = now > (rest + 1) // 2
+        fits = (now > 0) & (over.sum(0) - over == 0) & (now - 1 <= rest // 2)
         if place:
-            fits &= letters != word[place - 1][:, None]
+            fits &= letters != word[place - 1, :on]
+        take = np.where(fits, logs[np.maximum(now, 0)] + noise[place % step, :, :on], -np.inf).argmax(0)  # the largest is a draw by count
+        taken = np.take_along_axis(now, take[None], 0)[0]
+        open_ = np.where(fits, now, 0).sum(0)
         with np.errstate(divide="ignore", invalid="ignore"):
-            score = np.where(fits, np.log(left) + rng.gumbel(size=(draws, k)), -np.inf)  # the largest is a draw by count
-            take = score.argmax(1)
-            open_ = np.where(fits, left, 0).sum(1)
-            logw += np.where(open_ > 0, np.log(open_) - np.log(left[ids, take]), -np.inf)
-        word[place] = take
-        left = left - (letters == take[:, None])
-    return s[word[:-lag], word[lag:]].mean(0), logw
+            logw[:on] += np.where(open_ > 0, np.log(open_) - logs[np.maximum(taken, 0)], -np.inf)
+        word[place, :on] = take
+        left[:, :on] = now - (letters == take)
+    for j in np.argsort(order, kind="stable"):
+        w = word[: n[j], j]
+        yield s[w[:-lag], w[lag:]].mean(0), logw[j]
 
 
 def _chain_words(counts: np.ndarray, s: np.ndarray, draws: int, lag: int, rng) -> np.ndarray:
@@ -116,17 +143,20 @@ def no_repeat_null(path: DataFrame, similarity: DataFrame, k: int, draws: int =
         smat[r["state"], r["next_state"]] = r["s"]
     kind = base.schema["video"].dataType.simpleString()
 
+    width = max(1, STACK // (draws * k))
+
     def draw(batch_rows):
         for pdf in batch_rows:
             out = []
-            for r in pdf.itertuples(index=False):
-                rng = np.random.default_rng([seed, int(r.batch), abs(int(r.h))])
-                st, lw = _draw_words(np.asarray(r.counts), smat, draws, lag, rng)
-                st, lw = st[np.isfinite(lw)], lw[np.isfinite(lw)]
-                if not len(lw):
-                    continue
-                w = np.exp(lw - lw.max())
-                out.append((r.video, r.batch, lw.max(), w.sum(), (w * w).sum(), (w * st).sum(), w[st >= r.observed - 1e-12].sum()))
+            for i in range(0, len(pdf), width):
+                rows = list(pdf.iloc[i : i + width].itertuples(index=False))
+                rngs = [np.random.default_rng([seed, int(r.batch), abs(int(r.h))]) for r in rows]
+                for r, (st, lw) in zip(rows, _draw_stack([np.asarray(r.counts) for r in rows], smat, draws, lag, rngs)):
+                    st, lw = st[np.isfinite(lw)], lw[np.isfinite(lw)]
+                    if not len(lw):
+                        continue
+                    w = np.exp(lw - lw.max())
+                    out.append((r.video, r.batch, lw.max(), w.sum(), (w * w).sum(), (w * st).sum(), w[st >= r.observed - 1e-12].sum()))
             if out:
                 yield pd.DataFrame(out, columns=["video", "batch", "top", "w", "w2", "ws", "wt"])
 
@@ -143,14 +173,19 @@ def no_repeat_null(path: DataFrame, similarity: DataFrame, k: int, draws: int =
         c = b.select("video", "batch", *[F.sum(x).over(cum).alias(x) for x in ("w", "w2", "ws", "wt")])
         return c.withColumn("ess", F.col("w") * F.col("w") / F.col("w2"))
 
-    one = cut_lineage(run(base, 1, 1))
-    done = prefixes(one).where(F.col("ess") >= draws * (1 - 1e-9))
-    rest = base.join(done.select("video"), "video", "left_anti")
-    more = cut_lineage(prefixes(one.join(rest.select("video"), "video", "left_semi").unionByName(run(rest, 2, batches))))
-    enough = more.where(F.col("ess") >= draws * (1 - 1e-9)).groupBy("video").agg(F.min("batch").alias("batch"))
-    done = done.unionByName(more.join(enough, ["video", "batch"]))
+    # few recordings need all batches, so the later ones are drawn only for recordings that the earlier ones leave short
+    drawn, rest, reached, last = None, base, [], 0
+    while last < batches:
+        first, last = last + 1, min(max(2, 2 * last), batches)
+        new = run(rest, first, last)
+        drawn = cut_lineage(new if drawn is None else drawn.join(rest.select("video"), "video", "left_semi").unionByName(new))
+        sums = cut_lineage(prefixes(drawn))
+        enough = sums.where(F.col("ess") >= draws * (1 - 1e-9)).groupBy("video").agg(F.min("batch").alias("batch"))
+        reached.append(sums.join(enough, ["video", "batch"]))
+        rest = cut_lineage(rest.join(enough.select("video"), "video", "left_anti"))
+    done = reduce(DataFrame.unionByName, reached)
     sis = done.select("video", (F.col("ws") / F.col("w")).alias("null_mean"), (F.col("wt") / F.col("w")).alias("p"), "ess", F.lit("sis").alias("method"))
-    low = base.join(sis.select("video"), "video", "left_anti").join(more.groupBy("video").agg(F.max("ess").alias("ess")), "video", "left")
+    low = rest.join(sums.groupBy("video").agg(F.max("ess").alias("ess")), "video", "left")
     pieces = 8
 
     def chain(batch_rows):
