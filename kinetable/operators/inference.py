@@ -283,8 +283,8 @@ def bootstrap_auc_ci(df: DataFrame, keys: Sequence[str], ids: Sequence[str], rep
 
 
 def resampled_auc(df: DataFrame, keys: Sequence[str], ids: Sequence[str], reps: int, seed: int, value: str = "value", label: str = "label", wide: int = 16) -> DataFrame:
-    """keys, rep, auc: auc_table of every resample; the running counts of ``wide`` reps are columns of one pass over the values."""
-    keys, n = list(keys), min(wide, reps)
+    """keys, rep, auc: auc_table of every resample; the running counts of at most ``wide`` reps are columns of one pass over the values."""
+    keys, n = list(keys), math.ceil(reps / math.ceil(reps / wide))
     part = [*keys, "_block"]
     boot = resample_columns(df, [*keys, label], ids, reps, seed, n)
     sums = [F.sum(F.when(F.col(label) == k, F.col(f"_w{i}")).otherwise(0)).alias(f"_n{k}_{i}") for k in (0, 1) for i in range(n)]
