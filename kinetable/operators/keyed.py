@@ -30,6 +30,12 @@ def _drawn(ids: np.ndarray, seed: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def block_arrays(row) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and points of a block; the points of one coordinate lie side by side."""
+    ids = np.frombuffer(row.ids, "<i8")
+    return ids, np.frombuffer(row.data, "<f8").reshape(-1, len(ids)).T
+
+
 class Levels:
     """Blocks (level, ids, data) of the levels with at least ``least`` rows, and their sizes."""
 
@@ -42,11 +48,11 @@ class Levels:
 
         def pack(pdf: pd.DataFrame) -> pd.DataFrame:
             pdf = pdf.sort_values("id", kind="stable")
-            return pd.DataFrame({"level": pdf["level"].iloc[:1], "ids": [pdf["id"].to_numpy()], "data": [np.stack(pdf["v"].to_numpy()).astype("<f8").tobytes()]})
+            return pd.DataFrame({"level": pdf["level"].iloc[:1], "ids": [pdf["id"].to_numpy().astype("<i8").tobytes()], "data": [np.stack(pdf["v"].to_numpy()).astype("<f8").T.tobytes()]})
 
         if self.kept:
             p = p.where(F.col("level").isin(self.kept)).withColumn("part", F.pmod(F.xxhash64("id"), F.element_at(parts, F.col("level"))))
-            self.blocks = cut_lineage(p.groupBy("level", "part").applyInPandas(pack, "level long, ids array<long>, data binary"))
+            self.blocks = cut_lineage(p.groupBy("level", "part").applyInPandas(pack, "level long, ids binary, data binary"))
 
     def sums(self, models: dict[tuple, object], statistic: Callable[[object, np.ndarray, np.ndarray], np.ndarray]) -> dict[tuple, np.ndarray]:
         """``statistic(model, ids, rows)`` of every model (level, ...) summed over its level, in one job."""
@@ -56,8 +62,7 @@ class Levels:
             total: dict[int, np.ndarray] = {}
             for pdf in batches:
                 for r in pdf.itertuples(index=False):
-                    ids = np.asarray(r.ids)
-                    x = np.frombuffer(r.data, "<f8").reshape(len(ids), -1)
+                    ids, x = block_arrays(r)
                     for i, key in enumerate(keys):
                         if key[0] == r.level:
                             s = statistic(models[key], ids, x)
@@ -78,13 +83,14 @@ class Levels:
             best: dict[int, list] = {}
             for pdf in batches:
                 for r in pdf.itertuples(index=False):
-                    ids = np.asarray(r.ids)
-                    x = np.frombuffer(r.data, "<f8").reshape(len(ids), -1)
+                    ids, x = block_arrays(r)
                     for i, key in enumerate(wanted):
                         if key[0] == r.level:
                             k, h = key[1], _drawn(ids, key[2])
-                            near = np.argsort(h, kind="stable")
-                            near = (near if member is None else near[member(key, ids)[near]])[:k]
+                            near = np.arange(len(ids)) if member is None else np.flatnonzero(member(key, ids))
+                            if len(near) > k:
+                                near = near[h[near] <= np.partition(h[near], k - 1)[k - 1]]
+                            near = near[np.argsort(h[near], kind="stable")][:k]
                             best[i] = sorted([*best.get(i, []), *((int(h[j]), int(ids[j]), x[j].tolist()) for j in near)])[:k]
             rows = [(i, str(h).zfill(20), ident, v) for i, b in best.items() for h, ident, v in b]
             yield pd.DataFrame(rows, columns=["key", "h", "id", "v"])
@@ -102,7 +108,24 @@ class Levels:
 
 
 def _squares(x: np.ndarray, c: np.ndarray) -> np.ndarray:
-    return ((x[:, None, :] - c[None, :, :]) ** 2).sum(-1)
+    """Squared distances of rows to centres, one centre and coordinate after the other: no array of rows x centres x coordinates."""
+    out = np.zeros((len(c), len(x)))
+    for row, centre in zip(out, c):
+        for v, at in zip(x.T, centre):
+            t = v - at
+            t *= t
+            row += t
+    return out.T
+
+
+def _nearest(x: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest centre of each row, the first of equally near ones, and its squared distance."""
+    squares = _squares(x, c).T
+    least, near = squares[0], np.zeros(len(x), "i8")
+    for j in range(1, len(c)):
+        near[squares[j] < least] = j
+        least = np.minimum(least, squares[j])
+    return near, least
 
 
 def keyed_kmeans(levels: Levels, wanted: Sequence[tuple], rounds: int = 100, member: Member | None = None) -> dict[tuple, tuple[np.ndarray, float]]:
@@ -118,11 +141,9 @@ def keyed_kmeans(levels: Levels, wanted: Sequence[tuple], rounds: int = 100, mem
     def statistic(model: tuple, ids: np.ndarray, x: np.ndarray) -> np.ndarray:
         key, c = model
         x = x if member is None else x[member(key, ids)]
-        s = _squares(x, c)
-        near = s.argmin(1)
-        out = np.zeros((len(c), x.shape[1] + 1))
-        np.add.at(out, near, np.column_stack([np.ones(len(x)), x]))
-        return np.append(out.ravel(), s.min(1).sum())
+        near, least = _nearest(x, c)
+        sums = [np.bincount(near, minlength=len(c)), *(np.bincount(near, v, len(c)) for v in x.T)]
+        return np.append(np.column_stack(sums).ravel(), least.sum())
 
     for _ in range(rounds):
         found = levels.sums({k: (k, centres[k]) for k in live}, statistic)
@@ -142,12 +163,20 @@ def keyed_kmeans(levels: Levels, wanted: Sequence[tuple], rounds: int = 100, mem
 
 def _log_parts(model: tuple, x: np.ndarray) -> np.ndarray:
     w, mean, cov = model
-    out = np.empty((len(x), len(w)))
+    out = np.empty((len(w), len(x)))
     for j in range(len(w)):
         low = np.linalg.cholesky(cov[j])
-        y = np.linalg.solve(low, (x - mean[j]).T)
-        out[:, j] = math.log(max(w[j], 1e-300)) - 0.5 * ((y * y).sum(0) + x.shape[1] * math.log(2 * math.pi)) - np.log(np.diag(low)).sum()
-    return out
+        y = x.T - mean[j][:, None]
+        if len(y) > 8:
+            y = np.linalg.solve(low, y)
+        else:
+            for i in range(len(y)):
+                for before in range(i):
+                    y[i] -= low[i, before] * y[before]
+                y[i] /= low[i, i]
+        y *= y
+        out[j] = math.log(max(w[j], 1e-300)) - 0.5 * (y.sum(0) + len(y) * math.log(2 * math.pi)) - np.log(np.diag(low)).sum()
+    return out.T
 
 
 def keyed_mixtures(levels: Levels, starts: dict[tuple, np.ndarray], ridge: float = 1e-5, tol: float = 1e-3, rounds: int = 100, member: Member | None = None) -> dict[tuple, tuple[tuple, float]]:
@@ -158,20 +187,23 @@ def keyed_mixtures(levels: Levels, starts: dict[tuple, np.ndarray], ridge: float
     d = next(iter(starts.values())).shape[1]
 
     def moments(g: np.ndarray, x: np.ndarray, ll: float) -> np.ndarray:
-        return np.concatenate([g.sum(0), (g.T @ x).ravel(), np.einsum("nk,ni,nj->kij", g, x, x).ravel(), [ll]])
+        return np.concatenate([g.sum(0), (g.T @ x).ravel(), *(((x.T * own) @ x).ravel() for own in g.T), [ll]])
 
     def held(key: tuple, ids: np.ndarray, x: np.ndarray) -> np.ndarray:
         return x if member is None else x[member(key, ids)]
 
     def hard(model: tuple, ids: np.ndarray, x: np.ndarray) -> np.ndarray:
         c, x = model[1], held(model[0], ids, x)
-        return moments(np.eye(len(c))[_squares(x, c).argmin(1)], x, 0.0)
+        return moments(np.eye(len(c))[_nearest(x, c)[0]], x, 0.0)
 
     def soft(model: tuple, ids: np.ndarray, x: np.ndarray) -> np.ndarray:
         x = held(model[0], ids, x)
-        parts = _log_parts(model[1], x)
-        whole = np.logaddexp.reduce(parts, axis=1)
-        return np.append(moments(np.exp(parts - whole[:, None]), x, whole.sum()), len(x))
+        parts = _log_parts(model[1], x).T
+        top = parts.max(0)
+        g = np.exp(parts - top)
+        whole = g.sum(0)
+        g /= whole
+        return np.append(moments(g.T, x, (top + np.log(whole)).sum()), len(x))
 
     def step(key: tuple, s: np.ndarray) -> tuple:
         k = key[1]
@@ -234,7 +266,7 @@ def within_group_repeat(
 
     def contingency(centres: list[np.ndarray], ids: np.ndarray, x: np.ndarray) -> np.ndarray:
         k = len(centres[0])
-        labels = [_squares(x, c).argmin(1) for c in centres]
+        labels = [_nearest(x, c)[0] for c in centres]
         return np.concatenate([np.bincount(labels[a] * k + labels[b], minlength=k * k) for a, b in pairs]).astype(float)
 
     tables = levels.sums(by_level, contingency)
@@ -251,8 +283,7 @@ def within_group_repeat(
     def label(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for r in pdf.itertuples(index=False):
-                ids = np.asarray(r.ids)
-                x = np.frombuffer(r.data, "<f8").reshape(len(ids), -1)
+                ids, x = block_arrays(r)
                 mean, vectors = axes[r.level]
                 c = (x - mean) @ vectors
                 yield pd.DataFrame({"level": r.level, "id": ids, "cluster": _log_parts(final[r.level], x).argmax(1), "c0": c[:, 0], "c1": c[:, 1] if c.shape[1] > 1 else 0.0})

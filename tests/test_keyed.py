@@ -75,3 +75,17 @@ def test_jobs_do_not_grow_with_levels(spark):
 def test_rand_index():
     assert K.rand_index(np.diag([5, 5])) == 1.0 and K.rand_index(np.array([[5, 5]])) == 0.0
     assert K.rand_index(np.array([[3, 1], [1, 3]])) == pytest.approx((6 - 12 * 12 / 28) / (12 - 12 * 12 / 28))
+
+
+def test_squares_build_no_array_of_rows_by_centres_by_coordinates():
+    import tracemalloc
+
+    rng = np.random.default_rng(5)
+    x, c = rng.normal(size=(20000, 16)), rng.normal(size=(8, 16))
+    x[:4] = c[[1, 1, 7, 0]] = c[3]
+    tracemalloc.start()
+    got = K._squares(x, c)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 2 * got.nbytes
+    assert np.allclose(got, ((x[:, None] - c[None]) ** 2).sum(-1)) and np.array_equal(got.argmin(1), K._nearest(x, c)[0]) and got[0].argmin() == 0
