@@ -8,15 +8,20 @@ filters its own rows.  The backward pass does the same in reverse.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinetable.plans.chunks import CHUNK, chunk_of, neighbours_known, spread_positions
 from kinetable.plans.python import spread
 from kinetable.plans.quantiles import exact_quantiles
-from kinetable.session import cut_lineage
+from kinetable.session import cut_lineage, stored
+
+VALUES = 1 << 20  # numbers that are filtered together
 
 
 def butterworth_sections(order: int, low: float, high: float, fps: float) -> np.ndarray:
@@ -57,37 +62,84 @@ def _rest_state(sos: np.ndarray) -> np.ndarray:
 def _filter(sos: np.ndarray, x: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Rows by channels through the cascade from ``state`` (sections x 2 x channels)."""
     y, z = x.copy(), state.copy()
-    for i, (b0, b1, b2, _, a1, a2) in enumerate(sos):
-        s0, s1 = z[i, 0], z[i, 1]
-        for t in range(len(y)):
-            v = y[t]
-            o = b0 * v + s0
-            s0 = b1 * v - a1 * o + s1
-            s1 = b2 * v - a2 * o
-            y[t] = o
-        z[i, 0], z[i, 1] = s0, s1
+    _filter_many(sos, y, z, np.full(y.shape[1], len(y)))
     return y, z
 
 
+def _filter_many(sos: np.ndarray, y: np.ndarray, z: np.ndarray, length: np.ndarray) -> None:
+    """Time by columns through the cascade, in place; column j ends after ``length[j]`` steps and no column is longer than the one before."""
+    live = np.searchsorted(-length, -np.arange(len(y)), side="left")
+    for (b0, b1, b2, _, a1, a2), (s0, s1) in zip(sos, z):
+        for v, many in zip(y, live.tolist()):
+            v, p, q = v[:many], s0[:many], s1[:many]
+            o = b0 * v + p
+            p[:] = b1 * v - a1 * o + q
+            q[:] = b2 * v - a2 * o
+            v[:] = o
+
+
+def _together(n: np.ndarray, width: np.ndarray, values: int = VALUES) -> Iterator[np.ndarray]:
+    """Chunks of n rows by width channels to filter together, longest first, in groups of about ``values`` numbers."""
+    order = np.argsort(-n, kind="stable")
+    at = 0
+    while at < len(order):
+        most = max(1, int(n[order[at]]))
+        upto = at + max(1, int(np.searchsorted(np.cumsum(width[order[at:]]), values // most, side="right")))
+        yield order[at:upto]
+        at = upto
+
+
+def _filtered(sos: np.ndarray, chunks: pa.Array, states: list[np.ndarray | None]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(place, rows by channels, end state) of every chunk (a list of rows); no state means at rest on the first row."""
+    k = len(sos)
+    rows = chunks.flatten()
+    first = np.concatenate(([0], np.cumsum(chunks.value_lengths().to_numpy(zero_copy_only=False)))).astype("i8")
+    cells = np.concatenate(([0], np.cumsum(rows.value_lengths().to_numpy(zero_copy_only=False)))).astype("i8")
+    flat = rows.flatten().to_numpy(zero_copy_only=False).astype(float)
+    n = np.diff(first)
+    width = (cells[first[1:]] - cells[first[:-1]]) // n
+    rest = _rest_state(sos)[:, :, None]
+    for group in _together(n, width):
+        edge = np.concatenate(([0], np.cumsum(width[group]))).tolist()
+        y, z = np.zeros((n[group[0]], edge[-1])), np.empty((k, 2, edge[-1]))
+        for i, a, b in zip(group.tolist(), edge, edge[1:]):
+            y[: n[i], a:b] = flat[cells[first[i]] : cells[first[i + 1]]].reshape(n[i], -1)
+            z[:, :, a:b] = rest * y[0, a:b] if states[i] is None else states[i].reshape(k, 2, -1)
+        _filter_many(sos, y, z, np.repeat(n[group], width[group]))
+        for i, a, b in zip(group.tolist(), edge, edge[1:]):
+            yield i, y[: n[i], a:b], z[:, :, a:b]
+
+
 def _one_way(rows: DataFrame, sos: np.ndarray, size: int) -> DataFrame:
-    """video, m, z filtered in the order of m (0, 1, ...), started at rest on the first value."""
+    """video, m, z, n filtered in the order of m (0, 1, ..., n - 1), started at rest on the first value.
+
+    Recordings of one chunk start at rest; only chunks of longer ones report states and wait for theirs.
+    """
     k = len(sos)
     kind = rows.schema["video"].dataType.simpleString()
-    packed = F.array_sort(F.collect_list(F.struct("m", "z")))
-    g = rows.groupBy("video", chunk_of("m", size).alias("chunk")).agg(packed.alias("p"))
-    g = spread(g.select("video", "chunk", F.transform("p", lambda e: e["z"]).alias("x")), "video", "chunk")
 
-    def leave(batches):
-        for pdf in batches:
-            for r in pdf.itertuples(index=False):
-                x = np.stack(r.x).astype(float)
-                end = _filter(sos, x, np.zeros((k, 2, x.shape[1])))[1]
-                yield pd.DataFrame({"video": [r.video], "chunk": [r.chunk], "n": [len(x)], "x0": [list(x[0])], "end": [list(end.ravel())]})
+    def chunks(own: DataFrame) -> DataFrame:
+        packed = F.array_sort(F.collect_list(F.struct("m", "z")))
+        g = own.groupBy("video", chunk_of("m", size).alias("chunk")).agg(packed.alias("p"), F.max("n").alias("n"))
+        return spread(g.select("video", "chunk", "n", F.transform("p", lambda e: e["z"]).alias("x")), "video", "chunk")
 
-    s = g.mapInPandas(leave, f"video {kind}, chunk long, n long, x0 array<double>, end array<double>")
-    chains = spread(s.groupBy("video").agg(F.array_sort(F.collect_list(F.struct("chunk", "n", "x0", "end"))).alias("c")))
+    alone, tied = chunks(rows.where(F.col("n") <= size)), chunks(rows.where(F.col("n") > size))
+
+    def leave(batches):
+        for batch in batches:
+            video, chunk, _, x = batch.columns
+            lengths, starts = x.value_lengths().to_pylist(), [np.array(v[0].as_py(), float) for v in x]
+            ends: list = [None] * len(x)
+            for i, _, z in _filtered(sos, x, [np.zeros(2 * k * len(v)) for v in starts]):
+                ends[i] = z.ravel()
+            columns = [video, chunk, pa.array(lengths, "int64"), pa.array(starts, pa.list_(pa.float64())), pa.array(ends, pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["video", "chunk", "len", "x0", "end"])
+
+    s = tied.mapInArrow(leave, f"video {kind}, chunk long, len long, x0 array<double>, end array<double>")
+    chains = spread(s.groupBy("video").agg(F.array_sort(F.collect_list(F.struct("chunk", "len", "x0", "end"))).alias("c")))
 
     def enter(batches):
+        carries: dict[int, np.ndarray] = {}
         for pdf in batches:
             for r in pdf.itertuples(index=False):
                 x0 = np.asarray(r.c[0]["x0"], float)
@@ -95,45 +147,69 @@ def _one_way(rows: DataFrame, sos: np.ndarray, size: int) -> DataFrame:
                 states = []
                 for e in r.c:
                     states.append(list(state.ravel()))
-                    n = int(e["n"])
-                    unit = np.eye(2 * k).reshape(k, 2, 2 * k)
-                    carry = _filter(sos, np.zeros((n, 2 * k)), unit)[1].reshape(2 * k, 2 * k)
-                    state = (carry @ state.reshape(2 * k, -1)).reshape(state.shape) + np.asarray(e["end"]).reshape(state.shape)
+                    n = int(e["len"])
+                    if n not in carries:
+                        carries[n] = _filter(sos, np.zeros((n, 2 * k)), np.eye(2 * k).reshape(k, 2, 2 * k))[1].reshape(2 * k, 2 * k)
+                    state = (carries[n] @ state.reshape(2 * k, -1)).reshape(state.shape) + np.asarray(e["end"]).reshape(state.shape)
                 yield pd.DataFrame({"video": [r.video] * len(r.c), "chunk": [e["chunk"] for e in r.c], "state": states})
 
     st = chains.mapInPandas(enter, f"video {kind}, chunk long, state array<double>")
 
     def run(batches):
-        for pdf in batches:
-            for r in pdf.itertuples(index=False):
-                x = np.stack(r.x).astype(float)
-                y = _filter(sos, x, np.asarray(r.state).reshape(k, 2, x.shape[1]))[0]
-                yield pd.DataFrame({"video": r.video, "m": np.arange(len(y)) + int(r.chunk) * size, "z": list(y)})
-
-    return g.join(st, ["video", "chunk"]).mapInPandas(run, f"video {kind}, m long, z array<double>")
+        for batch in batches:
+            video, chunk, n, x, state = (batch.column(batch.schema.get_field_index(c)) for c in ("video", "chunk", "n", "x", "state"))
+            from_row = chunk.to_numpy() * size
+            for part in _parts(_filtered(sos, x, [None if v is None else np.array(v, float) for v in state.to_pylist()])):
+                at = np.array([i for i, _, _ in part])
+                many = [len(y) for _, y, _ in part]
+                own = pa.array(np.repeat(at, many))
+                m = np.concatenate([np.arange(len(y)) + from_row[i] for i, y, _ in part])
+                offsets = np.concatenate(([0], np.cumsum(np.concatenate([np.full(len(y), y.shape[1]) for _, y, _ in part])))).astype("i4")
+                z = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([y.ravel() for _, y, _ in part])))
+                yield pa.RecordBatch.from_arrays([video.take(own), pa.array(m), z, n.take(own)], ["video", "m", "z", "n"])
+
+    alone = alone.withColumn("state", F.lit(None).cast("array<double>"))
+    return alone.unionByName(tied.join(st.hint("merge"), ["video", "chunk"])).mapInArrow(run, f"video {kind}, m long, z array<double>, n long")
+
+
+def _parts(found: Iterator[tuple], values: int = VALUES) -> Iterator[list[tuple]]:
+    """Filtered chunks in lists of about ``values`` numbers."""
+    part, held = [], 0
+    for one in found:
+        part.append(one)
+        held += one[1].size
+        if held >= values:
+            yield part
+            part, held = [], 0
+    if part:
+        yield part
 
 
 def bandpass(rows: DataFrame, fps: float, low: float, high: float, order: int = 4, size: int = CHUNK) -> DataFrame:
     """video, m, z: zero-phase band-pass of vector rows with m = 0, 1, ...; series of at most the padding length pass as they are.
 
-    Ends are extended by point reflection.
+    Ends are extended by point reflection.  Chunks of many recordings are filtered together, a step of time at once for all of them.
     """
     sos = butterworth_sections(order, low, high, fps)
     pad = pad_length(sos)
-    n = rows.groupBy("video").agg((F.max("m") + 1).alias("n"), F.min_by("z", "m").alias("_a"), F.max_by("z", "m").alias("_b"))
-    d = rows.select("video", "m", "z").join(n, "video")
-    short = d.where(F.col("n") <= pad).select("video", "m", "z")
-    d = d.where(F.col("n") > pad)
+    rows = rows.select("video", "m", F.col("z").cast("array<double>").alias("z"))
+    n = rows.groupBy("video").agg((F.max("m") + 1).cast("long").alias("n"), F.min_by("z", "m").alias("_a"), F.max_by("z", "m").alias("_b"))
+    d = rows.join(n.hint("merge"), "video")
+    # one pass: a row's own place, and the places of its reflections about the ends; a short series keeps its own
+    m, last, whole = F.col("m"), F.col("n") - 1, F.col("n") > pad
     reflect = lambda end: F.zip_with(end, "z", lambda e, v: 2.0 * e - v)
-    left = d.where((F.col("m") >= 1) & (F.col("m") <= pad)).select("video", (pad - F.col("m")).alias("m"), reflect("_a").alias("z"), "n")
-    right = d.where((F.col("m") < F.col("n") - 1) & (F.col("m") >= F.col("n") - 1 - pad)).select("video", (2 * (F.col("n") - 1) - F.col("m") + pad).alias("m"), reflect("_b").alias("z"), "n")
-    ext = d.select("video", (F.col("m") + pad).alias("m"), "z", "n").unionByName(left).unionByName(right)
-    lens = n.select("video", "n")
-    turn = lambda df: df.join(lens, "video").select("video", (F.col("n") + 2 * pad - 1 - F.col("m")).alias("m"), "z")
-    fwd = cut_lineage(_one_way(ext.drop("n"), sos, size))
-    back = turn(_one_way(turn(fwd), sos, size)).join(lens, "video")
-    out = back.where((F.col("m") >= pad) & (F.col("m") < F.col("n") + pad)).select("video", (F.col("m") - pad).alias("m"), "z")
-    return out.unionByName(short)
+    places = F.array(
+        F.struct((m + F.when(whole, pad).otherwise(0)).alias("m"), F.col("z").alias("z")),
+        F.when(whole & (m >= 1) & (m <= pad), F.struct((pad - m).alias("m"), reflect("_a").alias("z"))),
+        F.when(whole & (m < last) & (m >= last - pad), F.struct((2 * last - m + pad).alias("m"), reflect("_b").alias("z"))),
+    )
+    ext = stored(d.select("video", (F.col("n") + F.when(whole, 2 * pad).otherwise(0)).alias("n"), whole.alias("whole"), F.explode(F.filter(places, lambda e: e.isNotNull())).alias("e"))
+                      .select("video", "e.m", "e.z", "n", "whole"))
+    turn = lambda df: df.select("video", (F.col("n") - 1 - F.col("m")).alias("m"), "z", "n")
+    fwd = stored(_one_way(ext.where("whole").drop("whole"), sos, size))
+    back = turn(_one_way(turn(fwd), sos, size))
+    out = back.where((F.col("m") >= pad) & (F.col("m") < F.col("n") - pad)).select("video", (F.col("m") - pad).alias("m"), "z")
+    return out.unionByName(ext.where(~F.col("whole")).select("video", "m", "z"))
 
 
 def outlier_flags(rows: DataFrame) -> DataFrame:

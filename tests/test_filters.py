@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from kinetable.operators import filters as FL
@@ -62,3 +63,32 @@ def test_query_filters_its_walks(spark, monkeypatch):
     monkeypatch.setattr(fits, "windows", lambda spark, d: frame(spark, x))
     got = QUERIES["filter_walk"].run(spark, "").orderBy("m").toPandas()[["z0", "z1"]].to_numpy()
     assert np.allclose(got, direct_walk(x, 10.0, 5.0), atol=1e-5)
+
+
+def test_recordings_are_filtered_together(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    series = {v: rng.normal(size=(n, 1 + v % 3)).cumsum(0) for v, n in enumerate([90, 27, 28, 61, 200, 1, 90, 133])}
+    rows = [(v, i, z.tolist()) for v, x in series.items() for i, z in enumerate(x)]
+    steps = []
+    many = FL._filter_many
+    monkeypatch.setattr(FL, "_filter_many", lambda sos, y, z, n: (steps.append(y.shape), many(sos, y, z, n))[1])
+    sos = FL.butterworth_sections(4, 1.0, 3.0, 25.0)
+    pad, rest = FL.pad_length(sos), FL._rest_state(sos)[:, :, None]
+    chunks = pa.array([x.tolist() for x in series.values()])
+    for i, y, z in FL._filtered(sos, chunks, [None] * len(series)):
+        x = series[i]
+        one = [FL._filter(sos, x[:, [c]], rest * x[0, [c]]) for c in range(x.shape[1])]
+        assert np.array_equal(y, np.hstack([a for a, _ in one])) and np.array_equal(z, np.concatenate([b for _, b in one], axis=2))
+    assert steps[0] == (200, sum(x.shape[1] for x in series.values()))  # all columns advance in one call
+    data = spark.createDataFrame(rows, "video int, m long, z array<double>").repartition(5)
+    for size in (4096, 64):
+        got = FL.bandpass(data, 25.0, 1.0, 3.0, size=size).orderBy("video", "m").toPandas()
+        for v, part in got.groupby("video"):
+            x = series[v]
+            if len(x) > pad:
+                y = np.concatenate([2 * x[0] - x[pad:0:-1], x, 2 * x[-1] - x[-2 : -pad - 2 : -1]])
+                for _ in range(2):
+                    y = FL._filter(sos, y.copy(), rest * y[0])[0][::-1]
+                x = y[pad:-pad]
+            assert part["m"].tolist() == list(range(len(x))) and np.allclose(np.stack(part["z"].to_numpy()), x, atol=1e-8)
+        assert set(got["video"]) == set(series)
