@@ -11,11 +11,12 @@ per model, and the M-step works on those sums.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -27,6 +28,7 @@ from kinetable.plans.python import spread
 from kinetable.session import cut_lineage
 
 FLOOR = 1e-3
+ROWS = 1 << 16  # rows of chunks that advance together
 COVARIANCES = ("full", "tied", "diag", "spherical")
 
 
@@ -95,11 +97,17 @@ def _design(x: np.ndarray, ctx: np.ndarray, lags: int) -> np.ndarray:
     return np.hstack([*cols, np.ones((len(x), 1))])
 
 
-def _emission(m: Model, x: np.ndarray, ctx: np.ndarray) -> np.ndarray:
+def _designs(x: np.ndarray, ctx: list[np.ndarray], first: np.ndarray, lags: int) -> np.ndarray:
+    """The same for chunks that lie one after the other in ``x``."""
+    return np.vstack([_design(x[a:b], c, lags) for a, b, c in zip(first[:-1], first[1:], ctx)])
+
+
+def _emission(m: Model, x: np.ndarray, ctx: np.ndarray, z: np.ndarray | None = None) -> np.ndarray:
+    """Rows by states; ``z`` may bring the design of autoregression."""
     if m.kind == "categorical":
         return np.log(np.maximum(m.emit[:, x.astype(int).ravel()].T, 1e-300))
     if m.kind == "ar":
-        z = _design(x, ctx, m.lags)
+        z = _design(x, ctx, m.lags) if z is None else z
         ok = np.isfinite(z).all(1)
         out = np.stack([_gauss_log(x, m.mean[k], m.cov[k]) for k in range(m.k)], 1)
         for k in range(m.k):
@@ -115,6 +123,63 @@ def _arrays(row) -> tuple[np.ndarray, np.ndarray]:
     return x, c
 
 
+def _nested(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of all chunks, and the row at which each chunk begins (and the end); a row is a number or a list of them."""
+    first = np.concatenate(([0], np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False)))).astype("i8")
+    rows = column.flatten()
+    if pa.types.is_list(rows.type) or pa.types.is_large_list(rows.type):
+        flat = rows.flatten().to_numpy(zero_copy_only=False)
+        return flat.astype(float).reshape(len(rows), -1) if len(rows) else np.zeros((0, 0)), first
+    return rows.to_numpy(zero_copy_only=False).astype(float).reshape(len(rows), 1), first
+
+
+def _slices(batch: pa.RecordBatch, rows: int = ROWS) -> Iterator[pa.RecordBatch]:
+    """Chunks in slices of about ``rows`` rows, one chunk at least."""
+    size = np.cumsum(batch.column(batch.schema.get_field_index("x")).value_lengths().to_numpy(zero_copy_only=False))
+    at = 0
+    while at < len(size):
+        upto = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + rows, side="right")))
+        yield batch.slice(at, upto - at)
+        at = upto
+
+
+@dataclass
+class Chunks:
+    """Chunks one after the other: their rows, where each begins (and the end), the rows before them, number and fold."""
+
+    x: np.ndarray
+    first: np.ndarray
+    ctx: list[np.ndarray]
+    chunk: np.ndarray
+    fold: np.ndarray
+    designs: dict[int, np.ndarray] = field(default_factory=dict)
+
+    @staticmethod
+    def read(batch: pa.RecordBatch) -> Chunks:
+        col = lambda name: batch.column(batch.schema.get_field_index(name))
+        x, first = _nested(col("x"))
+        before, at = _nested(col("context"))
+        ctx = [before[a:b] if b > a else np.zeros((0, x.shape[1])) for a, b in zip(at[:-1], at[1:])]
+        return Chunks(x, first, ctx, col("chunk").to_numpy(), col("fold").to_numpy())
+
+    def some(self, keep: np.ndarray) -> Chunks:
+        """The chunks that ``keep`` marks."""
+        if keep.all():
+            return self
+        n = np.diff(self.first)
+        rows = np.repeat(keep, n)
+        first = np.concatenate(([0], np.cumsum(n[keep])))
+        designs = {lags: z[rows] for lags, z in self.designs.items()}
+        return Chunks(self.x[rows], first, [c for c, k in zip(self.ctx, keep) if k], self.chunk[keep], self.fold[keep], designs)
+
+    def design(self, m: Model) -> np.ndarray | None:
+        if m.kind != "ar":
+            return None
+        if m.lags not in self.designs:
+            self.designs[m.lags] = _designs(self.x, self.ctx, self.first, m.lags)
+        return self.designs[m.lags]
+
+
 def _transfer(m: Model, logb: np.ndarray) -> tuple[np.ndarray, float]:
     """Product over the chunk of (transition, emission), scaled to a maximum of 1, and the log scale."""
     out, scale = np.eye(m.k), 0.0
@@ -168,45 +233,62 @@ def _messages(seqs: DataFrame, models: list[Model]) -> DataFrame | None:
     return chains.mapInPandas(pass_on, f"video {kind}, chunk long, ins array<array<double>>, outs array<array<double>>")
 
 
-def _forward_backward(m: Model, logb: np.ndarray, first: bool, vin: np.ndarray, vout: np.ndarray):
-    """State weights per row, summed transition weights and the chunk's log-likelihood increment."""
-    n, k = logb.shape
+def _forward_backward(m: Model, logb: np.ndarray, first: np.ndarray, begins: np.ndarray, vin: np.ndarray, vout: np.ndarray):
+    """State weights per row, summed transition weights and each chunk's log-likelihood increment.
+
+    Chunks lie one after the other and begin at the rows ``first`` (and the end); ``begins`` marks those that open a recording.
+    All chunks advance together, a step of time at once, the longest first, so that those still running are the leading ones.
+    """
+    n, k = np.diff(first), m.k
+    order = np.argsort(-n, kind="stable")
+    start, n = first[:-1][order], n[order]
+    live = np.searchsorted(-n, -np.arange(n[0]), side="left")
     top = logb.max(1)
     b = np.exp(logb - top[:, None])
-    alpha, c = np.empty((n, k)), np.empty(n)
-    prev = vin
-    for t in range(n):
-        v = (prev if (first and t == 0) else prev @ m.a) * b[t]
-        c[t] = v.sum()
-        alpha[t] = prev = v / c[t]
-    beta = np.empty((n, k))
-    beta[-1] = vout
-    for t in range(n - 2, -1, -1):
-        beta[t] = m.a @ (b[t + 1] * beta[t + 1]) / c[t + 1]
+    alpha, c, came = np.empty_like(b), np.empty(len(b)), np.empty_like(b)
+    prev, opening = vin[order], begins[order]
+    for t, many in enumerate(live.tolist()):
+        at = start[:many] + t
+        came[at] = prev[:many]
+        into = prev[:many] @ m.a
+        if t == 0:
+            into[opening] = prev[opening]
+        v = into * b[at]
+        c[at] = s = v.sum(1)
+        alpha[at] = prev = v / s[:, None]
+    beta = np.empty_like(b)
+    beta[start + n - 1] = vout[order]
+    for t in range(n[0] - 2, -1, -1):
+        at = start[: live[t + 1]] + t
+        beta[at] = (b[at + 1] * beta[at + 1]) @ m.a.T / c[at + 1, None]
     g = alpha * beta
     g /= g.sum(1, keepdims=True)
-    before = alpha[:-1] if first else np.vstack([vin, alpha[:-1]])
-    nxt = (b * beta)[1:] if first else b * beta
-    xi = np.zeros((k, k))
-    if len(before):
-        w = before[:, :, None] * m.a[None] * nxt[:, None, :]
-        xi = (w / w.sum((1, 2), keepdims=True)).sum(0)
-    return g, xi, float((np.log(c) + top).sum())
+    moved = np.ones(len(b), bool)
+    moved[first[:-1][begins]] = False
+    w = came[moved][:, :, None] * m.a[None] * (b * beta)[moved][:, None, :]
+    xi = (w / w.sum((1, 2), keepdims=True)).sum(0)
+    return g, xi, np.add.reduceat(np.log(c) + top, first[:-1])
+
+
+def _seconds(g: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """For each state the weighted sum of products of the coordinates of x and y."""
+    return np.stack([(x.T * w) @ y for w in np.ascontiguousarray(g.T)])
 
 
-def _counts(m: Model, x: np.ndarray, ctx: np.ndarray, g: np.ndarray, xi: np.ndarray, first: bool) -> dict[str, np.ndarray]:
-    s = {"xi": xi, "g": g.sum(0), "g0": g[0] if first else np.zeros(m.k)}
+def _counts(m: Model, d: Chunks, g: np.ndarray, xi: np.ndarray) -> dict[str, np.ndarray]:
+    x = d.x
+    s = {"xi": xi, "g": g.sum(0), "g0": g[d.first[:-1][d.chunk == 0]].sum(0)}
     if m.kind == "categorical":
         s["sym"] = g.T @ np.eye(m.n_symbols)[x.astype(int).ravel()]
         return s
     s["x"] = g.T @ x
-    s["xx"] = np.einsum("tk,ti,tj->kij", g, x, x)
+    s["xx"] = _seconds(g, x, x)
     if m.kind == "ar":
-        z = _design(x, ctx, m.lags)
+        z = d.design(m)
         ok = np.isfinite(z).all(1)
         zz, gg, xo = z[ok], g[ok], x[ok]
-        s.update(gr=gg.sum(0), zz=np.einsum("tk,ti,tj->kij", gg, zz, zz), zx=np.einsum("tk,ti,tj->kij", gg, zz, xo), rxx=np.einsum("tk,ti,tj->kij", gg, xo, xo))
-        s.update(h=g[~ok].sum(0), hx=g[~ok].T @ x[~ok], hxx=np.einsum("tk,ti,tj->kij", g[~ok], x[~ok], x[~ok]))
+        s.update(gr=gg.sum(0), zz=_seconds(gg, zz, zz), zx=_seconds(gg, zz, xo), rxx=_seconds(gg, xo, xo))
+        s.update(h=g[~ok].sum(0), hx=g[~ok].T @ x[~ok], hxx=_seconds(g[~ok], x[~ok], x[~ok]))
     return s
 
 
@@ -219,26 +301,29 @@ def expected_counts(seqs: DataFrame, models: list[Model], score_held_out: bool =
 
     def run(batches):
         total: list[dict | None] = [None] * len(b.value)
-        for pdf in batches:
-            for r in pdf.itertuples(index=False):
-                x, ctx = _arrays(r)
+        for batch in batches:
+            for part in _slices(batch):
+                chunks = Chunks.read(part)
+                ins, outs = (None, None) if whole else (part.column(part.schema.get_field_index(c)).to_pylist() for c in ("ins", "outs"))
                 for i, m in enumerate(b.value):
-                    held = m.fold is not None and r.fold == m.fold
-                    if held != score_held_out:
+                    held = np.full(len(part), False) if m.fold is None else chunks.fold == m.fold
+                    keep = held == score_held_out
+                    if not keep.any():
                         continue
-                    first = r.chunk == 0
-                    vin = m.pi if first else np.asarray(r.ins[i])
-                    vout = np.ones(m.k) if whole else np.asarray(r.outs[i])
-                    g, xi, ll = _forward_backward(m, _emission(m, x, ctx), first, vin, vout)
-                    s = {"ll": np.array([ll]), "n": np.array([float(len(x))])}
+                    d, own = chunks.some(keep), np.flatnonzero(keep)
+                    begins = d.chunk == 0
+                    vin = np.tile(m.pi, (len(own), 1)) if whole else np.array([m.pi if chunks.chunk[j] == 0 else ins[j][i] for j in own])
+                    vout = np.ones((len(own), m.k)) if whole else np.array([outs[j][i] for j in own])
+                    g, xi, ll = _forward_backward(m, _emission(m, d.x, None, d.design(m)), d.first, begins, vin, vout)
+                    s = {"ll": np.array([ll.sum()]), "n": np.array([float(len(d.x))])}
                     if not score_held_out:
-                        s |= _counts(m, x, ctx, g, xi, first)
+                        s |= _counts(m, d, g, xi)
                     total[i] = s if total[i] is None else {k: total[i][k] + s[k] for k in s}
-        for i, t in enumerate(total):
-            if t is not None:
-                yield pd.DataFrame({"model": i, "stat": list(t), "v": [list(np.ravel(v)) for v in t.values()]})
+        found = [(i, k, np.ravel(v).tolist()) for i, t in enumerate(total) if t is not None for k, v in t.items()]
+        if found:
+            yield pa.RecordBatch.from_pydict(dict(zip(("model", "stat", "v"), map(list, zip(*found)))), pa.schema([("model", pa.int32()), ("stat", pa.string()), ("v", pa.list_(pa.float64()))]))
 
-    got = d.mapInPandas(run, "model int, stat string, v array<double>")
+    got = d.mapInArrow(run, "model int, stat string, v array<double>")
     # partitions bring one row per model and statistic; sums of K, K x K and K x d x d numbers reach the driver
     flat = got.select("model", "stat", F.posexplode("v").alias("i", "x")).groupBy("model", "stat", "i").agg(F.sum("x").alias("x")).toPandas()
     out: list[dict] = [{} for _ in models]
@@ -309,19 +394,20 @@ def _centres(seqs: DataFrame, wanted: set[tuple[int, int]], rounds: int = 10) ->
     def sums(batches, now=now):
         n = {key: np.zeros((key[0], d + 1)) for key in keys}
         total = np.zeros((1 + d, 1 + d))
-        for pdf in batches:
-            for x in pdf["x"]:
-                x = np.stack([np.atleast_1d(v) for v in x]).astype(float)
+        for batch in batches:
+            for part in _slices(batch):
+                x = _nested(part.column(0))[0]
                 one = np.column_stack([np.ones(len(x)), x])
                 total += one.T @ one
                 for key, c in now.items():
-                    near = ((x[:, None] - c[None]) ** 2).sum(-1).argmin(1)
-                    np.add.at(n[key], near, one)
-        yield pd.DataFrame({"key": [*range(len(keys)), -1], "s": [*(n[key].ravel() for key in keys), total.ravel()]})
+                    near = np.stack([((x - v) ** 2).sum(1) for v in c]).argmin(0)
+                    n[key] += np.column_stack([np.bincount(near, v, key[0]) for v in one.T])
+        found = [*(n[key].ravel() for key in keys), total.ravel()]
+        yield pa.RecordBatch.from_arrays([pa.array([*range(len(keys)), -1], "int32"), pa.array(found, pa.list_(pa.float64()))], ["key", "s"])
 
     cov = None
     for _ in range(rounds):
-        parts = seqs.select("x").mapInPandas(lambda b, f=sums, c=now: f(b, c), "key int, s array<double>")
+        parts = seqs.select("x").mapInArrow(lambda b, f=sums, c=now: f(b, c), "key int, s array<double>")
         got = parts.select("key", F.posexplode("s").alias("i", "v")).groupBy("key", "i").agg(F.sum("v").alias("v")).toPandas()
         by = {key: g.sort_values("i")["v"].to_numpy() for key, g in got.groupby("key")}
         total = by[-1].reshape(1 + d, 1 + d) / by[-1][0]
@@ -558,20 +644,22 @@ def sequence_loglik(seqs: DataFrame, m: Model) -> DataFrame:
     """video, loglik, n of each recording under the model."""
     msgs = _messages(seqs, [m])
     d = seqs if msgs is None else seqs.join(msgs, ["video", "chunk"])
+    whole = msgs is None
     b = seqs.sparkSession.sparkContext.broadcast(m)
     kind = seqs.schema["video"].dataType.simpleString()
 
     def run(batches):
         model = b.value
-        for pdf in batches:
-            out = []
-            for r in pdf.itertuples(index=False):
-                x, ctx = _arrays(r)
-                vin = model.pi if r.chunk == 0 else np.asarray(r.ins[0])
-                out.append((r.video, _forward_backward(model, _emission(model, x, ctx), r.chunk == 0, vin, np.ones(model.k))[2], len(x)))
-            yield pd.DataFrame(out, columns=["video", "loglik", "n"])
-
-    return d.mapInPandas(run, f"video {kind}, loglik double, n long").groupBy("video").agg(F.sum("loglik").alias("loglik"), F.sum("n").alias("n"))
+        for batch in batches:
+            for part in _slices(batch):
+                c = Chunks.read(part)
+                begins = c.chunk == 0
+                ins = None if whole else part.column(part.schema.get_field_index("ins")).to_pylist()
+                vin = np.array([model.pi if own else ins[j][0] for j, own in enumerate(begins)])
+                ll = _forward_backward(model, _emission(model, c.x, None, c.design(model)), c.first, begins, vin, np.ones((len(vin), model.k)))[2]
+                yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index("video")), pa.array(ll), pa.array(np.diff(c.first))], ["video", "loglik", "n"])
+
+    return d.mapInArrow(run, f"video {kind}, loglik double, n long").groupBy("video").agg(F.sum("loglik").alias("loglik"), F.sum("n").alias("n"))
 
 
 def align(models: Sequence[Model]) -> Model:

@@ -167,3 +167,30 @@ def test_mixed_model_by_direct_likelihood(spark):
 
     best = max((ll(math.exp(g)) for g in np.linspace(-8, 6, 3000)), key=lambda t: t[0])
     assert got["coef"] == pytest.approx(best[1][1], abs=1e-3) and 0 < got["p"] < 0.05
+
+
+def test_chunks_advance_together():
+    rng = np.random.default_rng(8)
+    m = H._start(H.Model(3, seed=1), rng.normal(size=(3, 2)), np.eye(2), 1e-3)
+    sizes, opens = [5, 1, 40, 17, 40, 2], np.array([True, True, False, True, True, False])
+    first = np.concatenate(([0], np.cumsum(sizes)))
+    logb = H._emission(m, rng.normal(size=(first[-1], 2)), None)
+    vin, vout = np.where(opens[:, None], m.pi, rng.dirichlet(np.ones(3), len(sizes))), rng.uniform(0.1, 1, (len(sizes), 3))
+    g, xi, ll = H._forward_backward(m, logb, first, opens, vin, vout)
+    moves = np.zeros((3, 3))
+    for i, (a, b) in enumerate(zip(first[:-1], first[1:])):
+        e = np.exp(logb[a:b])
+        forward = [(vin[i] if opens[i] else vin[i] @ m.a) * e[0]]
+        for row in e[1:]:
+            forward.append(forward[-1] @ m.a * row)
+        back = [vout[i]]
+        for row in e[:0:-1]:
+            back.append(m.a @ (row * back[-1]))
+        weight = np.array(forward) * np.array(back[::-1])
+        assert np.allclose(g[a:b], weight / weight.sum(1, keepdims=True)) and ll[i] == pytest.approx(np.log(forward[-1].sum()))
+        came = np.array(([] if opens[i] else [vin[i]]) + forward[:-1]).reshape(-1, 3)
+        into = (e * np.array(back[::-1]))[1 if opens[i] else 0 :]
+        for u, v in zip(came, into):
+            w = u[:, None] * m.a * v[None]
+            moves += w / w.sum()
+    assert np.allclose(xi, moves)
