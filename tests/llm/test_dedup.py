@@ -160,3 +160,16 @@ def test_remove_repeats(awkward, nothing):
         got = remove_repeats(awkward, length=length, anchor=anchor, shard_bytes=shard, with_text=True).collect()
         assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256, r.kept_text) for r in got) == repeats_reference(awkward_rows(), length)
     assert remove_repeats(nothing).count() == 0
+
+
+def test_only_possible_copies_are_shuffled_with_their_texts(spark):
+    from kinetable.llm.exact_dedup import maybe_among
+
+    ids = spark.range(0, 40000).select(F.sha2(F.col("id").cast("string"), 256).alias("digest"), (F.col("id") % 100 == 7).alias("hit"))
+    n = {(r.hit, r.maybe): r["count"] for r in maybe_among(ids, "digest", ids.where("hit").select("digest")).groupBy("hit", "maybe").count().collect()}
+    assert n[True, True] == 400 and (True, False) not in n and n[False, False] > 0.9 * 39600
+    none = maybe_among(ids, "digest", ids.where("false").select("digest"))
+    assert none.where("maybe").count() == 0 and none.columns == ["digest", "hit", "maybe"]
+    docs = spark.createDataFrame([(1, "One"), (2, "one"), (None, "one"), (None, "Two"), (3, "three"), (3, "three"), (3, "four")], "doc_id long, text string")
+    kept = drop_copies(docs)
+    assert Counter(map(tuple, kept.collect())) == Counter([(2, "one"), (None, "Two"), (3, "three"), (3, "four")])
