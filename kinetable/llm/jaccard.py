@@ -192,15 +192,17 @@ def _grouped(docs: DataFrame, doc_id: str, text: str, k: int, percent: int, leaf
                 at += b - a
 
     all_points = scratch.keep(marked.mapInArrow(points, "doc_id long, mark binary, row long, n int, key binary, vec array<smallint>, prefix array<long>"), "points")
-    ids = all_points.select("doc_id", "mark", "row", "n", "key")
+    ids = scratch.keep(all_points.select("doc_id", "mark", "row", "n", "key"), "ids")
     sets = scratch.keep(ids.where("n > 0").groupBy("key").agg(F.min("row").alias("node"), F.min("doc_id").alias("low"), F.first("n").alias("n")), "sets")
     nodes = all_points.join(sets.select("node"), F.col("row") == F.col("node"), "left_semi")
-    nodes = nodes.select(F.col("row").alias("node"), "n", "vec", coarse("vec").alias("box"), "prefix")
-    nodes = scratch.keep(nodes, "nodes")
+    nodes = scratch.keep(nodes.select(F.col("row").alias("node"), "n", "vec", "prefix"), "prefixed")
+    scratch.drop("points")
 
     entries = nodes.select("node", F.explode("prefix").alias("tree"))
     trees = entries.groupBy("tree").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("c")).where("c > 1")
     shared = scratch.keep(entries.join(trees, "tree"), "shared")
+    nodes = scratch.keep(nodes.select("node", "n", "vec", coarse("vec").alias("box")), "nodes")
+    scratch.drop("prefixed")  # prefixes are the larger part of points and nodes; from here on the trees hold them
 
     texts = _Sets(rows, sets, k, percent, scratch)
     stars = shared.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
