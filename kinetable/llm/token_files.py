@@ -92,4 +92,5 @@ def token_counts(docs: DataFrame, tokenizer: str, separator: int, doc_id: str =
     manifest = scratch.keep(write_tokens(docs, scratch.path("files"), tokenizer, separator, doc_id, text), "manifest")
     files = manifest.groupBy("path").agg(F.max("stop").alias("bytes"))
     counts = scan_tokens(files, separator, block_tokens).where("closed")
-    return manifest.join(counts, ["path", "ordinal"]).select("doc_id", "n_tokens", "start", "ordinal", "path")
+    # files compress so well that the planner takes their rows for few; as a broadcast they would fill the driver
+    return manifest.join(counts.hint("merge"), ["path", "ordinal"]).select("doc_id", "n_tokens", "start", "ordinal", "path")

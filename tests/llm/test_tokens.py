@@ -94,3 +94,8 @@ def test_pieces_pass_without_a_frame_of_all_texts(spark, tokenizer):
     sizes = rows.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.num_rows])], ["n"]) for b in batches), "n long")
     assert "MapInPandas" not in rows._jdf.queryExecution().executedPlan().toString()
     assert sum(r["n"] for r in sizes.collect()) == 3000
+
+
+def test_counts_are_not_named_by_broadcast(awkward, tokenizer):
+    plan = token_counts(awkward, tokenizer, 49407)._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "SortMergeJoin" in plan
