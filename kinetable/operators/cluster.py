@@ -20,6 +20,7 @@ from kinetable.functions.scalar import seeded_uniform
 from kinetable.functions.special import binomial_upper_tail
 from kinetable.operators.latent import agreement
 from kinetable.operators.linear import covariance
+from kinetable.plans.python import spread
 from kinetable.session import cut_lineage
 
 
@@ -72,12 +73,13 @@ def cluster_stability(df: DataFrame, k: int, vec: str = "mu", n_runs: int = 3, s
 
 def gmm_bic(df: DataFrame, ks: Sequence[int], vec: str = "mu", seed: int = 0) -> DataFrame:
     """k, loglik, bic, best, modal (best K is at least 3) of full-covariance mixtures."""
-    d = _features(df, vec)
-    n, dim = d.count(), len(df.select(vec).first()[0])
+    points = cut_lineage(spread(df.select(vec)))  # every K reads the same rows, on all cores
+    d = _features(points, vec)
+    n, dim = d.count(), len(points.select(vec).first()[0])
     rows = []
     for k in ks:
         if k == 1:  # one Gaussian in closed form, without a ridge, as the mixtures have none
-            ll = -0.5 * n * (dim * math.log(2 * math.pi) + float(np.linalg.slogdet(covariance(df, vec, ddof=0)[1])[1]) + dim)
+            ll = -0.5 * n * (dim * math.log(2 * math.pi) + float(np.linalg.slogdet(covariance(points, vec, ddof=0)[1])[1]) + dim)
         else:
             ll = float(GaussianMixture(k=k, seed=seed, maxIter=50).fit(d).summary.logLikelihood)
         rows.append((k, ll, -2 * ll + (k * dim + k * dim * (dim + 1) // 2 + k - 1) * math.log(n)))
