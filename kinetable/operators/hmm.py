@@ -29,6 +29,7 @@ from kinetable.session import cut_lineage
 
 FLOOR = 1e-3
 ROWS = 1 << 16  # rows of chunks that advance together
+BESIDE = 16  # models worked through side by side
 COVARIANCES = ("full", "tied", "diag", "spherical")
 
 
@@ -180,16 +181,27 @@ class Chunks:
         return self.designs[m.lags]
 
 
-def _transfer(m: Model, logb: np.ndarray) -> tuple[np.ndarray, float]:
-    """Product over the chunk of (transition, emission), scaled to a maximum of 1, and the log scale."""
-    out, scale = np.eye(m.k), 0.0
-    for lb in logb:
-        top = lb.max()
-        out = (out @ m.a) * np.exp(lb - top)[None, :]
-        s = out.max()
-        out /= s
-        scale += top + math.log(s)
-    return out, scale
+def _transfers(models: list[Model], logb: np.ndarray, first: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """models x chunks x K x K: for each chunk the product of (transition, emission) over its rows, scaled to a maximum of 1.
+
+    ``logb`` is models x rows x K; the models have one K.  A chunk that opens a recording starts by the emission of its first
+    row.  All chunks of all models advance together, as in ``_forward_backward``.
+    """
+    n, k = np.diff(first), models[0].k
+    order = np.argsort(-n, kind="stable")
+    start, n, opening = first[:-1][order], n[order], begins[order]
+    live = np.searchsorted(-n, -np.arange(n[0]), side="left")
+    b, a = np.exp(logb - logb.max(2, keepdims=True)), np.stack([m.a for m in models])
+    out = np.empty((len(models), len(n), k, k))
+    out[:] = a[:, None]
+    out[:, opening] = np.eye(k)
+    for t, many in enumerate(live.tolist()):
+        o = out[:, :many] if t == 0 else np.matmul(out[:, :many], a[:, None])
+        o = o * b[:, start[:many] + t][:, :, None, :]
+        out[:, :many] = o / o.max((2, 3), keepdims=True)
+    back = np.empty_like(out)
+    back[:, order] = out
+    return back
 
 
 def _messages(seqs: DataFrame, models: list[Model]) -> DataFrame | None:
@@ -199,16 +211,21 @@ def _messages(seqs: DataFrame, models: list[Model]) -> DataFrame | None:
     b = seqs.sparkSession.sparkContext.broadcast(models)
 
     def transfer(batches):
-        for pdf in batches:
-            for r in pdf.itertuples(index=False):
-                x, c = _arrays(r)
-                mats = [_transfer(m, _emission(m, x, c))[0].ravel() if r.chunk else (np.exp(_emission(m, x[:1], c)[0] - _emission(m, x[:1], c)[0].max()), _transfer(m, _emission(m, x[1:], x[:1]))[0])
-                        for m in b.value]
-                mats = [v if r.chunk else (v[0][:, None] * v[1]).ravel() for v in mats]
-                yield pd.DataFrame({"video": [r.video], "chunk": [r.chunk], "mats": [[list(v) for v in mats]]})
+        for batch in batches:
+            for part in _slices(batch):
+                d = Chunks.read(part)
+                mats: list[np.ndarray | None] = [None] * len(b.value)
+                for own in _together(b.value):
+                    same = [b.value[i] for i in own]
+                    logb = np.stack([_emission(m, d.x, None, d.design(m)) for m in same])
+                    for i, mat in zip(own, _transfers(same, logb, d.first, d.chunk == 0)):
+                        mats[i] = mat.reshape(len(part), -1)
+                rows = [[mat[j].tolist() for mat in mats] for j in range(len(part))]
+                names = [part.column(part.schema.get_field_index(c)) for c in ("video", "chunk")]
+                yield pa.RecordBatch.from_arrays([*names, pa.array(rows, pa.list_(pa.list_(pa.float64())))], ["video", "chunk", "mats"])
 
     kind = seqs.schema["video"].dataType.simpleString()
-    t = seqs.mapInPandas(transfer, f"video {kind}, chunk long, mats array<array<double>>")
+    t = seqs.mapInArrow(transfer, f"video {kind}, chunk long, mats array<array<double>>")
     chains = spread(t.groupBy("video").agg(F.array_sort(F.collect_list(F.struct("chunk", "mats"))).alias("c")))
 
     def pass_on(batches):
@@ -237,37 +254,53 @@ def _forward_backward(m: Model, logb: np.ndarray, first: np.ndarray, begins: np.
     """State weights per row, summed transition weights and each chunk's log-likelihood increment.
 
     Chunks lie one after the other and begin at the rows ``first`` (and the end); ``begins`` marks those that open a recording.
-    All chunks advance together, a step of time at once, the longest first, so that those still running are the leading ones.
     """
-    n, k = np.diff(first), m.k
+    g, w, ll = _forward_backwards([m], logb[None], first, begins, vin[None], vout[None])
+    return g[0], w[0].sum(0), ll[0]
+
+
+def _forward_backwards(models: list[Model], logb: np.ndarray, first: np.ndarray, begins: np.ndarray, vin: np.ndarray, vout: np.ndarray):
+    """The same for models of one K side by side, with the transition weights of each row that follows another.
+
+    All chunks of all models advance together, a step of time at once, the longest first, so that those still running are the
+    leading ones.
+    """
+    n = np.diff(first)
     order = np.argsort(-n, kind="stable")
     start, n = first[:-1][order], n[order]
     live = np.searchsorted(-n, -np.arange(n[0]), side="left")
-    top = logb.max(1)
-    b = np.exp(logb - top[:, None])
-    alpha, c, came = np.empty_like(b), np.empty(len(b)), np.empty_like(b)
-    prev, opening = vin[order], begins[order]
+    a = np.stack([m.a for m in models])
+    back = np.ascontiguousarray(a.transpose(0, 2, 1))
+    top = logb.max(2)
+    b = np.exp(logb - top[:, :, None])
+    alpha, c, came = np.empty_like(b), np.empty(b.shape[:2]), np.empty_like(b)
+    prev, opening = vin[:, order], begins[order]
     for t, many in enumerate(live.tolist()):
         at = start[:many] + t
-        came[at] = prev[:many]
-        into = prev[:many] @ m.a
+        came[:, at] = prev[:, :many]
+        into = prev[:, :many] @ a
         if t == 0:
-            into[opening] = prev[opening]
-        v = into * b[at]
-        c[at] = s = v.sum(1)
-        alpha[at] = prev = v / s[:, None]
+            into[:, opening] = prev[:, opening]
+        v = into * b[:, at]
+        c[:, at] = s = v.sum(2)
+        alpha[:, at] = prev = v / s[:, :, None]
     beta = np.empty_like(b)
-    beta[start + n - 1] = vout[order]
+    beta[:, start + n - 1] = vout[:, order]
     for t in range(n[0] - 2, -1, -1):
         at = start[: live[t + 1]] + t
-        beta[at] = (b[at + 1] * beta[at + 1]) @ m.a.T / c[at + 1, None]
+        beta[:, at] = (b[:, at + 1] * beta[:, at + 1]) @ back / c[:, at + 1, None]
     g = alpha * beta
-    g /= g.sum(1, keepdims=True)
-    moved = np.ones(len(b), bool)
+    g /= g.sum(2, keepdims=True)
+    moved = _moved(first, begins)
+    w = came[:, moved][:, :, :, None] * a[:, None] * (b * beta)[:, moved][:, :, None, :]
+    return g, w / w.sum((2, 3), keepdims=True), np.add.reduceat(np.log(c) + top, first[:-1], axis=1)
+
+
+def _moved(first: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """The rows that follow a row of their recording."""
+    moved = np.ones(first[-1], bool)
     moved[first[:-1][begins]] = False
-    w = came[moved][:, :, None] * m.a[None] * (b * beta)[moved][:, None, :]
-    xi = (w / w.sum((1, 2), keepdims=True)).sum(0)
-    return g, xi, np.add.reduceat(np.log(c) + top, first[:-1])
+    return moved
 
 
 def _seconds(g: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -292,6 +325,43 @@ def _counts(m: Model, d: Chunks, g: np.ndarray, xi: np.ndarray) -> dict[str, np.
     return s
 
 
+def _together(models: list[Model]) -> Iterator[list[int]]:
+    """Models of one K, at most ``BESIDE`` at once."""
+    for k in sorted({m.k for m in models}):
+        own = [i for i, m in enumerate(models) if m.k == k]
+        yield from (own[s:s + BESIDE] for s in range(0, len(own), BESIDE))
+
+
+def _trained(models: list[Model], d: Chunks, ins: list | None, outs: list | None) -> Iterator[tuple[int, dict]]:
+    """Statistics of each model over the chunks outside its fold; the chunks inside are worked through with them and left out."""
+    rows = np.diff(d.first)
+    begins = d.chunk == 0
+    for own in _together(models):
+        same = [models[i] for i in own]
+        vin = np.array([np.tile(m.pi, (len(rows), 1)) if ins is None else [m.pi if new else e[i] for new, e in zip(begins, ins)] for i, m in zip(own, same)], float)
+        vout = np.ones_like(vin) if outs is None else np.array([[e[i] for e in outs] for i in own], float)
+        logb = np.stack([_emission(m, d.x, None, d.design(m)) for m in same])
+        g, w, ll = _forward_backwards(same, logb, d.first, begins, vin, vout)
+        for i, m, gm, wm, lm in zip(own, same, g, w, ll):
+            keep = np.ones(len(rows), bool) if m.fold is None else d.fold != m.fold
+            if keep.any():
+                kept, some = np.repeat(keep, rows), d.some(keep)
+                xi = wm[kept[_moved(d.first, begins)]].sum(0)
+                yield i, {"ll": np.array([lm[keep].sum()]), "n": np.array([float(len(some.x))])} | _counts(m, some, gm[kept], xi)
+
+
+def _held_out(models: list[Model], chunks: Chunks, ins: list | None, outs: list | None) -> Iterator[tuple[int, dict]]:
+    """Log-likelihood and rows of each model over the chunks of its fold."""
+    for i, m in enumerate(models):
+        keep = np.full(len(chunks.chunk), False) if m.fold is None else chunks.fold == m.fold
+        if keep.any():
+            d, own = chunks.some(keep), np.flatnonzero(keep)
+            vin = np.tile(m.pi, (len(own), 1)) if ins is None else np.array([m.pi if chunks.chunk[j] == 0 else ins[j][i] for j in own])
+            vout = np.ones((len(own), m.k)) if outs is None else np.array([outs[j][i] for j in own])
+            _, _, ll = _forward_backward(m, _emission(m, d.x, None, d.design(m)), d.first, d.chunk == 0, vin, vout)
+            yield i, {"ll": np.array([ll.sum()]), "n": np.array([float(len(d.x))])}
+
+
 def expected_counts(seqs: DataFrame, models: list[Model], score_held_out: bool = False) -> list[dict]:
     """One dict of summed statistics per model, with loglik and row count over its training (or held-out) recordings."""
     msgs = _messages(seqs, models)
@@ -305,19 +375,7 @@ def expected_counts(seqs: DataFrame, models: list[Model], score_held_out: bool =
             for part in _slices(batch):
                 chunks = Chunks.read(part)
                 ins, outs = (None, None) if whole else (part.column(part.schema.get_field_index(c)).to_pylist() for c in ("ins", "outs"))
-                for i, m in enumerate(b.value):
-                    held = np.full(len(part), False) if m.fold is None else chunks.fold == m.fold
-                    keep = held == score_held_out
-                    if not keep.any():
-                        continue
-                    d, own = chunks.some(keep), np.flatnonzero(keep)
-                    begins = d.chunk == 0
-                    vin = np.tile(m.pi, (len(own), 1)) if whole else np.array([m.pi if chunks.chunk[j] == 0 else ins[j][i] for j in own])
-                    vout = np.ones((len(own), m.k)) if whole else np.array([outs[j][i] for j in own])
-                    g, xi, ll = _forward_backward(m, _emission(m, d.x, None, d.design(m)), d.first, begins, vin, vout)
-                    s = {"ll": np.array([ll.sum()]), "n": np.array([float(len(d.x))])}
-                    if not score_held_out:
-                        s |= _counts(m, d, g, xi)
+                for i, s in (_held_out if score_held_out else _trained)(b.value, chunks, ins, outs):
                     total[i] = s if total[i] is None else {k: total[i][k] + s[k] for k in s}
         found = [(i, k, np.ravel(v).tolist()) for i, t in enumerate(total) if t is not None for k, v in t.items()]
         if found:
