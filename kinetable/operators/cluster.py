@@ -20,7 +20,6 @@ from kinetable.functions.scalar import seeded_uniform
 from kinetable.functions.special import binomial_upper_tail
 from kinetable.operators.latent import agreement
 from kinetable.operators.linear import covariance
-from kinetable.plans.python import spread
 from kinetable.session import cut_lineage
 
 
@@ -73,7 +72,7 @@ def cluster_stability(df: DataFrame, k: int, vec: str = "mu", n_runs: int = 3, s
 
 def gmm_bic(df: DataFrame, ks: Sequence[int], vec: str = "mu", seed: int = 0) -> DataFrame:
     """k, loglik, bic, best, modal (best K is at least 3) of full-covariance mixtures."""
-    points = cut_lineage(spread(df.select(vec)))  # every K reads the same rows, on all cores
+    points = cut_lineage(df.select(vec))  # every K reads the same rows
     d = _features(points, vec)
     n, dim = d.count(), len(points.select(vec).first()[0])
     rows = []
